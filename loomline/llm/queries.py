@@ -5,17 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode, ids_sha256, load_spec
 from .common import table
 from .simhash import simhash_components
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all whole documents, as digests."""
+    spec = load_spec(spark, vocabulary())
+    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        ids_sha256(F.col("ids")).alias("ids_sha256"),
+        F.sha2(bpe_decode(F.col("ids"), spec), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 4-word shingles, links at 4 or fewer differing bits."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op7_simhash": op7_simhash,
 }
 
