@@ -17,7 +17,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import without
@@ -41,7 +41,7 @@ def _byte_of_char() -> dict[str, int]:
 class WordBpe:
     """A lower-casing, word-end-marking byte-level BPE read from a tokenizers JSON file."""
 
-    KEEP_WORDS, KEEP_PAIRS, LONG_WORD = 300_000, 500_000, 64
+    KEEP_WORDS, KEEP_PAIRS, LONG_WORD = 80_000, 200_000, 64
 
     def __init__(self, spec: str) -> None:
         spec = json.loads(spec)
@@ -172,15 +172,17 @@ class WordBpe:
 
 
 class _Kept(dict):
-    """Words encoded before; bounded."""
+    """Words encoded before: two generations of bounded size, so that frequent words stay."""
 
     def __init__(self, bpe: WordBpe) -> None:
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self.bpe.word(word)
+        if (out := self.older.get(word)) is None:
+            out = self.bpe.word(word)
         if len(word) <= self.bpe.LONG_WORD:
             if len(self) >= self.bpe.KEEP_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -204,51 +206,75 @@ def load_spec(spark, path: str):
         return spark.sparkContext.broadcast((path, f.read()))
 
 
-def bpe_encode(docs: DataFrame, spec, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids array<int>: the ids of each whole text. Null and empty texts get an empty array.
+Batches = Iterator[pa.RecordBatch]
+ROWS = 1024  # rows worked on at once
 
-    Every row gives a row; other columns pass through, but one named like ids_col (case aside) is replaced.
-    """
-    rest = without(docs, ids_col)
-    at = rest.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(spec)
-        for x in batches:
-            made = [bpe.encode(t) if t else b"" for t in x.column(at).to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(m) // 4 for m in made]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(made), "<i4"))
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.ListArray.from_arrays(pa.array(ends), values)], names=[*x.schema.names, ids_col])
+def _parts(batches: Batches) -> Batches:
+    for x in batches:
+        for k in range(0, x.num_rows, ROWS):
+            yield x.slice(k, ROWS)
+
 
-    return rest.mapInArrow(run, rest.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema)
+def _with(x: pa.RecordBatch, **new: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*x.columns, *new.values()], names=[*x.schema.names, *new])
 
 
-def _rows(ids: pa.Array) -> Iterator[np.ndarray]:
-    if not isinstance(ids, pa.Array):
-        ids = ids.combine_chunks()
+def _rows(ids: pa.ListArray) -> Iterator[np.ndarray]:
     values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-    for a, b in zip(ends, ends[1:], strict=False):
-        yield values[a:b]
+    for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        yield values[a:b] if ids[k].is_valid else values[:0]
+
+
+def encode_batches(batches: Batches, spec, text: str, ids: str) -> Batches:
+    bpe = _bpe(spec)
+    for x in _parts(batches):
+        made = [bpe.encode(t) if t else b"" for t in x.column(text).to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(m) // 4 for m in made]))).astype(np.int32)
+        yield _with(x, **{ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))})
+
+
+def decode_batches(batches: Batches, spec, ids: str, text: str) -> Batches:
+    bpe = _bpe(spec)
+    for x in _parts(batches):
+        yield _with(x, **{text: pa.array([bpe.decode(r.tolist()) for r in _rows(x.column(ids))], pa.string())})
+
 
+def _mapped(df: DataFrame, run, new: str, kind: str) -> DataFrame:
+    rest = without(df, new)
+    return rest.mapInArrow(run, rest.select("*", F.lit(None).cast(kind).alias(new)).schema)
 
-def bpe_decode(ids: Column, spec) -> Column:
-    """The library's text of an id array, special tokens included; the empty text for null."""
 
-    @F.arrow_udf("string")
-    def text_of(x: pa.Array) -> pa.Array:
-        bpe = _bpe(spec)
-        return pa.array([bpe.decode(r.tolist()) for r in _rows(x)], pa.string())
+def bpe_encode(docs: DataFrame, spec, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with ids array<int>: the ids of each whole text. Null and empty texts get an empty array.
+
+    Every row gives a row; other columns pass through, but one named like ids_col (case aside) is replaced.
+    """
+    return _mapped(docs, lambda x: encode_batches(x, spec, text_col, ids_col), ids_col, "array<int>")
 
-    return text_of(F.coalesce(ids, F.array().cast("array<int>")))
 
+def bpe_decode(df: DataFrame, spec, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """df with the library's text of each id array, special tokens included; the empty text for null.
 
-def ids_sha256(ids: Column) -> Column:
-    """Lower-case hex SHA-256 of the ids as little-endian unsigned 32-bit integers."""
+    Every row gives a row; other columns pass through, but one named like text_col (case aside) is replaced.
+    """
+    return _mapped(df, lambda x: decode_batches(x, spec, ids_col, text_col), text_col, "string")
+
+
+def bpe_digests(docs: DataFrame, spec) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, its ids decoded again, both digested.
+
+    The two operators run one after the other within one Python worker, so that ids and decoded texts need not
+    go through the JVM. ids_sha256 is over the ids as little-endian unsigned 32-bit integers.
+    """
 
-    @F.arrow_udf("string")
-    def digest(x: pa.Array) -> pa.Array:
+    def run(batches: Batches) -> Batches:
         import hashlib
 
-        return pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in _rows(x)], pa.string())
+        for x in decode_batches(encode_batches(batches, spec, "text", "ids"), spec, "ids", "decoded"):
+            ids = [hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in _rows(x.column("ids"))]
+            back = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in x.column("decoded").to_pylist()]
+            sizes = np.diff(x.column("ids").offsets.to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(sizes), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return digest(F.coalesce(ids, F.array().cast("array<int>")))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

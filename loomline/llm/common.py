@@ -53,3 +53,27 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fit_in_one_task(sample: DataFrame, fit):
+    """fit(rows) on an executor, over the rows of a bounded sample in sorted order; the (bounded) model comes back. None without rows.
+
+    Sorting makes the model the same however the rows arrive.
+    """
+    import pickle
+
+    import pyarrow as pa
+
+    def run(batches):
+        rows = [r for x in batches for r in zip(*[c.to_pylist() for c in x.columns], strict=True)]
+        if rows:
+            rows.sort(key=lambda r: tuple((v is None, v) for v in r))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else None
+
+
+def drawn(share: float, salt: str, key: str = "doc_id") -> Column:
+    """A repeatable choice of about that share of the rows, by a hash of the key."""
+    return F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode, ids_sha256, load_spec
-from .common import table
+from .bpe import bpe_digests, load_spec
+from .common import remainder, table
+from .langid import fit_model, predict_language
 from .simhash import simhash_components
+from .toxicity import fit_model as fit_toxicity
+from .toxicity import score_toxicity
 
 
 def vocabulary() -> str:
@@ -20,14 +23,15 @@ def vocabulary() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of all whole documents, as digests."""
-    spec = load_spec(spark, vocabulary())
-    encoded = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), spec)
-    return encoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_sha256(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe_decode(F.col("ids"), spec), 256).alias("decoded_sha256"),
-    )
+    return bpe_digests(table(spark, sf_dir, "documents"), load_spec(spark, vocabulary()))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document; learned from rows whose crc32 remainder by 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_model(docs, remainder(3) != 1)
+    out = predict_language(docs.select("doc_id", (remainder(3) == 1).alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,9 +39,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole document; learned from labels whose crc32 remainder by 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    out = score_toxicity(docs.select("doc_id", (remainder(5) == 0).alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,6 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomline.llm.bpe import WordBpe, bpe_decode, bpe_encode, load_spec
@@ -42,7 +41,7 @@ def test_frames(spark, library):
     spec = load_spec(spark, PATH)
     encoded = bpe_encode(df, spec)
     assert encoded.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"]
-    for r in encoded.select("*", bpe_decode(F.col("ids"), spec).alias("back")).collect():
+    for r in bpe_decode(encoded, spec, text_col="back").collect():
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.back == library.decode(want, skip_special_tokens=False)
     assert bpe_encode(df.limit(0), spec).collect() == []
