@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digests, load_spec
-from .common import remainder, table
+from .common import remainder, shared_dir, table, written
 from .langid import fit_model, predict_language
 from .simhash import simhash_components
 from .toxicity import fit_model as fit_toxicity
 from .toxicity import score_toxicity
+from .warc import capture_histories, read_warc, write_warc
 
 
 def vocabulary() -> str:
@@ -47,11 +48,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, written and read back, in the global order of their captures."""
+    path = shared_dir(spark)
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return capture_histories(written(read_warc(spark, path))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        q AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS d,
+                     CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
+        FROM q""",
+}

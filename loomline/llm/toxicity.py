@@ -33,7 +33,7 @@ PATTERNS = {
 
 @dataclass
 class ToxicityModel:
-    features: dict[str, float]  # a word, or a word start followed by *
+    features: dict[str, float]  # as text_features() names them
     bias: float
     voters: dict[str, tuple[float, float]]  # how often each speaks up in clean, in toxic documents
 
@@ -43,7 +43,13 @@ def words(text: str | None) -> set[str]:
 
 
 def features(word: str) -> tuple[str, ...]:
-    return (word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n))
+    return (word, *(word[:n] + "*" for n in (4, 5, 6, 7, 8) if len(word) > n))
+
+
+def text_features(text: str | None) -> set[str]:
+    """Words, starts of words (ending in *), and starts that two words or more share (ending in **)."""
+    n = Counter(f for w in words(text) for f in features(w))
+    return n.keys() | {f + "*" for f, k in n.items() if k > 1}
 
 
 def _stand_out(docs: list[set[str]], toxic: np.ndarray, weight: np.ndarray, most: int) -> list[str]:
@@ -53,10 +59,13 @@ def _stand_out(docs: list[set[str]], toxic: np.ndarray, weight: np.ndarray, most
         n[y].update(f)
     scale = [weight[toxic == y].mean() if (toxic == y).any() else 1.0 for y in (0, 1)]
     total = [max(1, int((toxic == y).sum())) for y in (0, 1)]
+    p = total[1] / sum(total)
+    chance = math.log(len(n[0].keys() | n[1].keys()) + 1) + 1  # so that about no feature stands out by chance alone
     out = []
     for f, k in n[1].items():
         clean = n[0][f]
-        if k >= 3 and k * scale[1] > 20 * clean * scale[0]:
+        q = k / (k + clean)
+        if k * scale[1] > 20 * clean * scale[0] and (k + clean) * (q * math.log(q / p) + (1 - q) * math.log(max(1 - q, 1e-9) / (1 - p))) > chance:
             out.append((k * math.log((k + 0.5) / total[1] / ((clean + 0.5) / total[0])), f))
     return [f for _, f in sorted(out, key=lambda x: (-x[0], x[1]))[:most]]
 
@@ -97,7 +106,7 @@ def fit(rows: list[tuple[str, int, float]], voters: int = 96, most: int = 4096,
     """rows: text, toxic (1 or 0), weight. Labels choose voters and set the prior; posteriors train the classifier."""
     toxic, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
     prior = float(np.clip((toxic * weight).sum() / weight.sum(), 1e-3, 0.5))
-    docs = [{f for w in words(r[0]) for f in features(w)} for r in rows]
+    docs = [text_features(r[0]) for r in rows]
     named = [*LEXICON, *(f for f in _stand_out(docs, toxic, weight, voters) if f not in LEXICON)]
     votes = np.zeros((len(rows), len(named) + len(PATTERNS)))
     for k, (r, f) in enumerate(zip(rows, docs, strict=True)):
@@ -155,18 +164,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[str, frozenset[str]] = {}
+        known: dict[str, tuple[str, ...]] = {}
 
         def one(text: str | None) -> float:
-            hit: set[str] = set()
+            n: Counter[str] = Counter()
             for w in words(text):
                 if (f := known.get(w)) is None:
                     if len(known) > 200_000:
                         known.clear()
-                    f = known[w] = frozenset(x for x in features(w) if x in m.features)
+                    f = known[w] = tuple(x for x in features(w) if x in m.features or x + "*" in m.features)
                 if f:
-                    hit |= f
-            z = m.bias + sum(m.features[f] for f in sorted(hit))
+                    n.update(f)
+            hit = n.keys() | {f + "*" for f, k in n.items() if k > 1}
+            z = m.bias + sum(m.features.get(f, 0.0) for f in sorted(hit))
             return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
         for x in batches:
