@@ -11,6 +11,7 @@ from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
 from .langid import fit_model, predict_language
 from .simhash import simhash_components
+from .syncmers import edit_fingerprints
 from .toxicity import fit_model as fit_toxicity
 from .toxicity import score_toxicity
 from .warc import capture_histories, read_warc, write_warc
@@ -55,12 +56,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_histories(written(read_warc(spark, path))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of all whole documents and of their edited texts."""
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
+    "op10_syncmers": op10_syncmers,
 }
 
 ORACLE_SQL: dict[str, str] = {
