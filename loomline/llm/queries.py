@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
+from .ann import nearest_neighbours
 from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
 from .langid import fit_model, predict_language
@@ -28,6 +30,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), load_spec(spark, vocabulary()))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents repeated by Poisson counts to shares by the square root of their source's size, shuffled globally."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest embeddings of every embedding whose vec_id is divisible by 50."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole document; learned from rows whose crc32 remainder by 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +75,8 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op5_ann": op5_ann,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
@@ -71,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.oracle_sql(),
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         q AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS d,
