@@ -12,6 +12,7 @@ from .ann import nearest_neighbours
 from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
 from .langid import fit_model, predict_language
+from .passages import passage_classes
 from .simhash import simhash_components
 from .syncmers import edit_fingerprints
 from .toxicity import fit_model as fit_toxicity
@@ -35,6 +36,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, and the classes of documents they make."""
+    return passage_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest embeddings of every embedding whose vec_id is divisible by 50."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -76,6 +82,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op4_passages": op4_passages,
     "op5_ann": op5_ann,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
