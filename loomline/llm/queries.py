@@ -12,6 +12,7 @@ from .ann import nearest_neighbours
 from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
 from .langid import fit_model, predict_language
+from .lm import lm_scores
 from .passages import passage_classes
 from .simhash import simhash_components
 from .syncmers import edit_fingerprints
@@ -36,6 +37,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all whole documents; learned from rows whose crc32 remainder by 7 is not 2."""
+    return lm_scores(table(spark, sf_dir, "documents"), remainder(7) != 2)
+
+
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents share, and the classes of documents they make."""
     return passage_classes(table(spark, sf_dir, "documents"))
@@ -82,6 +88,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_lm": op3_lm,
     "op4_passages": op4_passages,
     "op5_ann": op5_ann,
     "op6_langid": op6_langid,
