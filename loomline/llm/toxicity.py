@@ -52,22 +52,20 @@ def text_features(text: str | None) -> set[str]:
     return n.keys() | {f + "*" for f, k in n.items() if k > 1}
 
 
-def _stand_out(docs: list[set[str]], toxic: np.ndarray, weight: np.ndarray, most: int) -> list[str]:
-    """Features that labelled toxic documents have and clean ones hardly do, the best first."""
-    n = {y: Counter() for y in (0, 1)}
-    for f, y in zip(docs, toxic.tolist(), strict=True):
-        n[y].update(f)
+def _stand_out(docs: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, named: list[str], kinds: int, most: int) -> list[int]:
+    """Features (by number) that toxic documents have and clean ones hardly do, the best first; kinds: how many features there are in all."""
+    n = [np.bincount(np.concatenate([d for d, t in zip(docs, toxic.tolist(), strict=True) if t == y] or [np.zeros(0, np.int64)]), minlength=len(named)) for y in (0, 1)]
     scale = [weight[toxic == y].mean() if (toxic == y).any() else 1.0 for y in (0, 1)]
     total = [max(1, int((toxic == y).sum())) for y in (0, 1)]
     p = total[1] / sum(total)
-    chance = math.log(len(n[0].keys() | n[1].keys()) + 1) + 1  # so that about no feature stands out by chance alone
+    chance = math.log(kinds + 1) + 1  # so that about no feature stands out by chance alone
     out = []
-    for f, k in n[1].items():
-        clean = n[0][f]
+    for f in np.flatnonzero(n[1] * scale[1] > 20 * n[0] * scale[0]).tolist():
+        k, clean = int(n[1][f]), int(n[0][f])
         q = k / (k + clean)
-        if k * scale[1] > 20 * clean * scale[0] and (k + clean) * (q * math.log(q / p) + (1 - q) * math.log(max(1 - q, 1e-9) / (1 - p))) > chance:
-            out.append((k * math.log((k + 0.5) / total[1] / ((clean + 0.5) / total[0])), f))
-    return [f for _, f in sorted(out, key=lambda x: (-x[0], x[1]))[:most]]
+        if (k + clean) * (q * math.log(q / p) + (1 - q) * math.log(max(1 - q, 1e-9) / (1 - p))) > chance:
+            out.append((-k * math.log((k + 0.5) / total[1] / ((clean + 0.5) / total[0])), named[f], f))
+    return [f for _, _, f in sorted(out)[:most]]
 
 
 def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,20 +104,29 @@ def fit(rows: list[tuple[str, int, float]], voters: int = 96, most: int = 4096,
     """rows: text, toxic (1 or 0), weight. Labels choose voters and set the prior; posteriors train the classifier."""
     toxic, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
     prior = float(np.clip((toxic * weight).sum() / weight.sum(), 1e-3, 0.5))
-    docs = [text_features(r[0]) for r in rows]
-    named = [*LEXICON, *(f for f in _stand_out(docs, toxic, weight, voters) if f not in LEXICON)]
-    votes = np.zeros((len(rows), len(named) + len(PATTERNS)))
-    for k, (r, f) in enumerate(zip(rows, docs, strict=True)):
-        votes[k] = [*(v in f for v in named), *(p.search(r[0] or "") is not None for p in PATTERNS.values())]
+    seen: Counter[str] = Counter()  # what no three toxic documents have can't stand out and isn't kept
+    for text, y, _ in rows:
+        if y:
+            seen.update(text_features(text))
+    named = sorted({*LEXICON, *(f for f, k in seen.items() if k >= 3)})
+    kinds, number = len(seen) + len(LEXICON), {f: k for k, f in enumerate(named)}
+    del seen
+    docs = [np.array(sorted(number[f] for f in text_features(r[0]) if f in number), np.int64) for r in rows]
+    speakers = list(dict.fromkeys([*(number[w] for w in LEXICON), *_stand_out(docs, toxic, weight, named, kinds, voters)]))
+    votes = np.zeros((len(rows), len(speakers) + len(PATTERNS)))
+    for k, (r, d) in enumerate(zip(rows, docs, strict=True)):
+        votes[k] = [*np.isin(speakers, d), *(p.search(r[0] or "") is not None for p in PATTERNS.values())]
     speaks = votes.any(0)
-    names = [x for x, s in zip([*named, *PATTERNS], speaks, strict=True) if s]
+    names = [x for x, s in zip([*(named[f] for f in speakers), *PATTERNS], speaks, strict=True) if s]
     votes = votes[:, speaks]
     if not names:
         return ToxicityModel({}, math.log(prior / (1 - prior)), {})
     post, rates, _ = label_model(votes, weight, prior)
 
-    chosen = {f: k for k, f in enumerate(dict.fromkeys([*(n for n in names if n not in PATTERNS), *_stand_out(docs, (post > 0.5).astype(int), weight, most)]))}
-    x = [np.array(sorted(chosen[f] for f in d if f in chosen), np.int64) for d in docs]
+    chosen = list(dict.fromkeys([*(number[n] for n in names if n not in PATTERNS), *_stand_out(docs, (post > 0.5).astype(int), weight, named, kinds, most)]))
+    column = np.full(len(named), -1)
+    column[chosen] = np.arange(len(chosen))
+    x = [column[d][column[d] >= 0] for d in docs]
     w, slope, bias, bias_slope = np.zeros(len(chosen)), np.full(len(chosen), 1e-8), math.log(prior / (1 - prior)), 1e-8
     rng = np.random.default_rng(seed)
     scale = weight / weight.mean()
@@ -131,7 +138,7 @@ def fit(rows: list[tuple[str, int, float]], voters: int = 96, most: int = 4096,
             w[at] -= 0.5 * g / np.sqrt(slope[at]) + 1e-5 * w[at]
             bias_slope += g * g
             bias = min(max(bias - 0.2 * g / math.sqrt(bias_slope), -4.0), -0.5)  # nothing speaks: clean; one sure word: toxic
-    return ToxicityModel({f: float(w[k]) for f, k in chosen.items() if w[k]}, float(bias), {n: (float(a), float(b)) for n, a, b in zip(names, *rates, strict=True)})
+    return ToxicityModel({named[f]: float(w[k]) for k, f in enumerate(chosen) if w[k]}, float(bias), {n: (float(a), float(b)) for n, a, b in zip(names, *rates, strict=True)})
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None, toxic_bound: int = 3000, clean_bound: int = 6000) -> ToxicityModel:
