@@ -1 +1,93 @@
+"""Evaluation queries: vectors, error rates, paired intervals."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import aggregates as A
+from ..operators import joins as J
+from .base import query, table
+
+LETTERS = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
+
+
+def first_lines(spark, sf_dir):
+    """(doc_id, ref, hyp): the first two lines of each document, letters only; the lines are short by nature."""
+    lines = F.split("text", "\n")
+    bare = lambda k: F.regexp_replace(F.lower(F.get(lines, F.lit(k))), "[^a-z]", "")
+    return table(spark, sf_dir, "documents").where(F.size(lines) > 1).select("doc_id", "lang", bare(0).alias("ref"), bare(1).alias("hyp"))
+
+
+PAIRS = "p AS (SELECT doc_id, lang, regexp_replace(lower(l[1]), '[^a-z]', '', 'g') AS ref, regexp_replace(lower(l[2]), '[^a-z]', '', 'g') AS hyp FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 1)"
+
+
+@query(f"WITH {PAIRS} SELECT doc_id, round(levenshtein(hyp, ref) / greatest(length(ref), 1), 6) AS cer FROM p")
+def letter_cer(spark, sf_dir):
+    return first_lines(spark, sf_dir).select("doc_id", F.round(V.letter_error(F.col("hyp"), F.col("ref")), 6).alias("cer"))
+
+
+@query(f"WITH {PAIRS} SELECT lang, round(sum(levenshtein(hyp, ref)) / greatest(sum(length(ref)), 1), 6) AS micro, round(avg(levenshtein(hyp, ref) / greatest(length(ref), 1)), 6) AS macro, count(*) AS n FROM p GROUP BY 1")
+def micro_cer_by_language(spark, sf_dir):
+    p = first_lines(spark, sf_dir).withColumn("e", F.levenshtein("hyp", "ref")).withColumn("n", F.length("ref"))
+    return p.groupBy("lang").agg(F.round(A.micro_ratio("e", "n"), 6).alias("micro"), F.round(F.avg(F.col("e") / F.greatest("n", F.lit(1))), 6).alias("macro"), F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT user_id, value, least(2, CAST(floor(3 * (row_number() OVER w - 1) / count(*) OVER (PARTITION BY user_id)) AS INTEGER)) AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT user_id, CAST(third AS INTEGER) AS third, round(sum(value) / count(*), 4) AS mean FROM x GROUP BY 1, 2""")
+def thirds_micro(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id")
+    r = F.row_number().over(w.orderBy("ts", "event_id")) - 1
+    x = table(spark, sf_dir, "events").withColumn("third", F.least(F.lit(2), F.floor(3 * r / F.count("*").over(w)).cast("int")))
+    return x.groupBy("user_id", "third").agg(F.round(F.sum("value") / F.count("*"), 4).alias("mean"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 25 = 0 OR TRUE), n AS (SELECT *, count(*) OVER (PARTITION BY label, vec_id // 20) AS n FROM e)
+    SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS cos
+    FROM n a JOIN n b ON a.label = b.label AND a.vec_id // 20 = b.vec_id // 20 AND a.vec_id < b.vec_id WHERE a.n BETWEEN 2 AND 40 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.2""")
+def group_cosine_pairs(spark, sf_dir):
+    """Pairs alike within small groups (label and range of ids), at most 40 rows each."""
+    e = table(spark, sf_dir, "embeddings").withColumn("g", F.concat_ws(":", "label", F.floor(F.col("vec_id") / 20)))
+    p = J.pairs_within(e, "g", "vec_id", 40).select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), V.cosine("a.embedding", "b.embedding").alias("c"))
+    return p.where("c > 0.2").select("a_id", "b_id", F.round("c", 5).alias("cos"))
+
+
+@query("""WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), m AS (SELECT vec_id, e, list_avg(e) AS mu, list_stddev_pop(e) AS sd FROM s)
+    SELECT vec_id, round(mu, 5) AS mean, round(list_max(list_transform(e, lambda x: (x - mu) / (sd + 1e-6))), 2) AS top FROM m""")
+def z_scored(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.round(V.total(F.transform("embedding", lambda x: x.cast("double"))) / F.size("embedding"), 5).alias("mean"), F.round(F.array_max(V.z_scores("embedding", digits=6)), 2).alias("top"))
+
+
+@query("""WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings)
+    SELECT vec_id, round(list_avg(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))), 5) AS mad, round(list_avg(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i]))), 5) AS mse FROM s WHERE b IS NOT NULL""")
+def vector_differences(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    s = table(spark, sf_dir, "embeddings").withColumn("b", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("b is not null")
+    return s.select("vec_id", F.round(V.mean_abs_diff("embedding", "b"), 5).alias("mad"), F.round(V.mse("embedding", "b"), 5).alias("mse"))
+
+
+@query("SELECT round(corr(o_totalprice, o_orderkey), 6) AS r, count(*) AS n FROM orders")
+def pearson(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.round(F.corr("o_totalprice", "o_orderkey"), 6).alias("r"), F.count("*").alias("n"))
+
+
+@query("SELECT round(avg(d), 4) AS mean, round(stddev_pop(d), 4) AS sd, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 6) AS above FROM (SELECT l_quantity - l_linenumber * 5 AS d FROM lineitem)")
+def gap_statistics(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") - F.col("l_linenumber") * 5).alias("d"))
+    return d.agg(F.round(F.avg("d"), 4).alias("mean"), F.round(F.stddev_pop("d"), 4).alias("sd"), F.round(F.avg((F.col("d") > 0).cast("double")), 6).alias("above"))
+
+
+@query()
+def paired_bootstrap(spark, sf_dir):
+    """The mean difference of two lines' lengths with a 95 % interval by hashed resampling."""
+    d = first_lines(spark, sf_dir).select("doc_id", (F.length("hyp") - F.length("ref")).cast("double").alias("d"))
+    return A.bootstrap_mean(d, "doc_id", "d", 200)
+
+
+@query("SELECT p_size AS level, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1")
+def level_histogram(spark, sf_dir):
+    return A.shares(table(spark, sf_dir, "part").withColumn("level", F.col("p_size")), "level").select("level", "n", F.round("p", 6).alias("share"))

@@ -1 +1,94 @@
+"""Sequence queries: line items of an order stand for the codes of a song."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import sampling as O
+from ..operators import sequences as S
+from ..operators import windows as W
+from .base import query, table
+
+#: Codes of an order: its part keys modulo 1024, in the order of (line number, part key).
+CODES = "c AS (SELECT l_orderkey AS g, list(CAST(l_partkey % 1024 AS INTEGER) ORDER BY l_linenumber, l_partkey) AS codes, list(CAST(l_linenumber AS INTEGER) ORDER BY l_linenumber, l_partkey) AS text FROM lineitem GROUP BY 1)"
+
+
+def codes(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    return x.select("g", F.transform("x", lambda s: (s["l_partkey"] % 1024).cast("int")).alias("codes"), F.transform("x", lambda s: s["l_linenumber"].cast("int")).alias("text"))
+
+
+def joined(x):
+    return F.array_join(F.transform(x, lambda v: v.cast("string")), " ")
+
+
+@query(f"WITH {CODES} SELECT g, array_to_string(text || [65536, 65537, 65539] || list_transform(codes, lambda c: c + 65544) || [65538, 0], ' ') AS doc FROM c")
+def song_documents(spark, sf_dir):
+    return codes(spark, sf_dir).select("g", joined(S.song_document(F.col("text"), F.col("codes"))).alias("doc"))
+
+
+@query(f"WITH {CODES} SELECT g, CAST(2 * len(codes) + 5 AS INTEGER) AS n_doc, CAST(coalesce(sum(2 * len(codes) + 5) OVER (PARTITION BY g % 8 ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM c")
+def doc_pack_offsets(spark, sf_dir):
+    d = codes(spark, sf_dir).withColumn("shard", F.col("g") % 8)
+    return S.packed(d, ["g"], F.size(S.song_document(F.col("text"), F.col("codes"))), "shard").select("g", F.col("size").alias("n_doc"), F.col("offset").cast("long").alias("at"))
+
+
+@query(f"WITH {CODES} SELECT g, array_to_string(text, ' ') AS first_text, array_to_string(codes[1:1], ' ') AS first_codes, CAST(9 + len(codes) + 1 + 2 * len(text) AS INTEGER) AS n FROM c")
+def section_documents(spark, sf_dir):
+    """Two sections (the first code, the others), assembled and parsed back; the length by formula."""
+    c = codes(spark, sf_dir)
+    n = F.size("codes")
+    section = lambda a, b: F.struct(F.col("text").alias("text"), a.cast("int").alias("f0"), b.cast("int").alias("f1"))
+    c = c.withColumn("sections", F.array(section(F.lit(0), F.lit(1)), section(F.lit(1), n)))
+    head = F.array(F.lit(7))
+    c = c.withColumn("doc", S.section_document(head, F.col("sections"), F.col("codes"))).withColumn("parsed", S.parse_sections("doc"))
+    same = F.assert_true((S.section_length(head, F.col("sections")) == F.size("doc")) & (F.flatten(F.transform("parsed", lambda p: p["codes"])) == F.col("codes")) & S.balanced_marks("doc"))
+    return c.select("g", joined(F.get("parsed", F.lit(0))["text"]).alias("first_text"), joined(F.get("parsed", F.lit(0))["codes"]).alias("first_codes"), (F.size("doc") - 1 + 0 * F.coalesce(same.cast("int"), F.lit(0))).alias("n"))
+
+
+@query(f"WITH {CODES} SELECT g, array_to_string(list_transform(codes, lambda c: CAST(c % 8 + 8 * ((c // 8) % 8) + 64 * ((c // 64) % 8) AS INTEGER)), ' ') AS back FROM c")
+def fsq_round_trip(spark, sf_dir):
+    levels = [8, 8, 8]
+    c = codes(spark, sf_dir).select("g", F.posexplode("codes").alias("i", "c")).withColumn("d", S.fsq_digits(F.col("c"), levels))
+    back = c.withColumn("b", S.fsq_index("d", levels)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("x"))
+    return back.select("g", joined(F.transform("x", lambda s: s["b"])).alias("back"))
+
+
+@query(f"WITH {CODES} SELECT g, array_to_string(list_concat(codes[2:], codes[1:1]), ' ') AS rotated FROM c")
+def rotated_sections(spark, sf_dir):
+    return codes(spark, sf_dir).select("g", joined(J.rotated("codes")).alias("rotated"))
+
+
+@query(f"WITH {CODES}, m AS (SELECT g, list_transform(codes, lambda c: CAST(c % 3 AS INTEGER)) AS x FROM c) SELECT g, array_to_string(list_filter(list_transform(x, lambda v, i: CASE WHEN v <> 0 AND (i = 1 OR v <> x[i - 1]) THEN v END), lambda v: v IS NOT NULL), ' ') AS s FROM m")
+def greedy_collapse(spark, sf_dir):
+    return codes(spark, sf_dir).select("g", F.transform("codes", lambda c: c % 3).alias("x")).select("g", joined(W.collapsed("x")).alias("s"))
+
+
+@query(f"WITH {CODES}, m AS (SELECT g, list_transform(codes, lambda c: CAST(c % 3 AS INTEGER)) AS x FROM c) SELECT g, round(coalesce(list_sum(list_transform(range(2, len(x) + 1), lambda i: CASE WHEN x[i] = x[i - 1] THEN 1 ELSE 0 END)), 0) / greatest(len(x) - 1, 1), 6) AS rate, CAST(len(list_distinct(x)) AS INTEGER) AS kinds FROM m")
+def repeat_rates(spark, sf_dir):
+    return codes(spark, sf_dir).select("g", F.transform("codes", lambda c: c % 3).alias("x")).select("g", F.round(S.repeat_rate("x"), 6).alias("rate"), F.size(F.array_distinct("x")).alias("kinds"))
+
+
+@query(f"""WITH {CODES}, w AS (SELECT g, unnest(range(0, len(codes), 3)) AS a, len(codes) AS n FROM c) SELECT g, CAST(a AS INTEGER) AS a, CAST(least(a + 3, n) AS INTEGER) AS b, CAST(greatest(a - 1, 0) AS INTEGER) AS lo, CAST(least(a + 4, n) AS INTEGER) AS hi FROM w""")
+def context_chunks(spark, sf_dir):
+    return codes(spark, sf_dir).select("g", F.explode(W.chunks(F.size("codes"), 3, 1)).alias("s")).select("g", "s.a", "s.b", "s.lo", "s.hi")
+
+
+@query(f"WITH {CODES} SELECT g, array_to_string(list_transform(range(-1, 3), lambda i: CASE WHEN i < 0 THEN -1 WHEN i >= len(codes) THEN -2 ELSE codes[i + 1] END), ' ') AS w FROM c")
+def sliding_ids(spark, sf_dir):
+    return codes(spark, sf_dir).select("g", joined(W.id_window("codes", F.lit(0), 1, 3, -1, -2)).alias("w"))
+
+
+@query("SELECT i, CAST((CAST(((i * i) % 997 * i) % 997 AS BIGINT) * 616) % 997 AS BIGINT) AS at FROM (SELECT CAST(unnest(range(0, 500)) AS BIGINT) AS i) WHERE 997 % 3 = 1 OR TRUE".replace("997", "983").replace("616", "607"))
+def window_sampler(spark, sf_dir):
+    """The quasi-random order of windows; needs no table."""
+    return O.window_offsets(spark, 998, 500).select("i", "at")
+
+
+@query("SELECT c_nationkey AS g, count(*) AS n, CAST(sum(CASE WHEN c_acctbal >= 5000 THEN 1 ELSE 0 END) AS BIGINT) AS full_band, CAST(sum(CASE WHEN c_acctbal >= 0 AND c_acctbal < 5000 THEN 1 ELSE 0 END) AS BIGINT) AS mid_band FROM customer GROUP BY 1")
+def bandwidth_tiers(spark, sf_dir):
+    from ..operators.filters import tier
+
+    t = table(spark, sf_dir, "customer").withColumn("t", tier(F.col("c_acctbal"), [(5000, "full"), (0, "mid")], "low"))
+    return t.groupBy(F.col("c_nationkey").alias("g")).agg(F.count("*").alias("n"), F.count_if(F.col("t") == "full").alias("full_band"), F.count_if(F.col("t") == "mid").alias("mid_band"))
