@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from .text import norm_wer
 
@@ -83,7 +84,7 @@ def word_edits(hyp: Column, ref: Column) -> Column:
     return F.when(F.size(words) < 256, F.levenshtein(coded(hyp), coded(ref)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def long_word_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """Edit distance over words for any number of distinct words."""
 
@@ -112,7 +113,7 @@ def wer_strict(hyp: Column, ref: Column) -> Column:
     return F.when(F.size(ref) == 0, F.lit(float("nan"))).when(F.size(hyp) == 0, F.lit(1.0)).otherwise(long_word_edits(hyp, ref) / F.size(ref))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def romanised(x: pd.Series) -> pd.Series:
     """Lower-case letters a-z and blanks: compatibility forms taken apart, marks dropped. Other scripts need a table of their own and are dropped."""
 
