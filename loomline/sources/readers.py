@@ -21,11 +21,10 @@ WORD_TIME = r"\((\d+),(\d+),\d+\)([^(]*)"
 WORD_CREDIT = r"(?iU)^\s*(作曲|作词|编曲|制作人|和声|混音|母带|录音|吉他|贝斯|鼓|键盘|弦乐|监制|出品|发行|词|曲|Lyrics|Composer|Producer|Arranged|Arranger|Written|Mixed|Mastered|OP|SP)\b.*[:：]"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, whole_lines: bool = True) -> DataFrame:
-    """Records with file_name; torn lines (a writer at work) are left out."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    out = raw.select("*", F.col("_metadata.file_name").alias("file_name"))
-    return (out.where("_corrupt_record is null") if whole_lines else out).drop("_corrupt_record")
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records with file_name; lines that don't end in } (a writer at work) are left out."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\}\s*$"))
+    return lines.select(F.from_json("value", schema).alias("r"), F.col("_metadata.file_name").alias("file_name")).select("r.*", "file_name")
 
 
 def with_shard(df: DataFrame, pattern: str = r"(\d+)") -> DataFrame:
@@ -83,7 +82,7 @@ def entities(files: DataFrame, audio: str = r"(?i)\.(flac|mp3|m4a|ogg|opus|wav)$
 
 def timed_lines(text: Column) -> Column:
     """Array of (t0, text): a line with several time tags once for each; [offset:ms] shows lines earlier, not before 0."""
-    off = F.coalesce(F.expr("nullif('', '')").cast("double"), F.when(F.regexp_extract(text, OFFSET, 1) != "", F.regexp_extract(text, OFFSET, 1).cast("double") / 1000), F.lit(0.0))
+    off = F.coalesce(F.when(F.regexp_extract(text, OFFSET, 1) != "", F.regexp_extract(text, OFFSET, 1).cast("double") / 1000), F.lit(0.0))
 
     def of(raw: Column) -> Column:
         tags = F.regexp_extract_all(raw, F.lit(TIME_TAG), F.lit(0))
