@@ -162,8 +162,8 @@ def trailing_count(df: DataFrame, group: str, order: str, symbol: str, n: int) -
     return df.withColumn("seen", F.size(F.filter(rows, lambda x: x == F.col(symbol))))
 
 
-def nucleus(df: DataFrame, group: str, symbol: str, p: str, top_p: float) -> DataFrame:
-    """The likeliest symbols of a distribution while what came before is under top_p, with p normalised."""
+def nucleus(df: DataFrame, group: str, symbol: str, p: str, top_p: float | Column) -> DataFrame:
+    """The likeliest symbols of a distribution while what came before is under top_p, with p normalised. Whole numbers keep sums exact."""
     w = Window.partitionBy(group).orderBy(F.desc(p), symbol)
     kept = df.withColumn("__before", F.sum(p).over(w) - F.col(p)).where(F.col("__before") < top_p).drop("__before")
     return kept.withColumn("p_kept", F.col(p) / F.sum(p).over(Window.partitionBy(group)))

@@ -111,11 +111,11 @@ def trailing_frequency(spark, sf_dir):
     x AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY n DESC, event_type) - n AS before FROM c)
     SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS p FROM x WHERE before * 10 < 7 * t""")
 def nucleus_filter(spark, sf_dir):
-    """The likeliest types of each user while what came before is under seven tenths (counted in rows, so that no sum of shares decides)."""
+    """The likeliest types of each user while what came before is under seven tenths, in whole numbers."""
     c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     total = c.groupBy("user_id").agg(F.sum("n").alias("t"))
     scaled = c.join(total, "user_id").withColumn("p", F.col("n") * 10).withColumn("cap", 7 * F.col("t"))
-    out = W.nucleus(scaled.withColumn("q", F.col("p") / F.col("cap")), "user_id", "event_type", "q", 1.0)
+    out = W.nucleus(scaled, "user_id", "event_type", "p", F.col("cap"))
     return out.select("user_id", "event_type", F.round("p_kept", 6).alias("p"))
 
 
