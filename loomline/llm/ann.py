@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 
 from .common import drawn, fit_in_one_task, written
 
+SAME = 1e-9  # squared distance of unit vectors up to which two centroids, or a query and a centroid, count as equal
+
 
 @dataclass
 class Index:
@@ -78,6 +80,11 @@ def fit(x: np.ndarray, lists: int, rounds: int = 10, degree: int = 24, seed: int
                 if size[small] < len(x) / lists / 2:
                     c[small] = x[rng.choice(np.flatnonzero(at == big))]
     d = c @ c.T
+    apart = np.ones(lists, bool)
+    for a in range(lists):  # equal centroids would share a list's vectors out by chance and fill a search
+        if apart[a]:
+            apart[a + 1 :] &= 2 - 2 * d[a, a + 1 :] > SAME
+    c, d, lists = c[apart], d[np.ix_(apart, apart)], int(apart.sum())
     near = np.argsort(-d, axis=1, kind="stable")[:, 1 : degree + 1]
     links = [set(r.tolist()) for r in near]
     for a in range(lists):  # both ways, and a ring, so that every centroid can be reached
@@ -139,7 +146,8 @@ def nearest_neighbours(
     zero, hold null or non-finite components, or are of another length than most, take no part. Repeated rows count
     once; of equal vectors only the top + 1 smallest ids can be found, so the others are left out before lists are made
     (exactly: they could never be in a result). Centroids are fitted on about `bound` rows (documented limit), 2 sqrt(rows) of them, most_lists at
-    most; every row is indexed. Other columns are not read.
+    most; the draw is among distinct vectors, so that a common one gets no more centroids than a rare one. Every row is indexed.
+    Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("is_query"))
@@ -149,10 +157,11 @@ def nearest_neighbours(
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == sizes["size"])
     n = sizes["count"]
-    sample = rows.where(drawn(bound / n, "ann", "vec_id")).select("vec_id", "v")
+    distinct = written(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "v"))
+    sample = distinct.where(drawn(bound / distinct.count(), "ann", "vec_id"))
     index = fit_in_one_task(sample, lambda got: fit(unit(np.array([r[1] for r in got])), min(most_lists, int(2 * n**0.5) + 1)))
     if index is None:  # too few rows for the draw
-        index = fit_in_one_task(rows.orderBy("vec_id").limit(16).select("vec_id", "v"), lambda got: fit(unit(np.array([r[1] for r in got])), 1))
+        index = fit_in_one_task(distinct.orderBy("vec_id").limit(16), lambda got: fit(unit(np.array([r[1] for r in got])), 1))
     shared = spark.sparkContext.broadcast(index)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +198,8 @@ def nearest_neighbours(
             to = []
             for r, q in enumerate(unit(_matrix(x.column(2)))):
                 found = ix.search(q, probes, 2 * probes)
-                to += [(r, c, p) for k, (d, c) in enumerate(found) if k < 16 or d <= ratio * found[0][0] for p in range(n_parts.get(c, 0))]  # 16 at least: a query may lie on a centroid
+                least = next((d for d, _ in found if d > SAME), 0)  # a query may lie on a centroid: the next one tells how far others are
+                to += [(r, c, p) for k, (d, c) in enumerate(found) if k < 16 or d <= ratio * least for p in range(n_parts.get(c, 0))]
             if to:
                 row, lists, ps = (pa.array(np.array(z, np.int32)) for z in zip(*to, strict=True))
                 yield pa.RecordBatch.from_arrays([lists, ps, *[x.column(k).take(row) for k in range(3)]], names=["list", "part", "query_id", "qkey", "q"])

@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pyarrow as pa
 
 from loomline.llm.ann import fit, nearest_neighbours, unit
 from loomline.llm.queries import op5_ann
@@ -68,3 +69,38 @@ def test_graph_search_finds_the_nearest_centroids():
         true = set(np.argsort(-(index.centroids @ q))[:10].tolist())
         hits += len({c for _, c in index.search(q, 10, 40)} & true)
     assert hits / 500 > 0.95
+
+
+def test_recall_with_a_third_of_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    n, dim = 102_000, 64
+    x = np.float32(rng.normal(size=(n, dim)))
+    hot = x[0].copy()
+    x[::3] = hot
+    centres = np.float32(rng.normal(size=(400, dim)))
+    x[2::3] = centres[rng.integers(0, 400, len(x[2::3]))] + np.float32(0.5) * x[2::3]
+    x[1::100] = hot + np.float32(np.repeat(0.3 * rng.normal(size=(n // 600, dim)), 6, 0) + 0.05 * rng.normal(size=(n // 100, dim)))  # sixes near the common vector
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), dim).cast(pa.list_(pa.float32()))}))
+    is_query = (df.vec_id % 600).isin(0, 1, 302)
+    got = {}
+    for r in nearest_neighbours(df, is_query).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u, recall = unit(x), {0: [], 1: [], 302: []}
+    for k in np.flatnonzero(np.isin(np.arange(n) % 600, (0, 1, 302))).tolist():
+        s = np.round(u @ u[k], 9)
+        s[k] = -9
+        best = np.lexsort((np.arange(n), -s))[:5]
+        recall[k % 600].append(len(got.get(k, set()) & set(best.tolist())) / 5)
+    recall = {k: float(np.mean(v)) for k, v in recall.items()}
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_no_two_centroids_are_equal():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9000, 16))
+    x[::3] = x[0]
+    index = fit(unit(x), 300)
+    c = index.centroids
+    assert (c @ c.T - 2 * np.eye(len(c))).max() < 1 - 1e-10 and len(index.near) == len(c) and index.near.max() < len(c)
+    found = [k for _, k in index.search(unit(x[0]), 40, 80)]
+    assert len(set(found) & set(np.argsort(-(c @ unit(x[0])))[:40].tolist())) >= 36
