@@ -5,7 +5,8 @@ hashes; the node of shingle c spans the compact window (l, c, r): of every passa
 the least hash is that of c. Windows shorter than the shortest passage sought are left out. Two passages that are
 alike share a window's hash under most functions. A window is keyed by its hash and by two shingles SPAN apart around c (for each way that a
 passage may lie around c, inside l and r), so that documents under one key have more than a frequent phrase in common.
-Under each key every document is matched with the first one, never all with all. Matches are verified on whole texts.
+Under each key every document is matched with the first one; those that fail on whole texts are matched with the one before them, then with the first
+LEADERS of the rest, then with 4 times as many of what is left, until none is left that failed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ WORDS = 5
 HASHES = 3
 SPAN, STEP = 30, 15
 ALIKE = 0.8
+LEADERS = 4
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,8 +150,8 @@ def _keyed(passage: int):
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id) in; a row for each document of a key but the first, with that first one, out."""
-    key = first = None
+    """Rows sorted by (key, doc_id) in; a row for each document of a key but the first, with that first one and with the one before it, out."""
+    key = first = last = None
     for x in batches:
         k, d = x.column(0).to_numpy(), x.column(1).to_numpy()
         if not len(k):
@@ -157,9 +159,33 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.concatenate(([key is not None and k[0] == key], k[1:] == k[:-1]))
         head = np.maximum.accumulate(np.where(same, -1, np.arange(len(k))))
         heads = np.where(head >= 0, d[np.maximum(head, 0)], first if first is not None else 0)
-        key, first = k[-1], heads[-1]
+        before = np.concatenate(([d[0] if last is None else last], d[:-1]))
+        key, first, last = k[-1], heads[-1], d[-1]
         on = same & (heads != d)
-        yield pa.RecordBatch.from_arrays([pa.array(d[on]), pa.array(heads[on])], names=["doc_id", "of"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (k, d, heads, before)], names=["key", "doc_id", "of", "before"])
+
+
+def _led(most: int):
+    """Rows sorted by (key, doc_id) in; each document with each of the first `most` of its key that come before it; left: it is none of these itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, []
+        for x in batches:
+            rows = []
+            for k, d in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                if k != key:
+                    key, first = k, []
+                left = len(first) >= most
+                rows += [(k, d, a, left) for a in first]
+                if len(rows) >= 65_536:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "doc_id", "of", "left"])
+                    rows = []
+                if not left:
+                    first.append(d)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "doc_id", "of", "left"])
+
+    return run
 
 
 def _verified(passage: int):
@@ -182,7 +208,8 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """(doc_id, of, first, last): passages of at least `words` words, first to last (word numbers from 0), that document `of`, of smaller id, has too.
 
     Exact passages, and those that share at least four fifths of their five-word shingles in one place. Each document is matched under each key
-    with the first document; so every document but the first that has a passage gets a row for it.
+    with the first document, if that fails with the one before it, and while it fails, with those of smaller id that failed like
+    it. Under a key, a document is not matched with those that have found a partner there, but for these.
     Rows without an id or a text take no part; of rows that share an id the one with the least text counts. Texts are whole.
     """
     spark = docs.sparkSession
@@ -190,12 +217,31 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     passage = words - WORDS + 1
     keyed = rows.mapInArrow(_keyed(passage), "key long, doc_id long")
     n = shuffle_partitions(spark)
-    pairs = written(keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_matched, "doc_id long, of long").distinct())
-    ids = pairs.select("doc_id").unionAll(pairs.select("of")).distinct()
+    kind = "doc_id long, of long, first long, last long"
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        sides = pairs.join(texts.withColumnRenamed("text", "text_b"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")), "of")
+        return written(sides.select("doc_id", "of", "text_b", "text_a").mapInArrow(_verified(passage), kind))
+
+    matched = written(keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_matched, "key long, doc_id long, of long, before long"))
+    tried = written(matched.select("doc_id", "of").distinct())
+    ids = tried.select("doc_id").unionAll(tried.select("of")).distinct()
     texts = written(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    sides = pairs.join(texts.withColumnRenamed("text", "text_b"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")), "of")
-    found = sides.select("doc_id", "of", "text_b", "text_a").mapInArrow(_verified(passage), "doc_id long, of long, first long, last long")
-    return written(found)
+    found = verified(tried, texts)
+    failed = written(matched.join(found, ["doc_id", "of"], "left_anti").select("key", "doc_id", F.col("before").alias("of")))
+    near = failed.select("doc_id").unionAll(failed.select("of")).distinct()
+    texts, most = written(texts.join(near, "doc_id", "left_semi")), LEADERS
+    new = written(failed.where("of <> doc_id").select("doc_id", "of").distinct().join(tried, ["doc_id", "of"], "left_anti"))
+    tried, found = tried.unionAll(new), found.unionAll(verified(new, texts))
+    rest = written(failed.join(found, ["doc_id", "of"], "left_anti").select("key", "doc_id").distinct())
+    while not rest.isEmpty():
+        led = written(rest.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_led(most), "key long, doc_id long, of long, left boolean"))
+        new = written(led.select("doc_id", "of").distinct().join(tried, ["doc_id", "of"], "left_anti"))
+        tried, found = tried.unionAll(new), found.unionAll(verified(new, texts))
+        left = led.where("left").join(found.select("doc_id", "of", F.lit(1).alias("ok")).distinct(), ["doc_id", "of"], "left")
+        rest = written(left.groupBy("key", "doc_id").agg(F.max("ok").alias("ok")).where("ok is null").select("key", "doc_id"))
+        most *= 4
+    return found
 
 
 def passage_classes(docs: DataFrame, words: int = 50) -> DataFrame:

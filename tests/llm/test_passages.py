@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from loomline.llm.passages import compact_windows, cut, drop_shared_passages, passage_classes, shared_passages
+from loomline.llm.passages import compact_windows, cut, drop_shared_passages, keys, passage_classes, shared_passages, shared_spans, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, root string"
 
@@ -95,3 +95,27 @@ def test_empty(spark):
 def test_cut():
     assert cut("a b  c\nd é f", [(1, 2), (2, 3)]) == "a  é f"
     assert cut("a b", [(0, 1)]) == "" and cut("a b", [(0, 5)]) == "a b"
+
+
+def test_true_partner_behind_an_unlike_first_document(spark):
+    texts, firsts = {}, []
+    for k, seed in enumerate((5, 12, 13, 14, 16)):  # by these seeds every key that C and B share is A's too
+        rng = random.Random(seed)
+        words = lambda n, rng=rng: [f"w{rng.randrange(5000)}" for _ in range(n)]
+        a = words(60)
+        c = list(a)
+        c[20], c[40] = "xa", "xb"
+        b = list(c)
+        b[10], b[50] = "xc", "xd"
+        ids = [10 * k + 1, 10 * k + 2, 10 * k + 3]
+        texts |= {i: " ".join(words(40) + p + words(40)) for i, p in zip(ids, (a, c, b))}
+        firsts.append(ids)
+        h = [shingles(texts[i].encode()) for i in ids]
+        own = [set(keys(x, 46)[0].tolist()) for x in h]
+        assert own[1] & own[2] and own[1] & own[2] <= own[0] and not shared_spans(h[2], h[0], 46)
+    hot = " ".join(f"h{k}" for k in range(45))  # a line too short for a passage: all that share it fail, round by round
+    rng = random.Random(3)
+    texts |= {k: " ".join(f"v{rng.randrange(9000)}" for _ in range(60)) + " " + hot + " " + " ".join(f"v{rng.randrange(9000)}" for _ in range(60)) for k in range(100, 140)}
+    df = spark.createDataFrame([(k, t, "en", "s", 1, "clash", "clash") for k, t in texts.items()], SCHEMA)
+    got = {(r.doc_id, r.of) for r in shared_passages(df).collect()}
+    assert all((b, c) in got for _, c, b in firsts) and all(d < 100 for d, _ in got)
