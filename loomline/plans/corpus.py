@@ -97,12 +97,15 @@ def join_miss_counts(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("missed")).alias("n_found"), F.count_if("missed").alias("n_missed"))
 
 
-@query("""SELECT d.doc_id, b.item_id IS NOT NULL AS held_out FROM documents d LEFT JOIN
-    (SELECT substr(text, 1, 60) AS k, min(item_id) AS item_id FROM benchmark GROUP BY 1) b ON substr(d.text, 1, 60) = b.k""")
+@query(f"""WITH d AS (SELECT doc_id, {HASH} AS h, {HEX8.format(ID)} / 4294967295.0 < 0.05 AS val FROM documents)
+    SELECT doc_id, val, val AND h IN (SELECT h FROM d WHERE NOT val) AS leaked, h IN (SELECT {HASH} FROM benchmark) AS held_out FROM d""")
 def leak_antijoin(spark, sf_dir):
-    """Documents that begin as a held-out item does."""
-    keys = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("k"))
-    return J.membership(docs(spark, sf_dir).withColumn("k", F.substring("text", 1, 60)), keys, "k", "held_out").select("doc_id", "held_out")
+    """Leak control by the hash of the whole text: validation rows whose text is in train too, and documents that are a held-out item."""
+    hashed = T.collapsed_hash(F.col("text"))
+    d = docs(spark, sf_dir).select("doc_id", hashed.alias("h"), (T.bucket_closed(F.col("doc_id").cast("string")) < 0.05).alias("val"))
+    d = J.membership(d, d.where("not val"), "h", "in_train")
+    d = J.membership(d, table(spark, sf_dir, "benchmark").select(hashed.alias("h")), "h", "held_out")
+    return d.select("doc_id", "val", F.expr("val and in_train").alias("leaked"), "held_out")
 
 
 @query("""SELECT doc_id, CASE WHEN cjk + cyr + lat = 0 THEN 'none' WHEN cjk / (cjk + cyr + lat) > 0.3 THEN 'cjk' WHEN cyr / (cjk + cyr + lat) > 0.3 THEN 'cyrillic' ELSE 'latin' END AS script FROM (
@@ -270,10 +273,10 @@ def three_way_join(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").join(turns, "doc_id")
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS h, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS h, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM pages")
 def html_escaped(spark, sf_dir):
-    """Escapes the head of a page for a report (the report shows 400 characters)."""
-    return table(spark, sf_dir, "pages").select("page_id", T.html_escape(F.substring("html", 1, 400)).alias("h"), T.slug(F.col("url")).alias("s"))
+    """Whole pages escaped for a report."""
+    return table(spark, sf_dir, "pages").select("page_id", T.html_escape(F.col("html")).alias("h"), T.slug(F.col("url")).alias("s"))
 
 
 @query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT regexp_matches(line, '(?i)[©℗]|https?://|www\\.|\\b[\\w.-]+@[\\w-]+\\.\\w+|\\b[\\w-]+\\.(com|cn|net|org)\\b') AND trim(line) <> ''")
