@@ -77,3 +77,17 @@ def fit_in_one_task(sample: DataFrame, fit):
 def drawn(share: float, salt: str, key: str = "doc_id") -> Column:
     """A repeatable choice of about that share of the rows, by a hash of the key."""
     return F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
+def parts(batches, rows: int = 4096, most: int = 1 << 24, column: int = 1):
+    """Arrow batches in slices of so many rows, and about so many bytes of text (in that column), at most; none is empty."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for x in batches:
+        ends, start = np.cumsum(pc.fill_null(pc.binary_length(x.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < x.num_rows:
+            end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+            end = max(start + 1, min(start + rows, end))
+            yield x.slice(start, end - start)
+            start = end

@@ -7,6 +7,8 @@ other in lanes; the state is carried from window to window and cleared where a t
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 WINDOW, LANES = 16, 512
@@ -115,30 +117,34 @@ def backward(p: Params, ids: np.ndarray, fresh: np.ndarray, kept: list, dh_out:
     grad["emb"][read[order][edges]] += np.add.reduceat(flat[order], edges, 0) @ p["wx"].T
 
 
-def lanes(texts: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts (ids, each ending with end) dealt to lanes of like length: what is read, what is to come, where texts begin, whose they are (-1: none)."""
-    width = max(1, min(width, len(texts)))
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    load = [(0, k) for k in range(width)]
-    import heapq
-
-    mine: list[list[int]] = [[] for _ in range(width)]
-    for k in order:
-        n, lane = heapq.heappop(load)
-        mine[lane].append(k)
-        heapq.heappush(load, (n + len(texts[k]), lane))
-    steps = max(n for n, _ in load)
-    mine.sort(key=lambda ks: -sum(len(texts[k]) for k in ks))  # lanes that run out are last
-    y = np.full((steps, width), end, np.int32)
-    x, whose, fresh = y.copy(), np.full((steps, width), -1, np.int32), np.zeros((steps, width), bool)
-    for lane, ks in enumerate(mine):
-        if ks:
-            row = np.concatenate([texts[k] for k in ks])
-            n = len(row)
-            y[:n, lane], x[1:n, lane] = row, row[:-1]  # a text's first word is read after an end
-            whose[:n, lane] = np.repeat(ks, [len(texts[k]) for k in ks])
-            fresh[np.concatenate(([0], np.cumsum([len(texts[k]) for k in ks])[:-1])), lane] = True
-    return x, y, fresh, whose
+class Lanes:
+    """Texts (ids, each ending with end) dealt to lanes of like length, kept one behind the other: memory follows the tokens, however long one text is."""
+
+    def __init__(self, texts: list[np.ndarray], width: int, end: int) -> None:
+        mine: list[list[int]] = [[] for _ in range(max(1, min(width, len(texts))))]
+        load = [(0, k) for k in range(len(mine))]
+        for k in sorted(range(len(texts)), key=lambda k: -len(texts[k])):
+            n, lane = load[0]
+            mine[lane].append(k)
+            heapq.heapreplace(load, (n + len(texts[k]), lane))
+        mine.sort(key=lambda ks: -sum(len(texts[k]) for k in ks))  # lanes that run out are last
+        order, self.end = [k for ks in mine for k in ks], end
+        self.sizes = np.array([sum(len(texts[k]) for k in ks) for ks in mine])
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        self.steps, self.width = int(self.sizes.max()), len(mine)
+        self.y = np.concatenate([texts[k] for k in order]).astype(np.int32, copy=False)
+        self.whose = np.repeat(np.array(order, np.int32), [len(texts[k]) for k in order])
+        self.first = np.concatenate(([True], self.whose[1:] != self.whose[:-1]))
+
+    def window(self, t: int, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps t to t + steps of the lanes that go on at t: what is read, what is to come, where texts begin, whose they are (-1: none)."""
+        n = int((self.sizes > t).sum())
+        step = np.arange(t, min(t + steps, self.steps))[:, None]
+        there = step < self.sizes[:n]
+        at = np.where(there, self.starts[:n] + step, 0)
+        fresh = there & self.first[at]
+        x = np.where(fresh | (step == 0), self.end, self.y[at - 1])  # a text's first word is read after an end
+        return x, np.where(there, self.y[at], self.end), fresh, np.where(there, self.whose[at], -1)
 
 
 def score(p: Params, texts: list[np.ndarray], end: int) -> np.ndarray:
@@ -146,17 +152,15 @@ def score(p: Params, texts: list[np.ndarray], end: int) -> np.ndarray:
     total = np.zeros(len(texts))
     if not texts:
         return total
-    x, y, fresh, whose = lanes(texts, LANES, end)
+    lanes = Lanes(texts, LANES, end)
     xw = p["emb"] @ p["wx"] + p["b"]
-    h = np.zeros((x.shape[1], p["emb"].shape[1]), np.float32)
-    busy = (whose >= 0).sum(1)
-    for t in range(0, len(x), WINDOW):
-        n = int(busy[t])
-        x, y, fresh, whose = x[:, :n], y[:, :n], fresh[:, :n], whose[:, :n]
-        out, h = forward(p, xw, x[t : t + WINDOW], fresh[t : t + WINDOW], h[:n])
-        on = whose[t : t + WINDOW].ravel() >= 0
-        logp, _ = output(p, out.reshape(-1, h.shape[1])[on], y[t : t + WINDOW].ravel()[on])
-        total += np.bincount(whose[t : t + WINDOW].ravel()[on], weights=logp, minlength=len(texts))
+    h = np.zeros((lanes.width, p["emb"].shape[1]), np.float32)
+    for t in range(0, lanes.steps, WINDOW):
+        x, y, fresh, whose = lanes.window(t, WINDOW)
+        out, h = forward(p, xw, x, fresh, h[: x.shape[1]])
+        on = whose.ravel() >= 0
+        logp, _ = output(p, out.reshape(-1, h.shape[1])[on], y.ravel()[on])
+        total += np.bincount(whose.ravel()[on], weights=logp, minlength=len(texts))
     return total
 
 
@@ -173,22 +177,23 @@ class Trainer:
         """One pass; the mean loss."""
         if not texts:
             return 0.0
-        x, y, fresh, whose = lanes(texts, LANES // 2, end)
-        h, loss = np.zeros((x.shape[1], self.p["emb"].shape[1]), np.float32), 0.0
-        for t in range(0, len(x), WINDOW):
+        lanes = Lanes(texts, LANES // 2, end)
+        h, loss = np.zeros((lanes.width, self.p["emb"].shape[1]), np.float32), 0.0
+        for t in range(0, lanes.steps, WINDOW):
             p, kept = self.p, []
-            ids, new, on = x[t : t + WINDOW], fresh[t : t + WINDOW], whose[t : t + WINDOW].ravel() >= 0
-            out, h = forward(p, p["emb"] @ p["wx"] + p["b"], ids, new, h, kept)
+            x, y, fresh, whose = lanes.window(t, WINDOW)
+            on = whose.ravel() >= 0
+            out, h = forward(p, p["emb"] @ p["wx"] + p["b"], x, fresh, h[: x.shape[1]], kept)
             grad = {k: np.zeros_like(v) for k, v in self.m.items()}
             flat = out.reshape(-1, h.shape[1])
-            logp, back = output(p, flat[on], y[t : t + WINDOW].ravel()[on], grad)
+            logp, back = output(p, flat[on], y.ravel()[on], grad)
             dh = np.zeros_like(flat)
             dh[on] = back
-            backward(p, ids, new, kept, dh.reshape(out.shape), grad)
-            self._step(grad, WINDOW * x.shape[1])  # windows with few texts left weigh little
+            backward(p, x, fresh, kept, dh.reshape(out.shape), grad)
+            self._step(grad, WINDOW * lanes.width)  # windows with few texts left weigh little
             loss -= logp.sum()
             self.tokens += int(on.sum())
-        return loss / max(1, (whose >= 0).sum())
+        return loss / max(1, len(lanes.y))
 
     def _step(self, grad: Params, n: int) -> None:
         self.steps += 1
