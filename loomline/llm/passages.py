@@ -2,11 +2,14 @@
 
 Tokens are shingles of five words. Under one hash function the shingles of a text form a Cartesian tree by their
 hashes; the node of shingle c spans the compact window (l, c, r): of every passage with l <= first <= c <= last <= r
-the least hash is that of c. Windows shorter than the shortest passage sought are left out. Two passages that are
-alike share a window's hash under most functions. A window is keyed by its hash and by two shingles SPAN apart around c (for each way that a
-passage may lie around c, inside l and r), so that documents under one key have more than a frequent phrase in common.
-Under each key every document is matched with the first one; those that fail on whole texts are matched with the one before them, then with the first
-LEADERS of the rest, then with 4 times as many of what is left, until none is left that failed.
+the least hash is that of c. Windows shorter than the shortest passage sought (less some slack) are left out. The windows
+of two functions are joined by their intervals: where both hold a passage, the two least hashes are its signature. Of two
+passages alike to J a signature agrees with chance J * J; there are SIGNATURES of them, each of two functions of its own.
+
+Under each signature every document is matched with the first one on whole texts. What is around the signature ends,
+on either side, at a shingle that the first document lacks. Documents that have these shingles in common are matched
+again, with the first of them, wherever one failed; so a document meets those that go on like it, step by step, and no
+group is ever paired with itself.
 """
 
 from __future__ import annotations
@@ -15,18 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, without, written
+from .common import parts, shuffle_partitions, without, written
 from .graph import connected_components
 
 WORDS = 5
-HASHES = 3
-SPAN, STEP = 30, 15
+SIGNATURES = 3
+SLACK = 6  # an inserted or deleted word must leave room for a window
 ALIKE = 0.8
-LEADERS = 4
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,30 +41,50 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The hash of each run of five words, in order; words are lower-cased (A-Z) and split at blanks."""
-    digest = xxhash.xxh64_intdigest
-    words = np.array([digest(w) for w in text.lower().split()], np.uint64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, lower-cased (A-Z) and split at blanks, of all texts, and where each text's begin (and the last's end)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, ends = pc.list_flatten(split), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))
+    coded = words.dictionary_encode()
+    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends give empty words
+    starts = np.concatenate(([0], np.cumsum(full)))[ends.astype(np.int64)]
+    return digest[coded.indices.to_numpy(zero_copy_only=False)[full]] if len(digest) else digest, starts
+
+
+def shingles_of(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word the hash of the run of five words from it on; 0 where its text ends before."""
+    out = np.zeros(len(words), np.uint64)
     n = len(words) - WORDS + 1
     if n < 1:
-        return words[:0]
-    out = np.zeros(n, np.uint64)
+        return out
     for k in range(WORDS):
-        out = out * _MUL + words[k : k + n]
-    return mixed(out, 0)
+        out[:n] = out[:n] * _MUL + words[k : k + n]
+    out = mixed(out, 0) | np.uint64(1)
+    sizes = np.diff(starts)
+    for k in range(1, WORDS):
+        out[(starts[1:] - k)[sizes >= k]] = 0
+    return out
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The hash of each run of five words of one text, in order."""
+    words, starts = word_hashes(pa.array([text], pa.binary()).cast(pa.string()))
+    return shingles_of(words, starts)[: max(0, len(words) - WORDS + 1)]
 
 
-def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, least: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of every compact window of at least `least` elements, ends included; of equal hashes the first counts as less.
 
     These are the nodes of the Cartesian tree with so long a span: c is the least of some run of `least` elements, and
-    l and r are found by descending the table of minima of runs of 1, 2, 4, ...
+    l and r are found by descending the table of minima of runs of 1, 2, 4, ... Elements 0 divide h into texts, of
+    `longest` elements at most: no window holds one.
     """
     n = len(h)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
     levels = [h]
-    while 2 << (len(levels) - 1) <= n:
+    while 2 << (len(levels) - 1) <= max(least, min(n, longest or n)):
         x, half = levels[-1], 1 << (len(levels) - 1)
         levels.append(np.minimum(x[:-half], x[half:]))
     top = least.bit_length() - 1
@@ -72,7 +95,7 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
         padded = np.maximum(padded[:-size], padded[size:])
         size *= 2
     held = np.maximum(padded[:n], padded[least - size : least - size + n])
-    c = np.flatnonzero(held == h)
+    c = np.flatnonzero((held == h) & (h > 0))
     l, r, v = c.copy(), c.copy(), h[c]
     for k in range(len(levels) - 1, -1, -1):
         size, x = 1 << k, levels[k]
@@ -86,25 +109,45 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return l[whole], c[whole], r[whole]
 
 
-def keys(h: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, centre) for a text's shingle hashes; passage: the least length sought, in shingles."""
-    key, at = [], []
-    for f in range(HASHES):
-        v = mixed(h, 10 + f)
-        l, c, r = compact_windows(v, passage)
-        for before in range(0, SPAN + 1, STEP):
-            fits = (c - before >= l) & (c + SPAN - before <= r)
-            x = c[fits]
-            key.append(mixed(v[x] + h[x - before] * np.uint64(3) + h[x + SPAN - before] * np.uint64(7), 50 + before))
-            at.append(x)
+def overlaps(a: tuple, b: tuple, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interval join of two functions' windows: (centre, centre) wherever one passage of at least `least` and less than `most` shingles lies in both."""
+    (l1, c1, r1), (l2, c2, r2) = a, b
+    low, high = np.searchsorted(c2, np.maximum(l1, c1 - most + 1), side="left"), np.searchsorted(c2, np.minimum(r1, c1 + most - 1), side="right")
+    n = high - low
+    i = np.repeat(np.arange(len(c1)), n)
+    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    both = (l2[j] <= c1[i]) & (c1[i] <= r2[j]) & (np.minimum(r1[i], r2[j]) - np.maximum(l1[i], l2[j]) + 1 >= least)
+    return c1[i[both]], c2[j[both]]
+
+
+def keys(h: np.ndarray, passage: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, a centre) for shingle hashes, of one text or of several that zeros divide; passage: the least length sought, in shingles."""
+    key, at, least = [], [], max(1, passage - SLACK)
+    for f in range(SIGNATURES):
+        v = [np.where(h > 0, mixed(h, 10 + 2 * f + k) | np.uint64(1), np.uint64(0)) for k in (0, 1)]
+        x, y = overlaps(*(compact_windows(u, least, longest) for u in v), least, passage)
+        key.append(mixed(v[0][x] + v[1][y] * np.uint64(3), 50 + f))
+        at.append(x)
     return np.concatenate(key), np.concatenate(at)
 
 
-def shared_spans(h: np.ndarray, other: np.ndarray, passage: int, gap: int = 10) -> list[tuple[int, int]]:
+def _edge(mine: np.ndarray, theirs: np.ndarray) -> int:
+    """How many words of mine a passage goes on over one word replaced, inserted or deleted; both lead away from where it ended."""
+    best = 0
+    for a, b in ((1, 1), (1, 0), (0, 1)):
+        n = min(len(mine) - a, len(theirs) - b, WORDS - 1)
+        same = mine[a : a + n] == theirs[b : b + n] if n > 0 else np.zeros(0, bool)
+        k = int(same.argmin()) if not same.all() else len(same)
+        best = max(best, a + k if k else 0)
+    return best
+
+
+def shared_spans(h: np.ndarray, other: np.ndarray, passage: int, gap: int = 10, words: np.ndarray | None = None, others: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(first, last) runs of at least `passage` shingles of h of which at least ALIKE are found in one place of other.
 
     Runs of shared shingles join over gaps of at most `gap` (an edited word spoils five). If what is joined shares
-    too little, its parts count for themselves.
+    too little, its parts count for themselves. With the words of both, a run also holds equal words beyond an edited
+    one near its ends, too few for a shingle.
     """
     order = np.argsort(other, kind="stable")
     at = np.searchsorted(other, h, sorter=order)
@@ -123,13 +166,21 @@ def shared_spans(h: np.ndarray, other: np.ndarray, passage: int, gap: int = 10)
 
     def settle(run: np.ndarray, most: int) -> None:
         for part in np.split(run, np.flatnonzero(np.diff(run) > most) + 1):
-            size = part[-1] - part[0] + 1 if len(part) else 0
-            if size < passage:
+            if not len(part):
+                continue
+            first, last = int(part[0]), int(part[-1])
+            if words is not None and passage - 2 * WORDS <= last - first + 1 < passage:
+                a, b = int(there[first]), int(there[last])
+                first -= _edge(words[max(0, first - WORDS) : first][::-1], others[max(0, a - WORDS) : a][::-1])
+                last += _edge(words[last + WORDS : last + 2 * WORDS], others[b + WORDS : b + 2 * WORDS])
+            size = last - first + 1
+            theirs = there[part[-1]] - there[part[0]] + 1
+            if max(size, theirs if theirs <= size + 2 else 0) < passage:  # a word deleted here may be there
                 continue
             shift = part - there[part]
             near = np.abs(shift - np.median(shift)) <= max(32, size // 4)
             if near.sum() >= ALIKE * size:
-                out.append((int(part[0]), int(part[-1])))
+                out.append((first, last))
             elif most > 1:
                 settle(part, 1)
 
@@ -139,19 +190,26 @@ def shared_spans(h: np.ndarray, other: np.ndarray, passage: int, gap: int = 10)
 
 
 def _keyed(passage: int):
+    """A row for each signature of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            made = [(i, np.unique(keys(shingles(t), passage)[0])) for i, t in zip(x.column(0).to_pylist(), x.column(1).cast(pa.binary()).to_pylist(), strict=True)]
-            if made:
-                ids = np.repeat(np.array([m[0] for m in made], np.int64), [len(m[1]) for m in made])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[1] for m in made]).view(np.int64)), pa.array(ids)], names=["key", "doc_id"])
+        for x in parts(batches, most=1 << 19):
+            words, starts = word_hashes(x.column(1))
+            key, at = keys(shingles_of(words, starts), passage, int(np.diff(starts).max()))
+            doc = np.searchsorted(starts, at, side="right") - 1
+            order = np.lexsort((doc, key))
+            key, at, doc = key[order], at[order], doc[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            key, at, doc = key[new], at[new], doc[new]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), x.column(0).take(pa.array(doc)), pa.array((at - starts[doc]).astype(np.int32))], names=["key", "doc_id", "at"])
 
     return run
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id) in; a row for each document of a key but the first, with that first one and with the one before it, out."""
-    key = first = last = None
+    """Rows sorted by (key, doc_id) in; a row for each document of a key but the first, with that first one, out."""
+    key = first = None
     for x in batches:
         k, d = x.column(0).to_numpy(), x.column(1).to_numpy()
         if not len(k):
@@ -159,89 +217,84 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.concatenate(([key is not None and k[0] == key], k[1:] == k[:-1]))
         head = np.maximum.accumulate(np.where(same, -1, np.arange(len(k))))
         heads = np.where(head >= 0, d[np.maximum(head, 0)], first if first is not None else 0)
-        before = np.concatenate(([d[0] if last is None else last], d[:-1]))
-        key, first, last = k[-1], heads[-1], d[-1]
+        key, first = k[-1], heads[-1]
         on = same & (heads != d)
-        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (k, d, heads, before)], names=["key", "doc_id", "of", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in (d, heads, x.column(2).to_numpy())], names=["doc_id", "of", "at"])
 
 
-def _led(most: int):
-    """Rows sorted by (key, doc_id) in; each document with each of the first `most` of its key that come before it; left: it is none of these itself."""
+def _verified(passage: int):
+    """For each pair the passages shared (key null), and where the runs around the signatures end: shingles of doc_id that `of` lacks, each a key to be matched by."""
+
+    def ends(h: np.ndarray, other: np.ndarray, at: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+        lacks = np.flatnonzero(~np.isin(h, other))
+        done = set()
+        for c in at:
+            k = int(np.searchsorted(lacks, c))
+            if c >= len(h) or (k < len(lacks) and lacks[k] == c) or k in done:
+                continue
+            done.add(k)
+            fail = not any(s <= c <= e for s, e in spans)
+            for side, edge, step in ((0, lacks[k - 1] if k else -1, -WORDS), (1, lacks[k] if k < len(lacks) else len(h), WORDS)):
+                for p in (edge, edge + step):
+                    if 0 <= p < len(h) and (p == edge or lacks[min(np.searchsorted(lacks, p), len(lacks) - 1)] == p):
+                        yield int(p), side, fail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, []
-        for x in batches:
-            rows = []
-            for k, d in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                if k != key:
-                    key, first = k, []
-                left = len(first) >= most
-                rows += [(k, d, a, left) for a in first]
-                if len(rows) >= 65_536:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "doc_id", "of", "left"])
-                    rows = []
-                if not left:
-                    first.append(d)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "doc_id", "of", "left"])
+        for x in parts(batches, column=3):
+            ids, of, at = x.column(0).to_pylist(), x.column(1), x.column(2).to_pylist()
+            coded = of.dictionary_encode()
+            which = coded.indices.to_numpy()
+            rows = np.zeros(len(coded.dictionary), np.int64)
+            rows[which[::-1]] = np.arange(len(which))[::-1]
+            mine, b = word_hashes(x.column(3))
+            theirs, a = word_hashes(x.column(4).take(pa.array(rows)))
+            split = lambda w, s: [(w[p:q], shingles_of(w[p:q], np.array([0, q - p]))[: max(0, q - p - WORDS + 1)]) for p, q in zip(s, s[1:], strict=False)]
+            others, found, more = split(theirs, a), [], []
+            for i, d, (w, h), cs, k in zip(ids, of.to_pylist(), split(mine, b), at, which.tolist(), strict=True):
+                wo, other = others[k]
+                spans = shared_spans(h, other, passage, words=w, others=wo)
+                found += [(i, d, s, e + WORDS - 1) for s, e in spans]
+                more += [(i, d, p, fail, h[p], side) for p, side, fail in ends(h, other, sorted(cs), spans)]
+            f, m = (list(zip(*z, strict=True)) or [()] * 6 for z in (found, more))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in f[:4]] + [pa.nulls(len(found), t) for t in (pa.int64(), pa.int32(), pa.bool_())], names=_COLUMNS)
+            if more:
+                key = mixed(np.array(m[4], np.uint64) + np.array(m[1], np.int64).view(np.uint64) * _MUL, 60) + np.array(m[5], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64()), *[pa.nulls(len(more), pa.int64())] * 2, pa.array(key.view(np.int64)), pa.array(m[2], pa.int32()), pa.array(m[3], pa.bool_())], names=_COLUMNS)
 
     return run
 
 
-def _verified(passage: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for x in batches:
-            rows = []
-            for b, a, tb, ta in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).cast(pa.binary()).to_pylist(), x.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if held[0] != a:
-                    held = (a, shingles(ta))
-                rows += [(b, a, s, e + WORDS - 1) for s, e in shared_spans(shingles(tb), held[1], passage)]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "of", "first", "last"])
-
-    return run
+_COLUMNS = ["doc_id", "of", "first", "last", "key", "at", "fail"]
 
 
 def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """(doc_id, of, first, last): passages of at least `words` words, first to last (word numbers from 0), that document `of`, of smaller id, has too.
 
-    Exact passages, and those that share at least four fifths of their five-word shingles in one place. Each document is matched under each key
-    with the first document, if that fails with the one before it, and while it fails, with those of smaller id that failed like
-    it. Under a key, a document is not matched with those that have found a partner there, but for these.
-    Rows without an id or a text take no part; of rows that share an id the one with the least text counts. Texts are whole.
+    Exact passages, and those that share at least four fifths of their five-word shingles in one place. Each document is matched under each
+    signature with the first document; where that fails for one, all that go on alike beyond what the first one has are matched with the first of them,
+    and so on until none is left. Rows without an id or a text take no part; of rows that share an id the one with the
+    least text counts. Texts are whole. Joins are merge joins at every size: neither pairs nor texts have a bound for a broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    passage = words - WORDS + 1
-    keyed = rows.mapInArrow(_keyed(passage), "key long, doc_id long")
-    n = shuffle_partitions(spark)
-    kind = "doc_id long, of long, first long, last long"
-
-    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        sides = pairs.join(texts.withColumnRenamed("text", "text_b"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")), "of")
-        return written(sides.select("doc_id", "of", "text_b", "text_a").mapInArrow(_verified(passage), kind))
-
-    matched = written(keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_matched, "key long, doc_id long, of long, before long"))
-    tried = written(matched.select("doc_id", "of").distinct())
-    ids = tried.select("doc_id").unionAll(tried.select("of")).distinct()
-    texts = written(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    found = verified(tried, texts)
-    failed = written(matched.join(found, ["doc_id", "of"], "left_anti").select("key", "doc_id", F.col("before").alias("of")))
-    near = failed.select("doc_id").unionAll(failed.select("of")).distinct()
-    texts, most = written(texts.join(near, "doc_id", "left_semi")), LEADERS
-    new = written(failed.where("of <> doc_id").select("doc_id", "of").distinct().join(tried, ["doc_id", "of"], "left_anti"))
-    tried, found = tried.unionAll(new), found.unionAll(verified(new, texts))
-    rest = written(failed.join(found, ["doc_id", "of"], "left_anti").select("key", "doc_id").distinct())
-    while not rest.isEmpty():
-        led = written(rest.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_led(most), "key long, doc_id long, of long, left boolean"))
-        new = written(led.select("doc_id", "of").distinct().join(tried, ["doc_id", "of"], "left_anti"))
-        tried, found = tried.unionAll(new), found.unionAll(verified(new, texts))
-        left = led.where("left").join(found.select("doc_id", "of", F.lit(1).alias("ok")).distinct(), ["doc_id", "of"], "left")
-        rest = written(left.groupBy("key", "doc_id").agg(F.max("ok").alias("ok")).where("ok is null").select("key", "doc_id"))
-        most *= 4
-    return found
+    passage, n = words - WORDS + 1, shuffle_partitions(spark)
+    open_ends = rows.mapInArrow(_keyed(passage), "key long, doc_id long, at int")
+    found, texts, pairs = None, rows, None
+    while True:
+        matched = open_ends.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_matched, "doc_id long, of long, at int")
+        pairs = written(matched.groupBy("doc_id", "of").agg(F.collect_set("at").alias("at")))
+        if found is not None and pairs.isEmpty():
+            return found
+        ids = pairs.select("doc_id").unionAll(pairs.select("of")).distinct()
+        texts = written(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        sides = pairs.join(texts.withColumnRenamed("text", "text_b").hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")).hint("merge"), "of")
+        made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(_verified(passage), "doc_id long, of long, first long, last long, key long, at int, fail boolean"))
+        new = made.where("key is null").select("doc_id", "of", "first", "last")
+        found = new if found is None else found.unionAll(new)
+        ends = made.where("key is not null")
+        failed = ends.where("fail").select("key").distinct()
+        open_ends = ends.join(failed.hint("merge"), "key", "left_semi").select("key", "doc_id", "at")
 
 
 def passage_classes(docs: DataFrame, words: int = 50) -> DataFrame:
