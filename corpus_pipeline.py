@@ -9,7 +9,7 @@ from loomline.llm.common import table, written
 from loomline.llm.mixing import mix_sources
 from loomline.llm.passages import drop_shared_passages
 from loomline.llm.queries import vocabulary
-from loomline.llm.simhash import drop_near_copies
+from loomline.llm.simhash import drop_alike
 from loomline.llm.toxicity import fit_model, score_toxicity
 
 
@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: five-word shingles, fingerprints at most 4 bits apart."""
-    return drop_near_copies(docs, words=5)
+    """One document of each SimHash group: sets of five-word shingles alike to 0.8 or more, read off fingerprints of 512 bits."""
+    return drop_alike(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

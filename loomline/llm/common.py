@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MUL = np.uint64(0x9E3779B97F4A7C15)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,9 +87,6 @@ def drawn(share: float, salt: str, key: str = "doc_id") -> Column:
 
 def parts(batches, rows: int = 4096, most: int = 1 << 24, column: int = 1):
     """Arrow batches in slices of so many rows, and about so many bytes of text (in that column), at most; none is empty."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for x in batches:
         ends, start = np.cumsum(pc.fill_null(pc.binary_length(x.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
         while start < x.num_rows:
@@ -91,3 +94,37 @@ def parts(batches, rows: int = 4096, most: int = 1 << 24, column: int = 1):
             end = max(start + 1, min(start + rows, end))
             yield x.slice(start, end - start)
             start = end
+
+
+def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit mixing of each value, another for each seed."""
+    x = x ^ np.uint64((seed + 1) * int(MUL) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, lower-cased (A-Z) and split at blanks, of all texts, and where each text's begin (and the last's end)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, ends = pc.list_flatten(split), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))
+    coded = words.dictionary_encode()
+    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends give empty words
+    starts = np.concatenate(([0], np.cumsum(full)))[ends.astype(np.int64)]
+    return digest[coded.indices.to_numpy(zero_copy_only=False)[full]] if len(digest) else digest, starts
+
+
+def shingles_of(words: np.ndarray, starts: np.ndarray, width: int = 5) -> np.ndarray:
+    """For each word the hash of the run of `width` words from it on; 0 where its text ends before."""
+    out = np.zeros(len(words), np.uint64)
+    n = len(words) - width + 1
+    if n < 1:
+        return out
+    for k in range(width):
+        out[:n] = out[:n] * MUL + words[k : k + n]
+    out = mixed(out, 0) | np.uint64(1)
+    sizes = np.diff(starts)
+    for k in range(1, width):
+        out[(starts[1:] - k)[sizes >= k]] = 0
+    return out

@@ -18,53 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, shuffle_partitions, without, written
+from .common import MUL, mixed, parts, shingles_of, shuffle_partitions, without, word_hashes, written
 from .graph import connected_components
 
 WORDS = 5
 SIGNATURES = 3
 SLACK = 6  # an inserted or deleted word must leave room for a window
 ALIKE = 0.8
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit mixing of each value, another for each seed."""
-    x = x ^ np.uint64((seed + 1) * int(_MUL) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, lower-cased (A-Z) and split at blanks, of all texts, and where each text's begin (and the last's end)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    words, ends = pc.list_flatten(split), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))
-    coded = words.dictionary_encode()
-    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends give empty words
-    starts = np.concatenate(([0], np.cumsum(full)))[ends.astype(np.int64)]
-    return digest[coded.indices.to_numpy(zero_copy_only=False)[full]] if len(digest) else digest, starts
-
-
-def shingles_of(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each word the hash of the run of five words from it on; 0 where its text ends before."""
-    out = np.zeros(len(words), np.uint64)
-    n = len(words) - WORDS + 1
-    if n < 1:
-        return out
-    for k in range(WORDS):
-        out[:n] = out[:n] * _MUL + words[k : k + n]
-    out = mixed(out, 0) | np.uint64(1)
-    sizes = np.diff(starts)
-    for k in range(1, WORDS):
-        out[(starts[1:] - k)[sizes >= k]] = 0
-    return out
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -259,7 +222,7 @@ def _verified(passage: int):
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in f[:4]] + [pa.nulls(len(found), t) for t in (pa.int64(), pa.int32(), pa.bool_())], names=_COLUMNS)
             if more:
-                key = mixed(np.array(m[4], np.uint64) + np.array(m[1], np.int64).view(np.uint64) * _MUL, 60) + np.array(m[5], np.uint64)
+                key = mixed(np.array(m[4], np.uint64) + np.array(m[1], np.int64).view(np.uint64) * MUL, 60) + np.array(m[5], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64()), *[pa.nulls(len(more), pa.int64())] * 2, pa.array(key.view(np.int64)), pa.array(m[2], pa.int32()), pa.array(m[3], pa.bool_())], names=_COLUMNS)
 
     return run

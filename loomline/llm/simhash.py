@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import mixed, parts, shingles_of, shuffle_partitions, word_hashes, written
 from .graph import connected_components
 
 BITS = 64
@@ -155,13 +156,150 @@ def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4, block
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def set_fingerprints(texts: pa.Array, words: int = 5, lanes: int = 8) -> np.ndarray:
+    """A SimHash of 64 * lanes bits of the set of each text's word shingles, as rows of lanes numbers; zeros without a word.
+
+    The share of bits in which two differ is about acos(c) / pi, where c is the cosine of the two sets; with the Jaccard
+    index J and sets of like size c = 2 J / (1 + J).
+    """
+    hashed, starts = word_hashes(texts)
+    h = shingles_of(hashed, starts, words)
+    out = np.zeros((len(starts) - 1, lanes), np.uint64)
+    for k, (a, b) in enumerate(zip(starts.tolist(), starts.tolist()[1:], strict=False)):
+        if a == b:
+            continue
+        own = np.unique(h[a : b - words + 1] if b - a >= words else shingles_of(hashed[a:b], np.array([0, b - a]), b - a)[:1])
+        ones = np.zeros(BITS * lanes, np.int64)
+        for i in range(0, len(own), 8160):  # in blocks whose counts fit into a byte
+            part = own[i : i + 8160]
+            bits = np.unpackbits(np.stack([mixed(part, 100 + lane) for lane in range(lanes)], 1).view(np.uint8), axis=1, bitorder="little")
+            for j in range(0, len(bits), 255):
+                ones += bits[j : j + 255].sum(0, dtype=np.uint8)
+        out[k] = np.packbits(2 * ones > len(own), bitorder="little").view("<u8")
+    return out
+
+
+def cover_masks(lanes: int = 8, masks: int = 48, width: int = 18, seed: int = 3) -> np.ndarray:
+    """Which bits each block holds: rows of `width` bit numbers. All bits are dealt into blocks again and again, in another order each time."""
+    rng, bits = np.random.default_rng(seed), BITS * lanes
+    deals = [rng.permutation(bits)[: bits // width * width].reshape(-1, width) for _ in range(-(-masks // (bits // width)))]
+    return np.sort(np.concatenate(deals)[:masks], axis=1)
+
+
+def _near(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _reach(), for rows of numbers: edges (row, row) that span what is linked in one block."""
+    a, b, left = [], [], np.arange(len(fps))
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, min(len(front), 500_000 // len(left)))
+            close = np.bitwise_count(fps[front[:step], None] ^ fps[None, left]).sum(2, dtype=np.int32) <= distance
+            hit = close.any(0)
+            a.append(front[:step][close[:, hit].argmax(0)])
+            b.append(left[hit])
+            front, left = np.concatenate((front[step:], left[hit])), left[~hit]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _numbers(x: pa.Array, lanes: int) -> np.ndarray:
+    """A column of binaries of 8 * lanes bytes each, none null, as rows of numbers."""
+    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8").reshape(-1, lanes)
+
+
+def _set_links(distance: int, lanes: int, small: int = 12):
+    """Sorted (key, node, fp) rows in, linked pairs of nodes out; what is whole in a batch is worked off at once, only its last group is held."""
+
+    def linked(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(new, len(key)))
+        few = np.repeat(size <= small, size)
+        for lag in range(1, min(small, int(size.max()))):
+            near = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:])
+            near = near[np.bitwise_count(fp[near] ^ fp[near + lag]).sum(1, dtype=np.int32) <= distance]
+            yield node[near], node[near + lag]
+        for k in np.flatnonzero(size > small):
+            at = slice(new[k], new[k] + size[k])
+            x, y = _near(fp[at], distance)
+            yield node[at][x], node[at][y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = [p for p in linked(*(np.concatenate(c) for c in zip(*held, strict=True))) if len(p[0])]
+                held.clear()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([z[i] for z in out])) for i in (0, 1)], names=["a", "b"])
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            cols = (x.column(0).to_numpy(), x.column(1).to_numpy(), _numbers(x.column(2), lanes))
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # where the last group begins
+            if last or (held and held[-1][0][-1] != cols[0][0]):
+                held.append(tuple(c[:last] for c in cols))
+                yield from flush()
+            held.append(tuple(c[last:] for c in cols))
+        yield from flush()
+
+    return run
+
+
+def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: int = 8, masks: int = 48, width: int = 18) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: groups of texts whose sets of word shingles are alike to `alike` (Jaccard index) or more.
+
+    The index is read off wide SimHash fingerprints: two link if no more bits differ than it lets expect, so pairs close to
+    the bound fall on either side (512 bits: one standard error is 0.04 of the index). Candidates agree on one of `masks` blocks of `width` bits;
+    of pairs at the bound 9 in 10 do, of closer ones nearly all. component_id is the smallest doc_id reachable. Null and blank texts are alike;
+    repeated rows each give a row; a null id gives a row whose component is that of its fingerprint. An empty table gives none.
+    """
+    cosine = 2 * alike / (1 + alike)
+    distance = int(BITS * lanes * math.acos(cosine) / math.pi)
+    blocks = cover_masks(lanes, masks, width)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts(batches):
+            fp = set_fingerprints(x.column(1), words, lanes)
+            node = np.array([xxhash.xxh64_intdigest(r.tobytes()) >> 1 for r in fp], np.int64)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(node), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "node", "fp"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for part in (x.slice(k, 1024) for k in range(0, x.num_rows, 1024)):
+                fp = _numbers(part.column(1), lanes)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, blocks].astype(np.int64)  # row, mask, bit
+                key = (bits << np.arange(width)).sum(2) + (np.arange(len(blocks)) << width)
+                row = np.repeat(np.arange(len(fp)), len(blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["key", "node", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    fps = written(rows.mapInArrow(made, "doc_id long, node long, fp binary"))
+    distinct = fps.groupBy("node").agg(F.min("fp").alias("fp"))
+    n = shuffle_partitions(docs.sparkSession)
+    edges = distinct.mapInArrow(dealt, "key long, node long, fp binary").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_set_links(distance, lanes), "a long, b long")
+    roots = connected_components(edges)
+    least = written(fps.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    named = least.join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+    return fps.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
-    """docs less all but one document of each near-duplicate group: that with the smallest doc_id stays.
+    """docs less all but one document of each near-duplicate group of simhash_components(): that with the smallest doc_id stays.
 
     Rows that share a doc_id are one document: they stay or go together, equal (doc_id, text) once. Rows
     without an id can't be named by a group and stay, equal texts once.
     """
-    found = simhash_components(docs, words, distance, blocks)
+    return _one_of_each(docs, simhash_components(docs, words, distance, blocks))
+
+
+def drop_alike(docs: DataFrame, words: int = 5, alike: float = 0.8) -> DataFrame:
+    """docs less all but one document of each group of set_components(), as drop_near_copies() has it."""
+    return _one_of_each(docs, set_components(docs, words, alike))
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -11,6 +11,30 @@ from loomline.llm.common import written
 SF = "/root/testdata/sf0.001"
 
 
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups(sets, alike):
+    """Brute force: what is linked by a Jaccard index of `alike` or more."""
+    up = {k: k for k in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= alike * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    out = {}
+    for k in sets:
+        out.setdefault(find(k), set()).add(k)
+    return list(out.values())
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, [docs]
@@ -22,9 +46,11 @@ def test_stages(spark):
     ids = lambda df: [r.doc_id for r in df.select("doc_id").collect()]
     gone = set(ids(before)) - set(ids(clean))
     assert len(gone & toxic) >= 0.6 * len(toxic) and len(gone - toxic) <= 0.15 * before.count()
-    from loomline.llm.simhash import simhash_components
-
-    assert sorted(ids(single)) == sorted({r.component_id for r in simhash_components(clean, 5).collect()})
+    kept, sets = set(ids(single)), {r.doc_id: shingle_set(r.text) for r in clean.collect()}
+    assert len(kept) == single.count() and kept <= set(sets)
+    sure, may = groups(sets, 0.87), groups(sets, 0.68)
+    assert all(len(g & kept) <= 1 for g in sure) and all(g & kept for g in may)
+    assert sum(len(g) > 1 for g in sure) > 3
     assert sorted(ids(cut)) == sorted(ids(single))
     text = {r.doc_id: r.text for r in single.collect()}
     for r in cut.collect():

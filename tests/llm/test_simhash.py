@@ -4,7 +4,7 @@ import random
 
 import xxhash
 
-from loomline.llm.simhash import block_masks, drop_near_copies, fingerprint, simhash_components
+from loomline.llm.simhash import block_masks, cover_masks, drop_alike, drop_near_copies, fingerprint, set_components, simhash_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id string"
 
@@ -95,3 +95,41 @@ def test_equals_spark_hash(spark):
     text = "one Two three four five"
     row = spark.sql("select xxhash64('one two three four') a, xxhash64('two three four five') b").first()
     assert fingerprint(text.encode()) == (row.a & row.b) & (2**64 - 1)
+
+
+def test_alike_sets_against_brute_force(spark):
+    rng, rows = random.Random(9), []
+    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    for k in range(120):  # pairs from equal to far apart
+        a = words(rng.choice((40, 120, 300)))
+        b = list(a)
+        for _ in range(rng.randint(0, max(2, len(a) // 20))):
+            b[rng.randrange(len(b))] = "new"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    base = words(400)
+    for k in range(300, 360):  # a dense group
+        b = list(base)
+        b[rng.randrange(400)] = f"x{k}"
+        rows.append((k, " ".join(b)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    odd = [(400, None), (401, ""), (402, " \n"), (403, "one Two"), (404, "ONE two"), (405, "alone"), (406, "x y " * 30_000), (406, "x y " * 30_000), (None, "one two"), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 9, "clash") for i, t in [*rows, *odd]], SCHEMA)
+    found = set_components(df).collect()
+    assert len(found) == len(rows) + len(odd)
+    got = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    index = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [(2 * k, 2 * k + 1) for k in range(120)]
+    assert all(got[a] == got[b] for a, b in near if index(a, b) >= 0.9) and all(got[a] != got[b] for a, b in near if index(a, b) < 0.65)
+    at_least = [got[a] == got[b] for a, b in near if index(a, b) >= 0.8]
+    assert len(at_least) > 40 and sum(at_least) >= 0.9 * len(at_least)
+    assert {got[k] for k in range(300, 360)} == {300}
+    assert got[400] == got[401] == got[402] == 400 and got[403] == got[404] == 403 and got[405] == 405 and got[406] == 406
+    assert {r.component_id for r in found if r.doc_id is None} == {400, 403}
+    kept = [r.doc_id for r in drop_alike(df).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(set(got.values())) and kept.count(None) == 2
+    assert set_components(df.limit(0)).collect() == [] and drop_alike(df.limit(0)).collect() == []
+
+
+def test_blocks_hold_each_bit_alike_often():
+    blocks = cover_masks()
+    assert blocks.shape == (48, 18) and all(len(set(b)) == 18 for b in blocks.tolist())
