@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import frugal, without
 
 WORD_END = 256  # added to the byte that ends a word
 
@@ -242,7 +242,7 @@ def decode_batches(batches: Batches, spec, ids: str, text: str) -> Batches:
 
 def _mapped(df: DataFrame, run, new: str, kind: str) -> DataFrame:
     rest = without(df, new)
-    return rest.mapInArrow(run, rest.select("*", F.lit(None).cast(kind).alias(new)).schema)
+    return rest.mapInArrow(frugal(run), rest.select("*", F.lit(None).cast(kind).alias(new)).schema)
 
 
 def bpe_encode(docs: DataFrame, spec, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -277,4 +277,4 @@ def bpe_digests(docs: DataFrame, spec) -> DataFrame:
             sizes = np.diff(x.column("ids").offsets.to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(sizes), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +79,7 @@ def fit_in_one_task(sample: DataFrame, fit):
             rows.sort(key=lambda r: tuple((v is None, v) for v in r))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(frugal(run), "model binary").collect()
     return pickle.loads(found[0][0]) if found else None
 
 
@@ -85,6 +88,22 @@ def drawn(share: float, salt: str, key: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run; a Python worker gives the memory it has freed back to the system at the end of its task, as it may stay and do nothing while others work."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def parts(batches, rows: int = 4096, most: int = 1 << 24, column: int = 1):
     """Arrow batches in slices of so many rows, and about so many bytes of text (in that column), at most; none is empty."""
     for x in batches:

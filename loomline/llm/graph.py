@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, frugal, written
 
 
 class Forest:
@@ -35,7 +35,7 @@ class Forest:
             self.up.setdefault(a, a)
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one task as stars around the smallest node; what is connected stays so."""
     forest = Forest()
     for x in batches:
@@ -47,16 +47,16 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([forest.find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the component's smallest node.
 
     Each round is a large-star and a small-star step (linear in the edges, no pairs within a
     neighbourhood); it ends when every edge leads from a node to its root. Each round's edges are
     written to the shared folder, so that lineage doesn't grow and a lost executor costs one round.
-    Null ends and loops are left out. An empty table gives an empty result.
+    contracted: the tasks that made the edges have passed them through contract(). Null ends and loops are left out. An empty table gives an empty result.
     """
     e = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a is not null and b is not null and a < b")
-    e = written(e.mapInArrow(_contracted, "a long, b long").distinct())
+    e = written((e if contracted else e.mapInArrow(frugal(contract), "a long, b long")).distinct())
     before = None
     for _ in range(most_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MUL, mixed, parts, shingles_of, shuffle_partitions, without, word_hashes, written
+from .common import MUL, frugal, mixed, parts, shingles_of, shuffle_partitions, without, word_hashes, written
 from .graph import connected_components
 
 WORDS = 5
@@ -203,7 +203,7 @@ def _verified(passage: int):
                         yield int(p), side, fail
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in parts(batches, column=3):
+        for x in parts(batches, most=1 << 22, column=3):
             ids, of, at = x.column(0).to_pylist(), x.column(1), x.column(2).to_pylist()
             coded = of.dictionary_encode()
             which = coded.indices.to_numpy()
@@ -242,17 +242,17 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     passage, n = words - WORDS + 1, shuffle_partitions(spark)
-    open_ends = rows.mapInArrow(_keyed(passage), "key long, doc_id long, at int")
+    open_ends = rows.mapInArrow(frugal(_keyed(passage)), "key long, doc_id long, at int")
     found, texts, pairs = None, rows, None
     while True:
-        matched = open_ends.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_matched, "doc_id long, of long, at int")
+        matched = open_ends.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(frugal(_matched), "doc_id long, of long, at int")
         pairs = written(matched.groupBy("doc_id", "of").agg(F.collect_set("at").alias("at")))
         if found is not None and pairs.isEmpty():
             return found
         ids = pairs.select("doc_id").unionAll(pairs.select("of")).distinct()
         texts = written(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
         sides = pairs.join(texts.withColumnRenamed("text", "text_b").hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")).hint("merge"), "of")
-        made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(_verified(passage), "doc_id long, of long, first long, last long, key long, at int, fail boolean"))
+        made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(frugal(_verified(passage)), "doc_id long, of long, first long, last long, key long, at int, fail boolean"))
         new = made.where("key is null").select("doc_id", "of", "first", "last")
         found = new if found is None else found.unionAll(new)
         ends = made.where("key is not null")
@@ -309,7 +309,7 @@ def drop_shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
             cols = [made if k == at else c for k, c in enumerate(x.columns) if k != sp]
             yield pa.RecordBatch.from_arrays(cols, names=[n for k, n in enumerate(x.schema.names) if k != sp])
 
-    changed = hit.mapInArrow(run, hit.drop("__spans").schema)
+    changed = hit.mapInArrow(frugal(run), hit.drop("__spans").schema)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns).unionAll(clean.select(*docs.columns))

@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, parts, shingles_of, shuffle_partitions, word_hashes, written
-from .graph import connected_components
+from .common import frugal, mixed, parts, shingles_of, shuffle_partitions, word_hashes, written
+from .graph import connected_components, contract
 
 BITS = 64
 
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
             made = np.fromiter((fingerprint(t, words, seed) for t in x.column(1).cast(pa.binary()).to_pylist()), np.uint64, x.num_rows)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -80,6 +80,11 @@ def _reach(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
+def _stars(links):
+    """What links() finds, as stars, within the same worker."""
+    return lambda batches: contract(links(batches))
+
+
 def _links(distance: int, small: int = 12):
     """Sorted (mask, key, fp) rows in, linked pairs out; groups never are held but one at a time."""
 
@@ -136,8 +141,8 @@ def near_components(fps: DataFrame, distance: int = 4, blocks: int = 7) -> DataF
     keys = F.array(*[F.struct(F.lit(k).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
     dealt = fps.select("fp").where("fp is not null").distinct().select("fp", F.explode(keys).alias("x")).select("x.mask", "x.key", "fp")
     n = shuffle_partitions(fps.sparkSession)
-    edges = dealt.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_links(distance), "a long, b long")
-    return connected_components(edges).select(F.col("node").alias("fp"), "root")
+    edges = dealt.repartition(n, "mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(frugal(_stars(_links(distance))), "a long, b long")
+    return connected_components(edges, contracted=True).select(F.col("node").alias("fp"), "root")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4, blocks: int = 7, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +265,7 @@ def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: i
     blocks = cover_masks(lanes, masks, width)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in parts(batches):
+        for x in parts(batches, most=1 << 21):
             fp = set_fingerprints(x.column(1), words, lanes)
             node = np.array([xxhash.xxh64_intdigest(r.tobytes()) >> 1 for r in fp], np.int64)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(node), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "node", "fp"])
@@ -275,11 +280,11 @@ def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: i
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["key", "node", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = written(rows.mapInArrow(made, "doc_id long, node long, fp binary"))
+    fps = written(rows.mapInArrow(frugal(made), "doc_id long, node long, fp binary"))
     distinct = fps.groupBy("node").agg(F.min("fp").alias("fp"))
     n = shuffle_partitions(docs.sparkSession)
-    edges = distinct.mapInArrow(dealt, "key long, node long, fp binary").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_set_links(distance, lanes), "a long, b long")
-    roots = connected_components(edges)
+    edges = distinct.mapInArrow(frugal(dealt), "key long, node long, fp binary").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(frugal(_stars(_set_links(distance, lanes))), "a long, b long")
+    roots = connected_components(edges, contracted=True)
     least = written(fps.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     named = least.join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     return fps.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, fit_in_one_task, without
+from .common import drawn, fit_in_one_task, frugal, without
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The lexicon voters of every fit; what else a corpus holds is found in its labelled rows.
@@ -189,4 +189,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         for x in batches:
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array([one(t) for t in x.column(at).to_pylist()], pa.float64())], names=[*x.schema.names, score_col])
 
-    return rest.mapInArrow(run, rest.select("*", F.lit(None).cast("double").alias(score_col)).schema)
+    return rest.mapInArrow(frugal(run), rest.select("*", F.lit(None).cast("double").alias(score_col)).schema)
