@@ -8,7 +8,7 @@ passages alike to J a signature agrees with chance J * J; there are SIGNATURES o
 
 Under each signature every document is matched with the first one on whole texts. What is around the signature ends,
 on either side, at a shingle that the first document lacks. Documents that have these shingles in common are matched
-again, with the first of them, wherever one failed; so a document meets those that go on like it, step by step, and no
+again, with the first of them, wherever one failed and has found no other partner there; so a document meets those that go on like it, step by step, and no
 group is ever paired with itself.
 """
 
@@ -186,9 +186,9 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(passage: int):
-    """For each pair the passages shared (key null), and where the runs around the signatures end: shingles of doc_id that `of` lacks, each a key to be matched by."""
+    """For each pair the passages shared (key null), and where the runs around the signatures end: shingles of doc_id that `of` lacks, each a key to be matched by (first: the signature's centre)."""
 
-    def ends(h: np.ndarray, other: np.ndarray, at: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool]]:
+    def ends(h: np.ndarray, other: np.ndarray, at: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool, int]]:
         lacks = np.flatnonzero(~np.isin(h, other))
         done = set()
         for c in at:
@@ -200,7 +200,7 @@ def _verified(passage: int):
             for side, edge, step in ((0, lacks[k - 1] if k else -1, -WORDS), (1, lacks[k] if k < len(lacks) else len(h), WORDS)):
                 for p in (edge, edge + step):
                     if 0 <= p < len(h) and (p == edge or lacks[min(np.searchsorted(lacks, p), len(lacks) - 1)] == p):
-                        yield int(p), side, fail
+                        yield int(p), side, fail, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts(batches, most=1 << 22, column=3):
@@ -217,13 +217,13 @@ def _verified(passage: int):
                 wo, other = others[k]
                 spans = shared_spans(h, other, passage, words=w, others=wo)
                 found += [(i, d, s, e + WORDS - 1) for s, e in spans]
-                more += [(i, d, p, fail, h[p], side) for p, side, fail in ends(h, other, sorted(cs), spans)]
-            f, m = (list(zip(*z, strict=True)) or [()] * 6 for z in (found, more))
+                more += [(i, d, p, fail, h[p], side, c) for p, side, fail, c in ends(h, other, sorted(cs), spans)]
+            f, m = (list(zip(*z, strict=True)) or [()] * 7 for z in (found, more))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in f[:4]] + [pa.nulls(len(found), t) for t in (pa.int64(), pa.int32(), pa.bool_())], names=_COLUMNS)
             if more:
                 key = mixed(np.array(m[4], np.uint64) + np.array(m[1], np.int64).view(np.uint64) * MUL, 60) + np.array(m[5], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64()), *[pa.nulls(len(more), pa.int64())] * 2, pa.array(key.view(np.int64)), pa.array(m[2], pa.int32()), pa.array(m[3], pa.bool_())], names=_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64()), pa.array(m[6], pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(key.view(np.int64)), pa.array(m[2], pa.int32()), pa.array(m[3], pa.bool_())], names=_COLUMNS)
 
     return run
 
@@ -235,7 +235,7 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """(doc_id, of, first, last): passages of at least `words` words, first to last (word numbers from 0), that document `of`, of smaller id, has too.
 
     Exact passages, and those that share at least four fifths of their five-word shingles in one place. Each document is matched under each
-    signature with the first document; where that fails for one, all that go on alike beyond what the first one has are matched with the first of them,
+    signature with the first document; where that fails for one that has found no other there, all that go on alike beyond what the first one has are matched with the first of them,
     and so on until none is left. Rows without an id or a text take no part; of rows that share an id the one with the
     least text counts. Texts are whole. Joins are merge joins at every size: neither pairs nor texts have a bound for a broadcast.
     """
@@ -256,7 +256,9 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
         new = made.where("key is null").select("doc_id", "of", "first", "last")
         found = new if found is None else found.unionAll(new)
         ends = made.where("key is not null")
-        failed = ends.where("fail").select("key").distinct()
+        spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+        alone = F.col("spans").isNull() | ~F.exists("spans", lambda p: (p["first"] <= F.col("first")) & (F.col("first") <= p["last"]))
+        failed = ends.where("fail").join(spans.hint("merge"), "doc_id", "left").where(alone).select("key").distinct()
         open_ends = ends.join(failed.hint("merge"), "key", "left_semi").select("key", "doc_id", "at")
 
 
