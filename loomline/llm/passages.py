@@ -302,16 +302,20 @@ def drop_shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     """
     each = shared_passages(docs, words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__spans"))
     rows = without(docs, "__spans").join(each, "doc_id", "left")
-    hit, clean = rows.where("__spans is not null"), rows.where("__spans is null")
-    at, sp = hit.columns.index("text"), hit.columns.index("__spans")
+    at, sp = rows.columns.index("text"), rows.columns.index("__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            made = pa.array([t if t is None else cut(t, [(s["first"], s["last"]) for s in spans]) for t, spans in zip(x.column(at).to_pylist(), x.column(sp).to_pylist(), strict=True)], pa.string())
-            cols = [made if k == at else c for k, c in enumerate(x.columns) if k != sp]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for k, n in enumerate(x.schema.names) if k != sp])
-
-    changed = hit.mapInArrow(frugal(run), hit.drop("__spans").schema)
+            spans = x.column(sp).to_pylist()
+            hit = pa.array([p is not None for p in spans], pa.bool_())
+            made = x.column(at)
+            if hit.true_count:
+                made = pa.array([t if t is None or p is None else cut(t, [(s["first"], s["last"]) for s in p]) for t, p in zip(made.to_pylist(), spans, strict=True)], made.type)
+            cols = [made if k == at else hit if k == sp else c for k, c in enumerate(x.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=x.schema.names)
+
+    schema = rows.withColumn("__spans", F.lit(True)).schema
+    changed = rows.mapInArrow(frugal(run), schema)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns).unionAll(clean.select(*docs.columns))
+        changed = changed.withColumn("n_chars", F.when(F.col("__spans"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
