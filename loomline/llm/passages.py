@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,22 +214,28 @@ def _verified(passage: int):
             theirs, a = word_hashes(x.column(4).take(pa.array(rows)))
             split = lambda w, s: [(w[p:q], shingles_of(w[p:q], np.array([0, q - p]))[: max(0, q - p - WORDS + 1)]) for p, q in zip(s, s[1:], strict=False)]
             others, found, more = split(theirs, a), [], []
-            for i, d, (w, h), cs, k in zip(ids, of.to_pylist(), split(mine, b), at, which.tolist(), strict=True):
+            for n, (i, d, (w, h), cs, k) in enumerate(zip(ids, of.to_pylist(), split(mine, b), at, which.tolist(), strict=True)):
                 wo, other = others[k]
                 spans = shared_spans(h, other, passage, words=w, others=wo)
-                found += [(i, d, s, e + WORDS - 1) for s, e in spans]
+                found += [(i, d, s, e + WORDS - 1, n) for s, e in spans]
                 more += [(i, d, p, fail, h[p], side, c) for p, side, fail, c in ends(h, other, sorted(cs), spans)]
             f, m = (list(zip(*z, strict=True)) or [()] * 7 for z in (found, more))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in f[:4]] + [pa.nulls(len(found), t) for t in (pa.int64(), pa.int32(), pa.bool_())], names=_COLUMNS)
+                digest = pa.array(digests(x.column(3).take(pa.array(f[4]))), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in f[:4]] + [pa.nulls(len(found), t) for t in (pa.int64(), pa.int32(), pa.bool_())] + [digest], names=_COLUMNS)
             if more:
                 key = mixed(np.array(m[4], np.uint64) + np.array(m[1], np.int64).view(np.uint64) * MUL, 60) + np.array(m[5], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64()), pa.array(m[6], pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(key.view(np.int64)), pa.array(m[2], pa.int32()), pa.array(m[3], pa.bool_())], names=_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(m[0], pa.int64()), pa.array(m[1], pa.int64()), pa.array(m[6], pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(key.view(np.int64)), pa.array(m[2], pa.int32()), pa.array(m[3], pa.bool_()), pa.nulls(len(more), pa.int64())], names=_COLUMNS)
 
     return run
 
 
-_COLUMNS = ["doc_id", "of", "first", "last", "key", "at", "fail"]
+_COLUMNS = ["doc_id", "of", "first", "last", "key", "at", "fail", "digest"]
+
+
+def digests(texts: pa.Array) -> list[int | None]:
+    """A hash of each whole text, the same that Spark's xxhash64 gives."""
+    return [None if t is None else int(np.uint64(xxhash.xxh64_intdigest(t, seed=42)).view(np.int64)) for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
@@ -239,6 +246,11 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     and so on until none is left. Rows without an id or a text take no part; of rows that share an id the one with the
     least text counts. Texts are whole. Joins are merge joins at every size: neither pairs nor texts have a bound for a broadcast.
     """
+    return _shared(docs, words).drop("digest")
+
+
+def _shared(docs: DataFrame, words: int) -> DataFrame:
+    """shared_passages() with the digest of the text of doc_id that was matched."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     passage, n = words - WORDS + 1, shuffle_partitions(spark)
@@ -252,8 +264,8 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
         ids = pairs.select("doc_id").unionAll(pairs.select("of")).distinct()
         texts = written(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
         sides = pairs.join(texts.withColumnRenamed("text", "text_b").hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")).hint("merge"), "of")
-        made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(frugal(_verified(passage)), "doc_id long, of long, first long, last long, key long, at int, fail boolean"))
-        new = made.where("key is null").select("doc_id", "of", "first", "last")
+        made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(frugal(_verified(passage)), "doc_id long, of long, first long, last long, key long, at int, fail boolean, digest long"))
+        new = made.where("key is null").select("doc_id", "of", "first", "last", "digest")
         found = new if found is None else found.unionAll(new)
         ends = made.where("key is not null")
         spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
@@ -300,13 +312,17 @@ def drop_shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     Every row stays, if with less text. Rows without an id or a text, and documents without a shared passage, stay
     as they are; so do rows of an id used twice whose text isn't the one that was matched.
     """
-    each = shared_passages(docs, words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__spans"))
+    each = _shared(docs, words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "digest"))).alias("__spans"))
     rows = without(docs, "__spans").join(each, "doc_id", "left")
     at, sp = rows.columns.index("text"), rows.columns.index("__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             spans = x.column(sp).to_pylist()
+            found = [k for k, p in enumerate(spans) if p]
+            for k, d in zip(found, digests(x.column(at).take(pa.array(found, pa.int64()))), strict=True):
+                if spans[k][0]["digest"] != d:  # another text under the same id
+                    spans[k] = None
             hit = pa.array([p is not None for p in spans], pa.bool_())
             made = x.column(at)
             if hit.true_count:

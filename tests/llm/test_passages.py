@@ -87,6 +87,17 @@ def test_shared_passages(spark):
     assert not brute({k: t for k, t in kept.items() if t})
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    rng = random.Random(3)
+    line = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    shared = line(80)
+    first, second, other = (" ".join(w) for w in (line(20) + shared, ["a"] + line(20) + shared, ["z"] + line(150)))
+    df = spark.createDataFrame([(1, first, None), (2, second, 7), (2, other, 8), (2, second, 9), (2, None, 10)], "doc_id long, text string, n_chars long")
+    got = sorted(map(tuple, drop_shared_passages(df).collect()), key=str)
+    short = " ".join(second.split()[:21]) + " "
+    assert got == sorted([(1, first, None), (2, short, len(short)), (2, other, 8), (2, short, len(short)), (2, None, 10)], key=str)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert shared_passages(df).collect() == [] and passage_classes(df).collect() == [] and drop_shared_passages(df).collect() == []
