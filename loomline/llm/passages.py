@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MUL, frugal, mixed, parts, shingles_of, shuffle_partitions, without, word_hashes, written
+from .common import MUL, drop_written, frugal, mixed, parts, shingles_of, shuffle_partitions, without, word_hashes, written
 from .graph import connected_components
 
 WORDS = 5
@@ -255,16 +255,21 @@ def _shared(docs: DataFrame, words: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     passage, n = words - WORDS + 1, shuffle_partitions(spark)
     open_ends = rows.mapInArrow(frugal(_keyed(passage)), "key long, doc_id long, at int")
-    found, texts, pairs = None, rows, None
+    found, texts = None, rows
     while True:
         matched = open_ends.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(frugal(_matched), "doc_id long, of long, at int")
         pairs = written(matched.groupBy("doc_id", "of").agg(F.collect_set("at").alias("at")))
         if found is not None and pairs.isEmpty():
+            drop_written(texts)
+            drop_written(pairs)
             return found
         ids = pairs.select("doc_id").unionAll(pairs.select("of")).distinct()
-        texts = written(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        before, texts = texts, written(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        if found is not None:  # in the first step they are the input
+            drop_written(before)
         sides = pairs.join(texts.withColumnRenamed("text", "text_b").hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")).hint("merge"), "of")
         made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(frugal(_verified(passage)), "doc_id long, of long, first long, last long, key long, at int, fail boolean, digest long"))
+        drop_written(pairs)
         new = made.where("key is null").select("doc_id", "of", "first", "last", "digest")
         found = new if found is None else found.unionAll(new)
         ends = made.where("key is not null")
