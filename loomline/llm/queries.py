@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import filter_audit, mixing
 from .ann import nearest_neighbours
 from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
@@ -85,6 +85,11 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all whole documents, in all orders, by source."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -96,10 +101,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_syncmers": op10_syncmers,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.oracle_sql(),
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         q AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS d,
