@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import filter_audit, mixing
+from .alignment import alignment_report, load_tokenizers
 from .ann import nearest_neighbours
 from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
@@ -90,6 +91,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens over all whole documents."""
+    import public_tokenizers as p
+
+    spec = load_tokenizers(spark, p.path("byte_bpe_50k.tiktoken"), p.PATTERN, p.path("piece_bpe_32k.model"), p.path("byte_bpe_50k.json"))
+    return alignment_report(table(spark, sf_dir, "documents"), spec)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -102,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_syncmers": op10_syncmers,
     "op11_filter_audit": op11_filter_audit,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
