@@ -12,6 +12,7 @@ from .alignment import alignment_report, load_tokenizers
 from .ann import nearest_neighbours
 from .bpe import bpe_digests, load_spec
 from .common import remainder, shared_dir, table, written
+from .jaccard import jaccard_components
 from .langid import fit_model, predict_language
 from .lm import lm_scores
 from .passages import passage_classes
@@ -91,6 +92,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all whole documents whose sets of 4-word shingles have a Jaccard index of 0.85 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens over all whole documents."""
     import public_tokenizers as p
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_syncmers": op10_syncmers,
     "op11_filter_audit": op11_filter_audit,
+    "op12_jaccard": op12_jaccard,
     "op13_alignment": op13_alignment,
 }
 
