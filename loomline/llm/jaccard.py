@@ -11,7 +11,7 @@ these, and only these, are compared in blocks. Every candidate is verified on it
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,7 +150,7 @@ def set_rows(docs: DataFrame, bands: Bands, words: int) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         seen: set[tuple[int, int]] = set()
-        for x in parts(batches, rows=512, most=1 << 22):
+        for x in parts(batches, rows=512, most=1 << 21):
             tokens, starts = sets_of(x.column(1), words)
             sizes = np.diff(starts)
             split = [tokens[a:b] for a, b in zip(starts.tolist(), starts.tolist()[1:], strict=False)]
@@ -223,7 +223,7 @@ def verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, words: int, num
 
     def run(batches: Batches) -> Batches:
         place, held = None, []
-        for x in parts(batches, rows=256, most=1 << 22, column=4):
+        for x in parts(batches, rows=256, most=1 << 21, column=4):
             tokens, starts = sets_of(x.column(4), words)
             found = []
             for k, (one, p, side, other) in enumerate(zip(*[x.column(c).to_pylist() for c in range(4)], strict=True)):
@@ -271,6 +271,12 @@ def block_pairs(poor: DataFrame, num: int, den: int) -> DataFrame:
     return cells.groupBy("band", "low", "high").applyInPandas(run, "a long, b long")
 
 
+def _unlike(rooted: DataFrame) -> DataFrame:
+    """Rows of keys whose sets are of several components, with their number and the component of the key's first."""
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets"), F.min_by("root", "id").alias("first_root")).where("low < high")
+    return rooted.join(keys.select("key", "sets", "first_root"), "key")
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PER_KEY, rows: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -298,16 +304,20 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     groups = written(_by_key(shared))
 
     one = info.where("doc_id is not null and n > 0").dropDuplicates(["doc_id"])
-    stars = written(groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links.append(verified(stars, one, docs, words, num, den))
+    rooted = lambda x, r: x.join(r, F.col("id") == F.col("node"), "left").select("key", "id", "own", "first", F.coalesce("root", "id").alias("root"))
+    # first with one partner each, then, of keys with several components, with the first of the key
+    tried = written(groups.where("id <> first").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    links.append(verified(tried, one, docs, words, num, den))
     roots = written(connected_components(links[0].unionByName(links[1])))
-
-    rooted = groups.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "own", F.coalesce("root", "id").alias("root"))
-    unlike = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("sets")).where("low < high").select("key", "sets")
-    left = written(rooted.join(unlike, "key"))
+    left = written(_unlike(rooted(groups, roots)))
+    stars = written(left.where("root <> first_root").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    links.append(verified(stars, one, docs, words, num, den))
+    roots = written(connected_components(links[0].unionByName(links[1]).unionByName(links[2])))
+    drop_written(groups)
+    groups, left = left, written(_unlike(rooted(left, roots)))
     few = left.where(F.col("sets") <= most)
     cross = few.alias("x").join(few.alias("y"), "key").where("x.root < y.root").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links.append(verified(cross.join(stars, ["a", "b"], "left_anti"), one, docs, words, num, den))
+    links.append(verified(cross.join(tried.unionByName(stars), ["a", "b"], "left_anti"), one, docs, words, num, den))
 
     gone = left.where(F.col("sets") > most).groupBy("id").agg(F.count_if("own").alias("gone"), F.count_if(~F.col("own")).alias("gone_back"))
     # a task that skipped a copy's keys counts nothing lost for it; what one of the copies has lost holds for all
@@ -320,9 +330,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     poor = written(poor.select("id", F.coalesce("root", "id").alias("root"), "band", "n", "sketch"))
     links.append(verified(block_pairs(poor, num, den).distinct(), one, docs, words, num, den))
 
-    roots = written(connected_components(links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3])))
+    roots = written(connected_components(reduce(DataFrame.unionByName, links)))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
     out = info.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
-    for used in (stars, groups, left, poor):
+    for used in (tried, stars, groups, left, poor):
         drop_written(used)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
