@@ -304,7 +304,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     groups = written(_by_key(shared))
 
     one = info.where("doc_id is not null and n > 0").dropDuplicates(["doc_id"])
-    rooted = lambda x, r: x.join(r, F.col("id") == F.col("node"), "left").select("key", "id", "own", "first", F.coalesce("root", "id").alias("root"))
+    rooted = lambda x, r: x.select("key", "id", "own", "first").join(r, F.col("id") == F.col("node"), "left").select("key", "id", "own", "first", F.coalesce("root", "id").alias("root"))
     # first with one partner each, then, of keys with several components, with the first of the key
     tried = written(groups.where("id <> first").groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
     links.append(verified(tried, one, docs, words, num, den))
