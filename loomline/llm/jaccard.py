@@ -24,7 +24,7 @@ from .common import Batches, drop_written, frugal, mixed, parts, shingles_of, sh
 from .graph import connected_components
 
 #: Keys with more sets than this, not all of one component, count as lost.
-MOST_PER_KEY = 64
+MOST_PER_KEY = 16
 #: Up to so many ids (16 MB) are broadcast to pick texts; more are joined by a shuffle.
 MOST_SENT = 2_000_000
 #: Sets of a block in the comparison of those that lost too many keys; partners of one document in one task.
@@ -124,8 +124,8 @@ def segment_keys(tokens: np.ndarray, sizes: np.ndarray, bands: Bands, band: np.n
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of how many members fall on each of a power of two of places, half as many as members or more: two sets' sketches differ in no more places than the sets in members."""
-    places = 1 << max(6, (len(tokens) - 1).bit_length() - 1)
+    """Parities of how many members fall on each of a power of two of places, two to four times as many as members: two sets' sketches differ in no more places than the sets in members."""
+    places = 1 << max(6, (len(tokens) - 1).bit_length() + 1)
     at = (mixed(tokens, 3) & np.uint64(places - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
