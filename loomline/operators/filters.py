@@ -48,11 +48,16 @@ def timing_flags(lines: str, duration: Column, units) -> Column:
     })
 
 
-def alignment_reason(score: Column, sections: str, least: float = 0.1) -> Column:
-    """Why an alignment isn't used: no_score, low_score, squeezed (a section with words in no time), no_aligned_section."""
-    squeezed = F.exists(sections, lambda s: (s["n_words"] > 0) & (s["end"] - s["start"] <= 0))
+def alignment_reason(score: Column, n_align: Column, n_words: Column, sections: str, error: Column | None = None, least: float = 0.04, least_part: float = 0.8, least_pace: float = 0.12) -> Column:
+    """Why an alignment isn't used, null if it is: its own error or no_score, low_score, unromanized (too few words aligned),
+    squeezed (a section of 8 aligned words or more in less time than least_pace seconds each), no_aligned_section.
+
+    sections: array of structs with start, end and n_align, start null where nothing is aligned.
+    """
+    squeezed = F.exists(sections, lambda s: s["start"].isNotNull() & (s["n_align"] >= 8) & (s["end"] - s["start"] < least_pace * s["n_align"]))
     none = ~F.exists(sections, lambda s: s["start"].isNotNull())
-    return first_reason({"no_score": score.isNull(), "low_score": score < least, "squeezed": squeezed, "no_aligned_section": none})
+    reason = first_reason({"no_score": score.isNull(), "low_score": score < least, "unromanized": n_align < least_part * F.greatest(n_words, F.lit(1)), "squeezed": squeezed, "no_aligned_section": none})
+    return reason if error is None else F.coalesce(error, reason)
 
 
 def unique_or_raise(df: DataFrame, key: str) -> DataFrame:
