@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import ragged as G
 from ..operators import sampling as O
 from ..operators import sequences as S
 from ..operators import windows as W
+from ..sources import packed as P
+from ..sources.shared import shared_dir
 from .base import query, table
 
 #: Codes of an order: its part keys modulo 1024, in the order of (line number, part key).
@@ -92,3 +95,53 @@ def bandwidth_tiers(spark, sf_dir):
 
     t = table(spark, sf_dir, "customer").withColumn("t", tier(F.col("c_acctbal"), [(5000, "full"), (0, "mid")], "low"))
     return t.groupBy(F.col("c_nationkey").alias("g")).agg(F.count("*").alias("n"), F.count_if(F.col("t") == "full").alias("full_band"), F.count_if(F.col("t") == "mid").alias("mid_band"))
+
+
+#: Song documents by shard, with their order and place in it.
+PACKED = f"WITH {CODES}, d AS (SELECT g, g % 8 AS shard, text || [65536, 65537, 65539] || list_transform(codes, lambda c: c + 65544) || [65538, 0] AS doc FROM c), p AS (SELECT shard, row_number() OVER w - 1 AS ord, sum(len(doc)) OVER w - len(doc) AS low, doc, count(*) OVER (PARTITION BY shard) AS n FROM d WINDOW w AS (PARTITION BY shard ORDER BY g))"
+
+
+def packed_files(spark, sf_dir):
+    """All song documents written as packed token files to the shared folder: their path."""
+    path = shared_dir(spark)
+    docs = codes(spark, sf_dir).select("g", (F.col("g") % 8).cast("int").alias("shard"), S.song_document(F.col("text"), F.col("codes")).alias("doc"))
+    P.write_packed_files(docs, "doc", "shard", ["g"], path)
+    return path
+
+
+@query(f"""{PACKED} SELECT CAST(shard AS INTEGER) AS shard, ord, CAST(low AS BIGINT) AS "at", CAST(len(doc) AS INTEGER) AS size, array_to_string(doc, ' ') AS doc FROM p""")
+def packed_round_trip(spark, sf_dir):
+    """Song documents written to packed token files and read back."""
+    return P.read_packed_files(spark, packed_files(spark, sf_dir)).select("shard", "ord", "at", "size", joined("tokens").alias("doc"))
+
+
+@query(f"{PACKED} SELECT CAST(shard AS INTEGER) AS shard, ord, CAST(len(doc) AS INTEGER) AS len, CAST(list_position(doc, 65536) - 1 AS INTEGER) AS n_text, array_to_string(list_transform(doc[list_position(doc, 65536) + 3:list_position(doc, 65536) + 7], lambda v: v - 65544), ' ') AS first_codes, array_to_string(doc[-2:], ' ') AS tail FROM p WHERE ord IN (0, n // 2, n - 1)")
+def packed_ends(spark, sf_dir):
+    """What the first, the middle and the last document of each packed shard hold."""
+    return P.checked_ends(spark, packed_files(spark, sf_dir)).select("shard", "ord", "len", "n_text", joined("first_codes").alias("first_codes"), joined("tail").alias("tail"))
+
+
+@query(f"WITH {CODES}, o AS (SELECT g, g % 8 AS shard, codes, row_number() OVER w - 1 AS j, sum(len(codes)) OVER w AS high FROM c WINDOW w AS (PARTITION BY g % 8 ORDER BY g)) SELECT CAST(shard AS INTEGER) AS shard, CAST(j AS INTEGER) AS j, CAST(high - len(codes) AS BIGINT) AS low, CAST(high AS BIGINT) AS high, array_to_string(codes, ' ') AS codes FROM o")
+def ragged_slices(spark, sf_dir):
+    """Codes of all orders as one chunked stream a shard, each order's slice taken back by its offsets."""
+    from pyspark.sql.window import Window
+
+    c = codes(spark, sf_dir).withColumn("shard", (F.col("g") % 8).cast("int"))
+    c = c.withColumn("j", F.row_number().over(Window.partitionBy("shard").orderBy("g")) - 1)
+    chunks, where = G.chunked(c, "codes", chunk=1000)
+    return G.sliced(chunks, where, chunk=1000).join(where, ["shard", "j"]).select("shard", "j", "low", "high", joined("values").alias("codes"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS g, l_linenumber AS k, l_partkey, l_linenumber * 20 + l_suppkey % 90 - 15 AS f0, l_linenumber * 20 + l_suppkey % 90 - 15 + CAST(l_quantity AS BIGINT) * 2 - 3 AS f1,
+      list_transform(range(1, l_partkey % 9 + 1), lambda i: CASE WHEN (i * l_suppkey) % 4 = 0 THEN 1 ELSE 10 + i END) AS ids FROM lineitem),
+    x AS (SELECT *, least(f1, f0 + CAST(floor(25 * (2.0 + 0.2 * len(ids))) AS BIGINT)) AS f1c, len(list_filter(ids, lambda v: v <> 1)) AS letters,
+      len(list_filter(list_transform(range(1, len(ids) + 1), lambda i: ids[i] <> 1 AND (i = 1 OR ids[i - 1] = 1)), lambda v: v)) AS words FROM l WHERE len(ids) > 0 AND f0 >= 0 AND f0 <= f1),
+    n AS (SELECT *, letters + greatest(words - 1, 0) AS n FROM x WHERE f1c <= 180),
+    a AS (SELECT *, coalesce(max(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY f0, k, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS apart FROM n)
+    SELECT g, k, l_partkey, f0, f1, f1c, CAST(sum(n + apart) OVER w - n AS INTEGER) AS i0, CAST(sum(n + apart) OVER w AS INTEGER) AS i1 FROM a WINDOW w AS (PARTITION BY g ORDER BY f0, k, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def song_line_table(spark, sf_dir):
+    """Line items as timed lines with letters: which are kept and where their letters lie in the order's."""
+    at = F.col("l_linenumber") * 20 + F.col("l_suppkey") % 90 - 15
+    ids = F.when(F.col("l_partkey") % 9 == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("l_partkey") % 9, F.lit(1)).cast("long")), lambda i: F.when((i * F.col("l_suppkey")) % 4 == 0, 1).otherwise(10 + i)))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.struct(F.col("l_linenumber").alias("k"), "l_partkey").alias("o"), at.cast("long").alias("f0"), (at + F.col("l_quantity").cast("long") * 2 - 3).cast("long").alias("f1"), ids.alias("ids"))  # noqa: E741
+    return G.line_table(l, "g", "o", F.lit(180)).select("g", "o.k", "o.l_partkey", "f0", "f1", "f1c", "i0", "i1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import crops as C
 from ..operators import joins as J
 from ..operators import windows as W
 from .base import query, table
@@ -168,3 +169,51 @@ def running_budget(spark, sf_dir):
 
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.sum(F.length("text") + 1).over(w).cast("long").alias("used"))
+
+
+#: Events in minutes as lines of a song; every 25th starts a crop of 4000 minutes. Lines have 1 to 4 letters, some without a start.
+CROPS = f"""{LINES}, f AS (SELECT user_id, event_id AS line, CAST(floor(t0 / 60) AS BIGINT) AS f0, CAST(floor(t0 / 60) AS BIGINT) + CAST(floor(value * 20) AS BIGINT) AS f1 FROM l),
+    c AS (SELECT user_id, line AS crop, f0 - 5 AS c0, 4000 AS n FROM f WHERE line % 25 = 0)"""
+
+
+def minute_lines(spark, sf_dir):
+    return lines(spark, sf_dir).select("user_id", F.col("event_id").alias("line"), F.floor(F.col("t0") / 60).alias("f0"), (F.floor(F.col("t0") / 60) + F.floor(F.col("value") * 20)).alias("f1"))
+
+
+def minute_crops(f):
+    return f.where("line % 25 = 0").select("user_id", F.col("line").alias("crop"), (F.col("f0") - 5).alias("c0"), F.lit(4000).cast("long").alias("n"))
+
+
+@query(f"""WITH {CROPS} SELECT user_id, crop, line, CAST(row_number() OVER (PARTITION BY user_id, crop ORDER BY f0, line) - 1 AS INTEGER) AS k, f0 - c0 AS at, f1 - c0 AS until FROM c JOIN f USING (user_id) WHERE f0 >= c0 AND f1 <= c0 + n""")
+def crop_rows(spark, sf_dir):
+    """The lines that lie in each crop whole."""
+    f = minute_lines(spark, sf_dir)
+    return C.crop_rows(minute_crops(f), f, "user_id", 4000.0)
+
+
+@query(f"""WITH {CROPS}, x AS (SELECT user_id, crop, greatest(f0 - c0, 0) AS a, least(f1 - c0, n) AS b FROM c JOIN f USING (user_id) WHERE f1 > c0 AND f0 < c0 + n AND NOT (f0 >= c0 AND f1 <= c0 + n)),
+    m AS (SELECT DISTINCT user_id, crop, unnest(range(a, b)) AS fr FROM x), r AS (SELECT *, fr - row_number() OVER (PARTITION BY user_id, crop ORDER BY fr) AS run FROM m)
+    SELECT user_id, crop, CAST(min(fr) AS BIGINT) AS a, CAST(max(fr) + 1 AS BIGINT) AS b FROM r GROUP BY user_id, crop, run""")
+def crop_masks(spark, sf_dir):
+    """Runs of frames of lines cut at a crop's edges; the SQL marks single frames."""
+    f = minute_lines(spark, sf_dir)
+    return C.crop_masks(minute_crops(f), f, "user_id", 4000.0)
+
+
+@query(f"""WITH {CROPS}, p AS (SELECT c.*, line, f0, row_number() OVER (PARTITION BY user_id, crop ORDER BY f0, line) AS k FROM c JOIN f USING (user_id) WHERE f0 >= c0 AND f1 <= c0 + n),
+    e AS (SELECT user_id, crop, c0, n, line, f0, k, unnest(range(-1, line % 4 + 1)) AS j FROM p),
+    s AS (SELECT user_id, crop, n, k, j, CASE WHEN j < 0 THEN 1 ELSE (line + j) % 26 + 2 END AS letter, CASE WHEN j >= 0 AND (line + j) % 5 <> 0 THEN f0 + j * 3.0 - c0 END AS s FROM e WHERE j >= 0 OR k > 1),
+    b AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(first_value(s IGNORE NULLS) OVER (PARTITION BY user_id, crop ORDER BY k, j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS t FROM s WINDOW w AS (PARTITION BY user_id, crop ORDER BY k, j))
+    SELECT user_id, crop, CAST(pos AS INTEGER) AS pos, CAST(letter AS INTEGER) AS letter, round(max(greatest(0, least(t, n - 0.001))) OVER (PARTITION BY user_id, crop ORDER BY pos), 3) AS at FROM b""")
+def crop_letters(spark, sf_dir):
+    """The letters of each crop's whole lines with starts shifted, filled in from behind, clipped and never falling."""
+    from pyspark.sql.window import Window
+
+    f = minute_lines(spark, sf_dir)
+    n = (F.col("line") % 4 + 1).cast("int")
+    w = Window.partitionBy("user_id").orderBy("f0", "line")
+    lined = f.withColumn("i1", F.sum(n).over(w).cast("int")).withColumn("i0", F.col("i1") - n)
+    one = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(((F.col("line") + j) % 26 + 2).cast("int").alias("id"), F.when((F.col("line") + j) % 5 != 0, F.col("f0") + j * 3.0).alias("s")))
+    song = lined.groupBy("user_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i0", one.alias("x")))), lambda s: s["x"])).alias("x"))
+    letters = song.select("user_id", F.transform("x", lambda s: s["id"]).alias("ids"), F.transform("x", lambda s: s["s"]).alias("starts"))
+    return C.crop_letters(minute_crops(f), lined, letters, "user_id", 4000.0).withColumn("at", F.round("at", 3))
