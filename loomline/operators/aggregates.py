@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -122,16 +123,62 @@ def metric_rows(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return df.unpivot([key], metrics, "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def bootstrap_mean(df: DataFrame, key: str, diff: str, draws: int = 400, salt: str = "b") -> DataFrame:
-    """The mean of paired differences with a 95 % interval over `draws` resamples.
+#: Up to so many rows a cell's weight is an exact Poisson number, above a rounded normal one.
+EXACT_COUNTS = 30
 
-    Each row weighs as a Poisson(1) variable in each draw, by a hash of draw and key, so a draw is a partial sum and no
-    task holds all rows. Draws are expected to be few hundreds to thousands.
+
+def poisson_steps(n: int) -> list[float]:
+    """The distribution function of a Poisson number of mean n at 0, 1, ..., as far as 32 bits can tell."""
+    out, p, total = [], math.exp(-n), 0.0
+    for k in range(n * 3 + 30):
+        total += p
+        out.append(total)
+        p *= n / (k + 1)
+        if 1 - total < 2.0**-34:
+            break
+    return out
+
+
+def bootstrap_cells(df: DataFrame, diff: str, step: float = 1e-6) -> DataFrame:
+    """(cell, n): how many differences lie at each multiple of step; nulls and NaN are none."""
+    return df.where(F.col(diff).isNotNull() & ~F.isnan(F.col(diff).cast("double"))).groupBy(F.bround(F.col(diff) / step).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+
+
+def bootstrap_draws(cells: DataFrame, draws: int, salt: str) -> DataFrame:
+    """(draw, cell, w): how often each cell is drawn in each resample, by a hash of salt, cell and draw.
+
+    A resample gives each row a Poisson(1) count, so a cell of n rows has a Poisson(n) one: draws cost cells, not rows.
+    """
+    spark = cells.sparkSession
+    steps = F.broadcast(spark.createDataFrame([(n, poisson_steps(n)) for n in range(1, EXACT_COUNTS + 1)], "few int, steps array<double>"))  # 30 rows
+    x = cells.join(steps, F.col("few") == F.col("n"), "left").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    h = F.md5(F.concat_ws("|", F.lit(salt), F.col("cell").cast("string"), F.col("draw").cast("string")))
+    u = lambda k: (F.conv(F.substring(h, k, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
+    normal = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * math.pi * u(9))
+    many = F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * normal)).cast("long")
+    return x.select("draw", "cell", F.when(F.col("few").isNull(), many).otherwise(F.size(F.filter("steps", lambda c: u(1) >= c))).alias("w"))
+
+
+def weighted_middles(rows: DataFrame, keys: list[str], cell: str, w: str) -> DataFrame:
+    """(keys..., twice, total, sum): twice the weighted median of whole-number cells (the mean of the two middle ones), the weights and the weighted sum."""
+    by = Window.partitionBy(*keys)
+    upto = F.sum(w).over(by.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+    x = rows.where(F.col(w) > 0).withColumn("__to", upto).withColumn("__all", F.sum(w).over(by))
+    at = lambda pos: F.max(F.when((F.col("__to") >= pos) & (F.col("__to") - F.col(w) < pos), F.col(cell)))
+    return x.groupBy(*keys).agg((at(F.floor((F.col("__all") + 1) / 2)) + at(F.floor(F.col("__all") / 2) + 1)).alias("twice"), F.max("__all").alias("total"), F.sum(F.col(cell) * F.col(w)).alias("sum"))
+
+
+def bootstrap_intervals(df: DataFrame, diff: str, mean_draws: int = 4000, median_draws: int = 5000, step: float = 1e-6, salt: str = "b") -> DataFrame:
+    """One row: n, mean, median, better (below 0), worse, and the 2.5 and 97.5 % points of resampled means and medians.
+
+    Differences count as multiples of step. The median of a resample is the weighted one over its cells, so no resample is
+    held and each is a window over cells. No rows give n 0 and nulls.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    weight = reduce(lambda s, c: s + (u >= c).cast("int"), steps, F.lit(0))
-    rows = df.where(F.col(diff).isNotNull() & ~F.isnan(diff)).select(key, diff, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    means = rows.select("draw", diff, weight.alias("w")).groupBy("draw").agg((F.sum(F.col(diff) * F.col("w")) / F.sum("w")).alias("m"))
-    ci = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return side_by_side([df.where(~F.isnan(diff)).agg(F.count(diff).alias("n"), F.avg(diff).alias("mean"), F.count_if(F.col(diff) < 0).alias("better"), F.count_if(F.col(diff) > 0).alias("worse")), ci])
+    cells = bootstrap_cells(df, diff, step)
+    drawn = weighted_middles(bootstrap_draws(cells, max(mean_draws, median_draws), salt), ["draw"], "cell", "w")
+    mean, median = F.col("sum") * step / F.col("total"), F.col("twice") * step / 2
+    point = lambda v, most, p: F.percentile(F.when(F.col("draw") <= most, v), p)
+    ci = drawn.agg(point(mean, mean_draws, 0.025).alias("mean_low"), point(mean, mean_draws, 0.975).alias("mean_high"), point(median, median_draws, 0.025).alias("median_low"), point(median, median_draws, 0.975).alias("median_high"))
+    whole = weighted_middles(cells.withColumn("one", F.lit(1)), ["one"], "cell", "n").select(F.col("total").alias("n"), (F.col("sum") * step / F.col("total")).alias("mean"), (F.col("twice") * step / 2).alias("median"))
+    signs = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("better"), F.coalesce(F.sum(F.when(F.col("cell") > 0, F.col("n"))), F.lit(0)).alias("worse"))
+    return side_by_side([signs.join(whole, "n", "left"), ci])

@@ -12,36 +12,35 @@ from .base import query, table
 LETTERS = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
 
 
-def first_lines(spark, sf_dir):
-    """(doc_id, ref, hyp): the first two lines of each document, letters only; the lines are short by nature."""
-    lines = F.split("text", "\n")
-    bare = lambda k: F.regexp_replace(F.lower(F.get(lines, F.lit(k))), "[^a-z]", "")
-    return table(spark, sf_dir, "documents").where(F.size(lines) > 1).select("doc_id", "lang", bare(0).alias("ref"), bare(1).alias("hyp"))
+def line_pairs(spark, sf_dir):
+    """(doc_id, lang, line, n, ref, hyp): each line of each document with the next one, letters only; n lines of the document have a next one."""
+    lines = F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(F.lower(l), "[^a-z]", ""))  # noqa: E741
+    x = table(spark, sf_dir, "documents").select("doc_id", "lang", lines.alias("l")).where(F.size("l") > 1)
+    pairs = F.zip_with(F.slice("l", 1, F.size("l") - 1), F.slice("l", 2, F.size("l") - 1), lambda a, b: F.struct(a.alias("ref"), b.alias("hyp")))
+    return x.select("doc_id", "lang", (F.size("l") - 1).alias("n"), F.posexplode(pairs).alias("line", "p")).select("doc_id", "lang", "line", "n", "p.*")
 
 
-PAIRS = "p AS (SELECT doc_id, lang, regexp_replace(lower(l[1]), '[^a-z]', '', 'g') AS ref, regexp_replace(lower(l[2]), '[^a-z]', '', 'g') AS hyp FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) > 1)"
+PAIRS = """l AS (SELECT doc_id, lang, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS l FROM documents),
+    i AS (SELECT *, unnest(range(1, len(l))) AS k FROM l), p AS (SELECT doc_id, lang, CAST(k - 1 AS INTEGER) AS line, len(l) - 1 AS n, l[k] AS ref, l[k + 1] AS hyp FROM i)"""
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, round(levenshtein(hyp, ref) / greatest(length(ref), 1), 6) AS cer FROM p")
+@query(f"WITH {PAIRS} SELECT doc_id, line, round(levenshtein(hyp, ref) / greatest(length(ref), 1), 6) AS cer FROM p")
 def letter_cer(spark, sf_dir):
-    return first_lines(spark, sf_dir).select("doc_id", F.round(V.letter_error(F.col("hyp"), F.col("ref")), 6).alias("cer"))
+    """Each line against the next, as a reading of it."""
+    return line_pairs(spark, sf_dir).select("doc_id", "line", F.round(V.letter_error(F.col("hyp"), F.col("ref")), 6).alias("cer"))
 
 
 @query(f"WITH {PAIRS} SELECT lang, round(sum(levenshtein(hyp, ref)) / greatest(sum(length(ref)), 1), 6) AS micro, round(avg(levenshtein(hyp, ref) / greatest(length(ref), 1)), 6) AS macro, count(*) AS n FROM p GROUP BY 1")
 def micro_cer_by_language(spark, sf_dir):
-    p = first_lines(spark, sf_dir).withColumn("e", F.levenshtein("hyp", "ref")).withColumn("n", F.length("ref"))
+    p = line_pairs(spark, sf_dir).withColumn("e", F.levenshtein("hyp", "ref")).withColumn("n", F.length("ref"))
     return p.groupBy("lang").agg(F.round(A.micro_ratio("e", "n"), 6).alias("micro"), F.round(F.avg(F.col("e") / F.greatest("n", F.lit(1))), 6).alias("macro"), F.count("*").alias("n"))
 
 
-@query("""WITH x AS (SELECT user_id, value, least(2, CAST(floor(3 * (row_number() OVER w - 1) / count(*) OVER (PARTITION BY user_id)) AS INTEGER)) AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT user_id, CAST(third AS INTEGER) AS third, round(sum(value) / count(*), 4) AS mean FROM x GROUP BY 1, 2""")
+@query(f"WITH {PAIRS} SELECT doc_id, CAST(3 * line // n AS INTEGER) AS third, CAST(sum(levenshtein(hyp, ref)) AS BIGINT) AS edits, round(sum(levenshtein(hyp, ref)) / greatest(sum(length(ref)), 1), 6) AS micro FROM p GROUP BY 1, 2")
 def thirds_micro(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id")
-    r = F.row_number().over(w.orderBy("ts", "event_id")) - 1
-    x = table(spark, sf_dir, "events").withColumn("third", F.least(F.lit(2), F.floor(3 * r / F.count("*").over(w)).cast("int")))
-    return x.groupBy("user_id", "third").agg(F.round(F.sum("value") / F.count("*"), 4).alias("mean"))
+    """Edits over lengths in each third of a document's lines."""
+    p = line_pairs(spark, sf_dir).withColumn("third", F.floor(3 * F.col("line") / F.col("n")).cast("int")).select("doc_id", "third", F.levenshtein("hyp", "ref").alias("e"), F.length("ref").alias("m"))
+    return p.groupBy("doc_id", "third").agg(F.sum("e").alias("edits"), F.round(A.micro_ratio("e", "m"), 6).alias("micro"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 25 = 0 OR TRUE), n AS (SELECT *, count(*) OVER (PARTITION BY label, vec_id // 20) AS n FROM e)
@@ -81,11 +80,28 @@ def gap_statistics(spark, sf_dir):
     return d.agg(F.round(F.avg("d"), 4).alias("mean"), F.round(F.stddev_pop("d"), 4).alias("sd"), F.round(F.avg((F.col("d") > 0).cast("double")), 6).alias("above"))
 
 
-@query()
+#: Differences of the lengths of neighbouring lines; counts in each draw by the hash and the tables that the library has.
+BOOTSTRAP = f"""WITH {PAIRS}, c AS (SELECT length(hyp) - length(ref) AS cell, count(*) AS n FROM p GROUP BY 1),
+    t(few, steps) AS (VALUES {", ".join(f"({n}, {A.poisson_steps(n)})" for n in range(1, A.EXACT_COUNTS + 1))}),
+    h AS (SELECT cell, n, draw, md5('b|' || cell || '|' || draw) AS h FROM c, (SELECT unnest(range(1, 301)) AS draw)),
+    u AS (SELECT cell, n, draw, (CAST('0x' || substr(h, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u, (CAST('0x' || substr(h, 9, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v FROM h),
+    d AS (SELECT draw, cell, CASE WHEN few IS NULL THEN CAST(greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v))) AS BIGINT) ELSE len(list_filter(steps, lambda s: u >= s)) END AS w FROM u LEFT JOIN t ON few = n),
+    x AS (SELECT draw, cell, w, sum(w) OVER (PARTITION BY draw ORDER BY cell) AS upto, sum(w) OVER (PARTITION BY draw) AS total FROM d WHERE w > 0),
+    m AS (SELECT draw, sum(cell * w) / max(total) AS mean,
+                 (max(CASE WHEN upto >= (total + 1) // 2 AND upto - w < (total + 1) // 2 THEN cell END) + max(CASE WHEN upto >= total // 2 + 1 AND upto - w < total // 2 + 1 THEN cell END)) / 2.0 AS median FROM x GROUP BY 1),
+    ci AS (SELECT quantile_cont(CASE WHEN draw <= 200 THEN mean END, 0.025) AS mean_low, quantile_cont(CASE WHEN draw <= 200 THEN mean END, 0.975) AS mean_high,
+                 quantile_cont(CAST(median AS DOUBLE), 0.025) AS median_low, quantile_cont(CAST(median AS DOUBLE), 0.975) AS median_high FROM m)
+    SELECT count(*) AS n, CAST(count(*) FILTER (hyp_n < ref_n) AS BIGINT) AS better, CAST(count(*) FILTER (hyp_n > ref_n) AS BIGINT) AS worse, round(avg(hyp_n - ref_n), 6) AS mean, CAST(median(hyp_n - ref_n) AS DOUBLE) AS median,
+           round(any_value(mean_low), 6) AS mean_low, round(any_value(mean_high), 6) AS mean_high, any_value(median_low) AS median_low, any_value(median_high) AS median_high
+    FROM (SELECT length(hyp) AS hyp_n, length(ref) AS ref_n FROM p), ci"""
+
+
+@query(BOOTSTRAP)
 def paired_bootstrap(spark, sf_dir):
-    """The mean difference of two lines' lengths with a 95 % interval by hashed resampling."""
-    d = first_lines(spark, sf_dir).select("doc_id", (F.length("hyp") - F.length("ref")).cast("double").alias("d"))
-    return A.bootstrap_mean(d, "doc_id", "d", 200)
+    """Mean and median difference of neighbouring lines' lengths with 95 % intervals by hashed resampling (200 and 300 draws)."""
+    d = line_pairs(spark, sf_dir).select((F.length("hyp") - F.length("ref")).cast("double").alias("d"))
+    out = A.bootstrap_intervals(d, "d", 200, 300, step=1.0)
+    return out.select("n", "better", "worse", F.round("mean", 6).alias("mean"), "median", F.round("mean_low", 6).alias("mean_low"), F.round("mean_high", 6).alias("mean_high"), "median_low", "median_high")
 
 
 @query("SELECT p_size AS level, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1")
