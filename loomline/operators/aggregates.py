@@ -15,22 +15,52 @@ def linear_percentile(col: str, p: float) -> Column:
     return F.percentile(col, p)
 
 
-def nearest_rank(df: DataFrame, key: str, col: str, named: dict[str, float]) -> DataFrame:
-    """The value at index min(n - 1, floor(p n)) of each group's sorted values; ranks are made by a window, nothing is collected."""
+def value_ranks(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, v, lo, hi, m): rows lo + 1 to hi of a group's m sorted rows hold v. Equal values are counted before anything is sorted."""
     w = Window.partitionBy(key)
-    r = df.where(F.col(col).isNotNull()).select(key, col, F.row_number().over(w.orderBy(col)).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.least(F.col("n"), F.floor(F.lit(p) * F.col("n")) + 1)
-    return r.groupBy(key).agg(*[F.max(F.when(F.col("r") == at(p), F.col(col))).alias(k) for k, p in named.items()])
+    c = df.where(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("v")).agg(F.count("*").alias("c"))
+    hi = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return c.select(key, "v", (hi - F.col("c")).alias("lo"), hi.alias("hi"), F.sum("c").over(w).alias("m"))
+
+
+def at_rank(rank: Column) -> Column:
+    """An aggregate over value_ranks: the value of the row of that rank, from 1."""
+    return F.max(F.when((F.col("lo") < rank) & (rank <= F.col("hi")), F.col("v")))
+
+
+def nearest_rank(df: DataFrame, key: str, col: str, named: dict[str, float]) -> DataFrame:
+    """The value at index min(n - 1, floor(p n)) of each group's sorted values; nothing is collected."""
+    at = lambda p: F.least(F.col("m"), F.floor(F.lit(p) * F.col("m")) + 1)
+    return value_ranks(df, key, col).groupBy(key).agg(*[at_rank(at(p)).alias(k) for k, p in named.items()])
 
 
 def exclusive_quantiles(df: DataFrame, key: str, col: str, n: int) -> DataFrame:
     """(key, k, v): the n - 1 cut points at positions k (rows + 1) / n, between neighbours; groups of one row give none."""
-    w = Window.partitionBy(key)
-    r = df.where(F.col(col).isNotNull()).select(key, F.col(col).alias("v"), F.row_number().over(w.orderBy(col)).alias("r"), F.count("*").over(w).alias("m"), F.lead(col).over(w.orderBy(col)).alias("next"))
-    at = F.expr(f"transform(sequence(1, {n - 1}), k -> named_struct('k', k, 'j', greatest(1, least(m - 1, k * (m + 1) div {n}))))")
-    rows = r.where("m > 1").select(key, "v", "next", "m", "r", F.explode(F.filter(at, lambda s: s["j"] == F.col("r"))).alias("s"))
-    over = F.col("s.k") * (F.col("m") + 1) - F.col("s.j") * n
-    return rows.select(key, F.col("s.k").alias("k"), ((F.col("v") * (n - over) + F.col("next") * over) / n).alias("v"))
+    rank = lambda k: F.greatest(F.lit(1), F.least(F.col("m") - 1, F.floor(k * (F.col("m") + 1) / n)))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.struct(k.alias("k"), rank(k).alias("j")))
+    near = F.filter(cuts, lambda s: (s["j"] + 1 > F.col("lo")) & (s["j"] <= F.col("hi")))
+    rows = value_ranks(df, key, col).where("m > 1").select(key, "v", "lo", "hi", "m", F.explode(near).alias("s")).select(key, "v", "lo", "hi", "m", "s.*")
+    found = rows.groupBy(key, "k").agg(at_rank(F.col("j")).alias("a"), at_rank(F.col("j") + 1).alias("b"), (F.max("k") * (F.max("m") + 1) - F.max("j") * n).alias("over"))
+    return found.select(key, "k", ((F.col("a") * (n - F.col("over")) + F.col("b") * F.col("over")) / n).alias("v"))
+
+
+def position_means(df: DataFrame, values: str, keys: list[str], edge: int = 250, width: int = 1000) -> DataFrame:
+    """(keys..., part, mean, n, rows): the mean over a ragged array's first `edge` values, its last, those between (null where it has
+    no more than 2 * edge), and each `width` from its start, averaged over the rows that have the part; n values in all.
+
+    Each row is cut into its parts and summed before anything is exploded, so there is a row for each part, not for each value.
+    """
+    x, size = F.col(values), F.size(values)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    part = lambda name, v: F.struct(name.alias("part"), total(v).alias("sum"), F.size(v).alias("n"))
+    lit = lambda v: F.lit(v)
+    ends = F.array(
+        part(lit("first"), F.slice(x, 1, edge)), part(lit("last"), F.slice(x, F.greatest(size - edge + 1, lit(1)), edge)),
+        part(lit("mid"), F.slice(x, edge + 1, F.greatest(size - 2 * edge, lit(0)))),
+    )
+    bins = F.transform(F.sequence(lit(0), F.greatest(size - 1, lit(0)), lit(width)), lambda a: part(F.concat(lit("from "), a.cast("string")), F.slice(x, a + 1, lit(width))))
+    rows = df.where(size > 0).select(*keys, F.explode(F.concat(ends, bins)).alias("p")).select(*keys, "p.*").where("n > 0")
+    return rows.groupBy(*keys, "part").agg(F.avg(F.col("sum") / F.col("n")).alias("mean"), F.sum("n").alias("n"), F.count("*").alias("rows"))
 
 
 def side_by_side(frames: list[DataFrame]) -> DataFrame:
@@ -118,6 +148,37 @@ def nan_count(col: str) -> Column:
     return F.count(F.when(~F.isnan(col), F.col(col)))
 
 
+def nan_median(col: str) -> Column:
+    return F.median(F.when(~F.isnan(col), F.col(col)))
+
+
+def mean_by_key(df: DataFrame, values: str) -> DataFrame:
+    """(key, mean, n) of a map column's entries, whatever keys rows have; null and NaN values count for neither."""
+    x = df.select(F.explode(values).alias("key", "value"))
+    return x.groupBy("key").agg(nan_mean("value").alias("mean"), nan_count("value").alias("n"))
+
+
+def paired_metrics(a: DataFrame, b: DataFrame, item: str, values: str) -> DataFrame:
+    """(item, metric, a, b, state): metrics of two runs, maps from name to value, side by side; no list of names is needed.
+
+    state: both, only_a, only_b where the other run has no such item or name; null where a value is null, nan where one
+    is not a number. An item that a run has twice is an error of the caller (see unique_or_raise).
+    """
+    long = lambda x, name: x.select(item, F.explode(values).alias("metric", name)).withColumn(f"__{name}", F.lit(True))
+    x = long(a, "a").join(long(b, "b"), [item, "metric"], "full")
+    state = F.when(F.col("__b").isNull(), "only_a").when(F.col("__a").isNull(), "only_b").when(F.col("a").isNull() | F.col("b").isNull(), "null").when(F.isnan("a") | F.isnan("b"), "nan").otherwise("both")
+    return x.select(item, "metric", "a", "b", state.alias("state"))
+
+
+def paired_summary(pairs: DataFrame) -> DataFrame:
+    """A row for each metric: pairs with both values, means, medians and the median difference over them, better and worse, and how many of each other state."""
+    both = F.col("state") == "both"
+    of = lambda v: F.when(both, v)
+    d = F.col("b") - F.col("a")
+    states = [F.count_if(F.col("state") == s).alias(s) for s in ("only_a", "only_b", "null", "nan")]
+    return pairs.groupBy("metric").agg(F.count_if(both).alias("n"), F.avg(of(F.col("a"))).alias("mean_a"), F.avg(of(F.col("b"))).alias("mean_b"), F.median(of(F.col("a"))).alias("median_a"), F.median(of(F.col("b"))).alias("median_b"), F.median(of(d)).alias("median_diff"), F.count_if(both & (d < 0)).alias("better"), F.count_if(both & (d > 0)).alias("worse"), *states)
+
+
 def metric_rows(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """Long form: (key, metric, value); NaN is no value."""
     return df.unpivot([key], metrics, "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -18,12 +18,14 @@ def bernoulli(df: DataFrame, id_col: str, p: float, salt: str) -> DataFrame:
     return df.where(bucket_open(F.concat(F.col(id_col).cast("string"), F.lit(salt))) < p)
 
 
-def stratified(df: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:
+def stratified(df: DataFrame, stratum: str, id_col: str, n: int, parts: int = 64) -> DataFrame:
     """About n rows, each stratum in proportion and with one at least, by md5 of the id."""
     counts = df.groupBy(stratum).agg(F.count("*").alias("__c"))
     quota = counts.crossJoin(F.broadcast(counts.agg(F.sum("__c").alias("__t")))).select(stratum, F.greatest(F.lit(1), F.bround(n * F.col("__c") / F.col("__t")).cast("long")).alias("__q"))
-    r = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.col(id_col).cast("string")), id_col))
-    return df.join(quota, stratum).withColumn("__r", r).where("__r <= __q").drop("__r", "__q")
+    order = [F.md5(F.col(id_col).cast("string")), F.col(id_col)]
+    first = lambda x, *by: x.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r <= __q").drop("__r")
+    dealt = df.join(quota, stratum).withColumn("__p", F.pmod(F.xxhash64(id_col), F.lit(parts)))
+    return first(first(dealt, stratum, "__p"), stratum).drop("__p", "__q")  # a stratum's rows are cut in parts before they meet
 
 
 def group_weights(df: DataFrame, bounds: dict[str, int]) -> DataFrame:
@@ -34,14 +36,18 @@ def group_weights(df: DataFrame, bounds: dict[str, int]) -> DataFrame:
     return df.withColumn("w", F.least(F.lit(1.0), *parts)).drop(*[f"__n{k}" for k in range(len(bounds))])
 
 
-def weighted(df: DataFrame, group: str, id_col: str, weight: str, draws: int, salt: str = "w") -> DataFrame:
-    """(group, draw, id): in each group `draws` rows with replacement, by weight: a hash-uniform number in the running sum of weights."""
+def weighted(df: DataFrame, group: str, id_col: str, weight: str, draws: int, salt: str = "w", bins: int = 1024) -> DataFrame:
+    """(group, draw, id): in each group `draws` rows with replacement, by weight: a hash-uniform number in the running sum of weights.
+
+    Numbers and rows meet by bins of the running sum, so a draw sees the rows of one bin, not those of its group.
+    """
     w = Window.partitionBy(group).orderBy(id_col)
     total = F.sum(weight).over(Window.partitionBy(group))
     spans = df.select(group, id_col, (F.sum(weight).over(w) / total).alias("__hi"), ((F.sum(weight).over(w) - F.col(weight)) / total).alias("__lo"))
     wanted = df.select(group).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     wanted = wanted.withColumn("__u", bucket_open(F.concat_ws("|", F.lit(salt), F.col(group).cast("string"), F.col("draw").cast("string"))))
-    return wanted.join(spans, group).where("__lo <= __u and __u < __hi").select(group, "draw", id_col)
+    dealt = spans.where("__hi > __lo").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") * bins), F.floor(F.col("__hi") * bins))))
+    return wanted.withColumn("__b", F.floor(F.col("__u") * bins)).join(dealt, [group, "__b"]).where("__lo <= __u and __u < __hi").select(group, "draw", id_col)
 
 
 def magic_prime(slots: int) -> int:

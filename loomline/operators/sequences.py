@@ -47,14 +47,13 @@ def header_of(doc: str) -> Column:
 def position_tags(doc: str, head: int = 50) -> Column:
     """A tag for each position but the first (what is predicted there): c0 for the first codes of a section, c for the others, b for marks, t for text."""
     x = F.col(doc)
-    kind = "struct<n:int,out:array<string>>"
-
-    def step(acc: Column, v: Column) -> Column:
-        n = F.when(v.isin(SOA, SOS, EOA, EOD), 0).when(v >= CODE_BASE, acc["n"] + 1).otherwise(acc["n"])
-        tag = F.when(v >= CODE_BASE, F.when(n <= head, "c0").otherwise("c")).when((v >= EOD) | (v == 0), "b").otherwise("t")
-        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(tag)).alias("out")).cast(kind)
-
-    tags = F.aggregate(x, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")).cast(kind), step)["out"]
+    mark = lambda v: v.isin(SOA, SOS, EOA, EOD)
+    starts = F.concat(_ids(0), F.filter(F.transform(x, lambda v, i: F.when(mark(v) & (i > 0), i)), lambda i: i.isNotNull()))
+    runs = F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(x))), lambda a, b: F.slice(x, a + 1, b - a))  # each from a mark to the next
+    last = lambda r: F.coalesce(F.get(F.filter(F.transform(r, lambda v, i: F.when(v >= CODE_BASE, i)), lambda i: i.isNotNull()), F.lit(head - 1)), F.size(r))
+    known = F.transform(runs, lambda r: F.struct(r.alias("r"), last(r).alias("last")))  # where the run's first `head` codes end
+    tag = lambda v, i, end: F.when(v >= CODE_BASE, F.when(i <= end, "c0").otherwise("c")).when((v >= EOD) | (v == 0), "b").otherwise("t")
+    tags = F.flatten(F.transform(known, lambda s: F.transform(s["r"], lambda v, i: tag(v, i, s["last"]))))
     return F.slice(tags, 2, F.greatest(F.size(tags) - 1, F.lit(0)))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -24,22 +28,35 @@ def stanza_gap(df: DataFrame, group: str, order: list[str], t0: str, t1: str, si
 
 
 def bounded_sessions(df: DataFrame, group: str, t0: str, t1: str, gap: float = 3.0, length: float = 20.0, lines: int = 6) -> DataFrame:
-    """(group, k, start, end, n): sessions that also end at a length and a number of rows, which only a fold can tell.
+    """(group, k, start, end, n): sessions that also end at a length and a number of rows, which only a pass in order can tell.
 
-    A group's rows (one song) are one array of two numbers each; a fold keeps the open session.
+    A task reads its groups' rows sorted and holds the open session alone, so a group may have any number of rows.
     """
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(t0).cast("double").alias("a"), F.col(t1).cast("double").alias("b")))).alias("x"))
-    one = "struct<a:double,b:double,n:int>"
-    new = lambda r: F.array(F.struct(r["a"].alias("a"), r["b"].alias("b"), F.lit(1).alias("n")))
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        goes_on = (F.size(acc) > 0) & (r["a"] - last["b"] < gap) & (r["a"] - last["a"] < length) & (last["n"] < lines)
-        grown = F.array(F.struct(last["a"].alias("a"), r["b"].alias("b"), (last["n"] + 1).alias("n")))
-        return F.when(goes_on, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.concat(acc, new(r)))
-
-    made = rows.select(group, F.aggregate("x", F.array().cast(f"array<{one}>"), step).alias("s"))
-    return made.select(group, F.posexplode("s").alias("k", "s")).select(group, "k", F.col("s.a").alias("start"), F.col("s.b").alias("end"), F.col("s.n").alias("n"))
+    kind = df.schema[group].dataType
+    rows = df.select(F.col(group).alias("g"), F.col(t0).cast("double").alias("a"), F.col(t1).cast("double").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, k, start, end, n = None, 0, 0.0, 0.0, 0
+        for x in batches:
+            out = []
+            for h, a, b in zip(*[c.to_pylist() for c in x.columns], strict=True):
+                if n and h == g and a - end < gap and a - start < length and n < lines:
+                    end, n = b, n + 1
+                    continue
+                if n:
+                    out.append((g, k, start, end, n))
+                g, k, start, end, n = h, (k + 1 if n and h == g else 0), a, b, 1
+            yield made(out, x.schema.field("g").type)
+        if n:
+            yield made([(g, k, start, end, n)], x.schema.field("g").type)
+
+    def made(out: list, first: pa.DataType) -> pa.RecordBatch:
+        types = (first, pa.int32(), pa.float64(), pa.float64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["g", "k", "start", "end", "n"])
+
+    schema = StructType([StructField(group, kind), StructField("k", IntegerType()), StructField("start", DoubleType()), StructField("end", DoubleType()), StructField("n", IntegerType())])
+    dealt = rows.where("a is not null").repartition("g").sortWithinPartitions("g", "a", "b")
+    return dealt.mapInArrow(lambda b: (pa.RecordBatch.from_arrays(x.columns, names=[group, "k", "start", "end", "n"]) for x in run(b)), schema)
 
 
 def repeated_marker(df: DataFrame, group: str, norm: Column, least: int = 6) -> DataFrame:

@@ -4,6 +4,7 @@ text for lyrics, source for the creator, n_chars for the duration."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import aggregates as A
@@ -39,13 +40,20 @@ def reasons():
 def manifest_summary(spark, sf_dir):
     """The flagship: reasons to drop, split by hash, leak control, duplicate groups, percentiles."""
     d = docs(spark, sf_dir).select("doc_id", "n_chars", T.collapsed_hash(F.col("text")).alias("h"), P.first_reason(reasons()).alias("reason"), T.bucket_closed(F.col("doc_id").cast("string")).alias("b"))
-    kept = d.where("reason is null")
-    train, val = kept.where("b >= 0.05"), kept.where("b < 0.05")
-    clean, leak = J.without_leaks(val, train, "h")
-    groups = kept.groupBy("h").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1).alias("n_repeats"), F.max("c").alias("largest_group"))
-    one = kept.agg(F.count("*").alias("n_kept"), F.count_if(F.col("b") >= 0.05).alias("n_train"), F.round(A.linear_percentile("n_chars", 0.5), 6).alias("p50"), F.round(A.linear_percentile("n_chars", 0.95), 6).alias("p95"), F.round(F.sum("n_chars") / 3600.0, 6).alias("hours"))
-    rows = [d.agg(F.count("*").alias("n_rows")), one, groups, clean.agg(F.count("*").alias("n_val")), leak.agg(F.count("*").alias("n_leak"))]
-    return A.side_by_side(rows).select("n_rows", "n_kept", "n_train", "n_val", "n_leak", "n_repeats", "largest_group", "p50", "p95", "hours")
+    kept, val = F.col("reason").isNull(), F.col("b") < 0.05
+    # copies are counted once, by hash, split and length; all that is asked for follows from the counts
+    alike = d.groupBy("h", "n_chars", kept.alias("kept"), val.alias("val")).agg(F.count("*").alias("c"))
+    of_hash = Window.partitionBy("h")
+    taken = F.when(F.col("kept"), F.col("c"))
+    x = alike.withColumn("size", F.sum(taken).over(of_hash)).withColumn("trained", F.sum(F.when(~F.col("val"), taken)).over(of_hash)).withColumn("first", F.row_number().over(of_hash.orderBy("n_chars", "kept", "val")) == 1)
+    held = F.when(F.col("val"), taken)
+    leak = F.col("h").isNotNull() & (F.col("trained") > 0)
+    total = lambda v: F.coalesce(F.sum(v), F.lit(0)).cast("long")
+    of = lambda p: F.round(F.percentile(F.when(F.col("kept"), F.col("n_chars")), p, F.col("c")), 6)
+    return x.agg(
+        F.sum("c").alias("n_rows"), total(taken).alias("n_kept"), total(F.when(~F.col("val"), taken)).alias("n_train"), total(F.when(~F.coalesce(leak, F.lit(False)), held)).alias("n_val"), total(F.when(leak, held)).alias("n_leak"),
+        F.sum(F.when(F.col("first"), F.col("size") - 1)).alias("n_repeats"), F.max("size").alias("largest_group"), of(0.5).alias("p50"), of(0.95).alias("p95"), F.round(F.sum(taken * F.col("n_chars")) / 3600.0, 6).alias("hours"),
+    )
 
 
 @query(f"SELECT coalesce({REASON}, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1")
