@@ -37,15 +37,39 @@ TRAIL_SPACED = rf"(?U)(?<=\S)[\s　,，。.!！?？~]+[{HAN}，。、！？\s]{{
 TRAIL_GLUED = rf"(?<=[{KANA}a-zA-Z])[{HAN}]{{6,}}[，。、！？]*$"
 
 
+# The second cleaner's patterns, for lyrics whose credits stand among timed lines.
+NOTICE_LINE = (
+    r"(?U)^\s*[【\[(（].*(版权|授权|翻唱|商用|未经|著作权|监制|出品).*[】\])）]\s*$|版权所有|未经许可|未经授权|不得翻唱"
+)
+ROLE = (
+    r"(?iU)词|曲|编|混|母带|录|鼓|吉他|贝斯|键盘|钢琴|弦|和声|和音|合音|监制|制作|统筹|总监|策划|出品|发行|顾问|宣传|PGM|OP|SP|舞|摄|灯光|音响"
+    r"|Program|Producer|Mix|Master|Engineer|Lyric|Compos|Arrang|Guitar|Bass|Drum|Piano|Keyboard|Strings|Vocal|Studio|Record"
+)
+SPEAKER = r"(?U)^\s*([^:：]{1,40}?)\s*[:：]\s*(.*)$"
+
+#: What clean_report counts, in this order.
+RULES = ("title", "notice", "section", "singer", "furigana", "credit", "role", "split", "paren", "gloss", "korean", "trailing", "dropped_lines", "lines_changed")
+
+
+def sung_text(line: Column) -> Column:
+    """The sung part of a line: null for credits, notices and heads without text, without a leading label of a singer or part, else the line."""
+    label, rest = F.regexp_extract(line, SPEAKER, 1), strip(F.regexp_extract(line, SPEAKER, 2))
+    part = (F.length(label) <= 6) | label.contains("+") | label.contains("合")
+    spoken = F.when((rest == "") | label.rlike(ROLE), F.lit(None)).when(part, rest).otherwise(line)
+    return F.when(line.rlike(NOTICE_LINE), F.lit(None)).when(line.rlike(SPEAKER), spoken).otherwise(line)
+
+
 def clean_line(line: Column) -> Column:
-    """(text, rule): the cleaned line and the last rule that changed it; the empty text for a line that goes."""
-    steps = ["text", "rule"]
+    """(text, rules, rule): the cleaned line, all rules that changed it in order (lines_changed behind them if it is kept otherwise than it was) and the last of them; the empty text for a line that goes."""
+
+    def made(text: Column, rules: Column) -> Column:
+        return F.struct(text.alias("text"), rules.alias("rules")).cast("struct<text:string,rules:array<string>>")
 
-    def made(text: Column, rule: Column) -> Column:
-        return F.struct(text.alias(steps[0]), rule.alias(steps[1])).cast("struct<text:string,rule:string>")
+    def noted(s: Column, rule: str) -> Column:
+        return F.concat(s["rules"], F.array(F.lit(rule)))
 
     def changed(s: Column, text: Column, rule: str) -> Column:
-        return made(text, F.when(text != s["text"], rule).otherwise(s["rule"]))
+        return made(text, F.when(text != s["text"], noted(s, rule)).otherwise(s["rules"]))
 
     def alive(s: Column, then: Column) -> Column:
         return F.when(s["text"] == "", s).otherwise(then)
@@ -54,9 +78,10 @@ def clean_line(line: Column) -> Column:
         """then(s), with s worked out once: a fold over one element binds it."""
         return F.element_at(F.transform(F.array(s), then), 1)
 
-    s = F.when(line.rlike(NOTICE), made(F.lit(""), F.lit("notice"))).when(line.rlike(SECTION) | line.rlike(SECTION_HEAD), made(F.lit(""), F.lit("section"))).otherwise(made(line, F.lit(None)))
+    one = lambda rule: F.array(F.lit(rule))
+    s = F.when(line.rlike(NOTICE), made(F.lit(""), one("notice"))).when(line.rlike(SECTION) | line.rlike(SECTION_HEAD), made(F.lit(""), one("section"))).otherwise(made(line, F.array().cast("array<string>")))
     s = step(s, lambda x: alive(x, changed(x, F.regexp_replace(x["text"], SINGER, ""), "singer")))
-    s = step(s, lambda x: alive(x, made(strip(F.regexp_replace(x["text"], TAG, " ")), x["rule"])))
+    s = step(s, lambda x: alive(x, made(strip(F.regexp_replace(x["text"], TAG, " ")), x["rules"])))
     s = step(s, lambda x: alive(x, changed(x, F.regexp_replace(x["text"], FURIGANA, "$2"), "furigana")))
 
     def credit(x: Column) -> Column:
@@ -64,17 +89,17 @@ def clean_line(line: Column) -> Column:
         has = x["text"].rlike(COLON)
         goes = has & (label.rlike(CREDIT_WORD) | strip(label).isin(SHORT_CREDITS) | (rest == ""))
         role = has & (F.length(label) <= 6) & label.rlike(rf"(?U)^[{HAN}{KANA}{HANGUL}\w·]+$") & ~label.rlike("[a-zA-Z]")
-        kept = F.when(role, made(rest, F.lit("role"))).otherwise(x)
-        return F.when(goes, made(F.lit(""), F.lit("credit"))).otherwise(kept)
+        kept = F.when(role, made(rest, noted(x, "role"))).otherwise(x)
+        return F.when(goes, made(F.lit(""), noted(x, "credit"))).otherwise(kept)
 
     s = step(s, lambda x: alive(x, credit(x)))
-    s = step(s, lambda x: F.when(x["text"].rlike(LEAD_CREDIT), made(F.lit(""), F.lit("credit"))).otherwise(x))
+    s = step(s, lambda x: F.when(x["text"].rlike(LEAD_CREDIT), made(F.lit(""), noted(x, "credit"))).otherwise(x))
 
     def translated(x: Column) -> Column:
         parts = F.filter(F.split(x["text"], SPLIT), lambda p: strip(p) != "")
         a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
         one = (F.size(parts) == 2) & (has_only_han(a) != has_only_han(b))
-        return F.when(one, made(F.when(has_only_han(a), b).otherwise(a), F.lit("split"))).otherwise(x)
+        return F.when(one, made(F.when(has_only_han(a), b).otherwise(a), noted(x, "split"))).otherwise(x)
 
     s = step(s, lambda x: alive(x, translated(x)))
 
@@ -84,18 +109,42 @@ def clean_line(line: Column) -> Column:
 
     s = step(s, lambda x: alive(x, parenthesised(x)))
     s = step(s, lambda x: F.when(x["text"].rlike(f"[{HANGUL}]") & x["text"].rlike(f"[{HAN}]"), changed(x, F.regexp_replace(x["text"], f"[{HAN}]+", " "), "korean")).otherwise(x))
-    return step(s, lambda x: made(strip(F.regexp_replace(x["text"], r"(?U)\s+", " ")), x["rule"]))
+    gone = lambda x: F.arrays_overlap(x["rules"], F.array(*map(F.lit, ("notice", "section", "credit"))))
+    s = step(s, lambda x: made(strip(F.regexp_replace(x["text"], r"(?U)\s+", " ")), F.when((x["text"] != line) & ~gone(x), noted(x, "lines_changed")).otherwise(x["rules"])))
+    last = lambda x: F.try_element_at(F.filter(x["rules"], lambda r: r != "lines_changed"), F.lit(-1))
+    return step(s, lambda x: F.struct(x["text"].alias("text"), x["rules"].alias("rules"), last(x).alias("rule")))
 
 
-def clean_lines(df: DataFrame, lines: str, title: Column) -> DataFrame:
-    """df with the array of texts cleaned: title lines among the first two, then each line, then trailing translations if a quarter of the lines has one; empty ones go."""
+def _heads(title: Column):
+    """Whether a line, by its place, is a title: among the first two, with a dash or title brackets or the title itself."""
+    stem = norm_letters(title)
+    return lambda t, i: (i < 2) & (t.contains(" - ") | t.contains("《") | ((stem != "") & (norm_letters(t) == stem)))
+
+
+def _without_trail(t: Column) -> Column:
+    return strip(F.regexp_replace(F.regexp_replace(t, TRAIL_SPACED, ""), TRAIL_GLUED, ""))
+
+
+def clean_report(df: DataFrame, lines: str, title: Column) -> DataFrame:
+    """df with the array of texts cleaned, and counts: a map from each of RULES to how often it took effect in the row.
+
+    Title lines among the first two go, then each line is cleaned by itself, then trailing translations go if a quarter of
+    the lines has one. Lines left empty go (dropped_lines; titles count apart).
+    """
     x = F.col(lines)
     foreign = lambda t: t.rlike(f"[{KANA}{HANGUL}]") | t.rlike("[a-zA-Z]{2,}")
     hit = F.size(F.filter(x, lambda t: foreign(t) & (t.rlike(TRAIL_SPACED) | t.rlike(TRAIL_GLUED))))
-    stem = norm_letters(title)
-    heads = lambda t, i: (i < 2) & (t.contains(" - ") | t.contains("《") | ((stem != "") & (norm_letters(t) == stem)))
-    cut = lambda t: strip(F.regexp_replace(F.regexp_replace(t, TRAIL_SPACED, ""), TRAIL_GLUED, ""))
-    one = F.transform(F.filter(x, lambda t, i: ~heads(t, i)), lambda t: clean_line(t)["text"])
-    df = df.withColumn("__trailing", hit >= 0.25 * F.size(x)).withColumn("__one", one)
-    two = F.transform("__one", lambda t: F.when(F.col("__trailing") & ~has_only_han(t) & (cut(t) != ""), cut(t)).otherwise(t))
-    return df.withColumn(lines, F.filter(two, lambda t: t != "")).drop("__trailing", "__one")
+    heads = _heads(title)
+    df = df.withColumn("__trailing", hit >= 0.25 * F.size(x)).withColumn("__titles", F.size(F.filter(x, heads))).withColumn("__one", F.transform(F.filter(x, lambda t, i: ~heads(t, i)), clean_line))
+    trails = lambda s: F.col("__trailing") & (s["text"] != "") & ~has_only_han(s["text"]) & (_without_trail(s["text"]) != "") & (_without_trail(s["text"]) != s["text"])
+    df = df.withColumn("__two", F.transform("__one", lambda s: F.when(trails(s), F.struct(_without_trail(s["text"]).alias("text"), F.concat(s["rules"], F.array(F.lit("trailing"))).alias("rules"))).otherwise(F.struct(s["text"].alias("text"), s["rules"].alias("rules")))))
+    df = df.withColumn("__rules", F.flatten(F.transform("__two", lambda s: F.when(s["text"] == "", F.concat(s["rules"], F.array(F.lit("dropped_lines")))).otherwise(s["rules"]))))
+    names = F.array(*map(F.lit, RULES))
+    counts = F.map_from_arrays(names, F.transform(names, lambda n: F.when(n == "title", F.col("__titles")).otherwise(F.size(F.filter("__rules", lambda r: r == n)))))
+    kept = F.filter(F.transform("__two", lambda s: s["text"]), lambda t: t != "")
+    return df.withColumn("counts", counts).withColumn(lines, kept).drop("__trailing", "__titles", "__one", "__two", "__rules")
+
+
+def clean_lines(df: DataFrame, lines: str, title: Column) -> DataFrame:
+    """df with the array of texts cleaned (see clean_report)."""
+    return clean_report(df, lines, title).drop("counts")

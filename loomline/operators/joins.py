@@ -101,3 +101,14 @@ def survivor(df: DataFrame, groups: list[str], order: list[Column], id_col: str)
 def unmatched(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not done yet: the resume join."""
     return df.join(done.select(key).distinct(), key, "left_anti")
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table of that name, dealt into buckets by key and sorted in each: tables of as many buckets join on it as they lie."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def partition_wise(meta: DataFrame, arrays: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Two bucketed tables of one key, bucket by bucket: neither side is shuffled, so the arrays are read where they are used."""
+    return meta.hint("merge").join(arrays, key, how)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cleaning as N
 from ..operators import sections as S
 from .base import query, table
 
@@ -89,3 +90,60 @@ def folded_sections(spark, sf_dir):
     out = S.folded_songs(own, w, "doc_id", "text")
     n_lines = F.size(F.filter("lines", lambda l: l["section"] == F.col("s.section")))
     return out.select("doc_id", "lines", F.explode("sections").alias("s")).select("doc_id", "s.section", "s.marker", "s.n_words", "s.n_align", F.coalesce(F.when(F.col("lines").isNotNull(), n_lines), F.lit(0)).alias("n_lines"), F.round("s.start", 2).alias("start"), F.round("s.end", 2).alias("end"), F.round("s.score", 3).alias("score"))
+
+
+def in_sql(pattern: str) -> str:
+    """A pattern of the library for DuckDB: its classes of letters and blanks spelt out, as there they know ASCII only."""
+    named = {"w": r"\p{L}\p{N}_", "s": r"\s\p{Z}\x0b", "W": None}
+    out, inside, k = [], False, 0
+    body = pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+    while k < len(body):
+        c = body[k]
+        if c == "\\" and body[k + 1] in named:
+            out.append(r"[^\p{L}\p{N}_]" if body[k + 1] == "W" else named[body[k + 1]] if inside else f"[{named[body[k + 1]]}]")
+            k += 2
+            continue
+        if c == "\\":
+            out.append(body[k : k + 2])
+            k += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        k += 1
+    return "".join(out).replace("'", "''")
+
+
+BLANKS = r"[\s\p{Z}\x0b]"
+CLEANED = f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS t FROM documents),
+    h AS (SELECT *, i < 2 AND (contains(t, ' - ') OR contains(t, '《')) AS title FROM l),
+    a AS (SELECT doc_id, i, t, regexp_matches(t, '{in_sql(N.NOTICE)}') AS notice, regexp_matches(t, '{in_sql(N.SECTION)}') OR regexp_matches(t, '{in_sql(N.SECTION_HEAD)}') AS section, regexp_replace(t, '{in_sql(N.SINGER)}', '') AS t1 FROM h WHERE NOT title),
+    b AS (SELECT *, regexp_replace(regexp_replace(t1, '{in_sql(N.TAG)}', ' ', 'g'), '^{BLANKS}+|{BLANKS}+$', '', 'g') AS t2 FROM a),
+    c AS (SELECT *, regexp_matches(t2, '{in_sql(N.COLON)}') AS m, regexp_extract(t2, '{in_sql(N.COLON)}', 1) AS label, regexp_replace(regexp_extract(t2, '{in_sql(N.COLON)}', 2), '{BLANKS}+$', '') AS rest FROM b),
+    d AS (SELECT *, m AND (regexp_matches(label, '{N.CREDIT_WORD}') OR list_contains(['{"', '".join(N.SHORT_CREDITS)}'], trim(label)) OR rest = '') AS c1,
+          m AND length(label) <= 6 AND regexp_matches(label, '^[\\p{{L}}\\p{{N}}_·]+$') AND NOT regexp_matches(label, '[a-zA-Z]') AS r FROM c),
+    e AS (SELECT *, CASE WHEN r THEN rest ELSE t2 END AS t3 FROM d),
+    f AS (SELECT *, NOT notice AND NOT section AND t2 <> '' AND c1 AS c2, NOT notice AND NOT section AND NOT (t2 <> '' AND c1) AND regexp_matches(CASE WHEN t2 = '' THEN t2 ELSE t3 END, '{in_sql(N.LEAD_CREDIT)}') AS c3 FROM e),
+    g AS (SELECT *, notice OR section OR c2 OR c3 AS gone, CASE WHEN notice OR section OR c2 OR c3 THEN '' ELSE regexp_replace(regexp_replace(t3, '{BLANKS}+', ' ', 'g'), '^{BLANKS}+|{BLANKS}+$', '', 'g') END AS t4 FROM f)"""
+
+
+@query(f"""{CLEANED} SELECT l.doc_id, coalesce(max(x.lines), 0) AS n_lines, coalesce(max(x.text), '') AS text, coalesce(max(y.titles), 0) AS title, coalesce(max(x.notice), 0) AS notice, coalesce(max(x.section), 0) AS section,
+      coalesce(max(x.singer), 0) AS singer, coalesce(max(x.credit), 0) AS credit, coalesce(max(x.role), 0) AS role, coalesce(max(x.dropped), 0) AS dropped_lines, coalesce(max(x.changed), 0) AS lines_changed
+    FROM l LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (t4 <> '') AS INTEGER) AS lines, coalesce(array_to_string(list(t4 ORDER BY i) FILTER (t4 <> ''), chr(10)), '') AS text, CAST(count(*) FILTER (notice) AS INTEGER) AS notice,
+      CAST(count(*) FILTER (section AND NOT notice) AS INTEGER) AS section, CAST(count(*) FILTER (NOT notice AND NOT section AND t <> '' AND t1 <> t) AS INTEGER) AS singer, CAST(count(*) FILTER (c2 OR c3) AS INTEGER) AS credit,
+      CAST(count(*) FILTER (NOT notice AND NOT section AND t2 <> '' AND NOT c1 AND r) AS INTEGER) AS role, CAST(count(*) FILTER (t4 = '') AS INTEGER) AS dropped, CAST(count(*) FILTER (NOT gone AND t3 <> t) AS INTEGER) AS changed FROM g GROUP BY 1) x USING (doc_id)
+    LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (title) AS INTEGER) AS titles FROM h GROUP BY 1) y USING (doc_id) GROUP BY 1""")
+def cleaned_lines(spark, sf_dir):
+    """All lines of all documents through the line rules, with a counter for each rule."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    x = N.clean_report(d, "lines", F.lit(""))
+    return x.select("doc_id", F.size("lines").alias("n_lines"), F.array_join("lines", "\n").alias("text"), *[F.col("counts")[c].alias(c) for c in ("title", "notice", "section", "singer", "credit", "role", "dropped_lines", "lines_changed")])
+
+
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS t FROM documents),
+    m AS (SELECT *, regexp_matches(t, '{in_sql(N.SPEAKER)}') AS m, regexp_extract(t, '{in_sql(N.SPEAKER)}', 1) AS label, regexp_replace(regexp_extract(t, '{in_sql(N.SPEAKER)}', 2), '{BLANKS}+$', '') AS rest FROM l)
+    SELECT doc_id, CAST(i AS INTEGER) AS line, CASE WHEN regexp_matches(t, '{in_sql(N.NOTICE_LINE)}') THEN NULL WHEN NOT m THEN t WHEN rest = '' OR regexp_matches(label, '{in_sql(N.ROLE)}') THEN NULL
+      WHEN length(label) <= 6 OR contains(label, '+') OR contains(label, '合') THEN rest ELSE t END AS sung FROM m""")
+def sung_lines(spark, sf_dir):
+    """What is sung of each line, by the rules for credits among timed lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return d.select("doc_id", "line", N.sung_text(F.col("t")).alias("sung"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ragged as G
 from ..operators import sampling as O
@@ -145,3 +148,40 @@ def song_line_table(spark, sf_dir):
     ids = F.when(F.col("l_partkey") % 9 == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("l_partkey") % 9, F.lit(1)).cast("long")), lambda i: F.when((i * F.col("l_suppkey")) % 4 == 0, 1).otherwise(10 + i)))
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.struct(F.col("l_linenumber").alias("k"), "l_partkey").alias("o"), at.cast("long").alias("f0"), (at + F.col("l_quantity").cast("long") * 2 - 3).cast("long").alias("f1"), ids.alias("ids"))  # noqa: E741
     return G.line_table(l, "g", "o", F.lit(180)).select("g", "o.k", "o.l_partkey", "f0", "f1", "f1c", "i0", "i1")
+
+
+@query(f"WITH {CODES} SELECT g, o_custkey AS meta, CAST(len(codes) AS INTEGER) AS n, array_to_string(codes, ' ') AS codes FROM c JOIN orders ON o_orderkey = g")
+def partition_wise_join(spark, sf_dir):
+    """Orders' metadata and their codes from two bucketed tables, joined bucket by bucket."""
+    tag, n = uuid.uuid4().hex[:12], 8
+    arrays = J.bucketed(codes(spark, sf_dir).select("g", "codes"), f"codes_{tag}", "g", n)
+    meta = J.bucketed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("g"), F.col("o_custkey").alias("meta")), f"meta_{tag}", "g", n)
+    return J.partition_wise(meta, arrays, "g").select("g", "meta", F.size("codes").alias("n"), joined("codes").alias("codes"))
+
+
+@query(f"""WITH {CODES}, p AS (SELECT g, unnest([['first'], ['last'], ['mid']])[1] AS part, codes FROM c), s AS (
+      SELECT g, part, CASE part WHEN 'first' THEN codes[1:2] WHEN 'last' THEN codes[greatest(len(codes) - 1, 1):] ELSE codes[3:len(codes) - 2] END AS v FROM p
+      UNION ALL SELECT g, 'from ' || a, codes[a + 1:a + 3] FROM (SELECT g, codes, unnest(range(0, len(codes), 3)) AS a FROM c))
+    SELECT g % 5 AS k, part, round(avg(list_avg(v)), 6) AS mean, CAST(sum(len(v)) AS BIGINT) AS n, count(*) AS rows FROM s WHERE len(v) > 0 GROUP BY 1, 2""")
+def position_means(spark, sf_dir):
+    """Mean codes by place: the first two, the last two, those between, and every three from the start."""
+    return A.position_means(codes(spark, sf_dir).withColumn("k", F.col("g") % 5), "codes", ["k"], 2, 3).withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH x AS (SELECT c_custkey AS i, CAST(c_acctbal AS DOUBLE) AS v, unnest(range(0, 2 + c_nationkey % 3)) AS k FROM customer),
+    m AS (SELECT i, 'm' || k AS metric, CASE WHEN (i + k) % 11 = 0 THEN NULL WHEN (i + k) % 13 = 0 THEN 'nan'::DOUBLE ELSE v + k END AS a, CASE WHEN (i + k) % 7 = 0 THEN 'nan'::DOUBLE ELSE v + k + (i * (k + 1)) % 9 - 4 END AS b,
+      (i + k) % 10 <> 0 AS has_a, i % 6 <> 0 AS has_b FROM x),
+    p AS (SELECT metric, a, b, CASE WHEN NOT has_b THEN 'only_a' WHEN NOT has_a THEN 'only_b' WHEN a IS NULL OR b IS NULL THEN 'null' WHEN isnan(a) OR isnan(b) THEN 'nan' ELSE 'both' END AS state FROM m WHERE has_a OR has_b)
+    SELECT metric, count(*) FILTER (state = 'both') AS n, round(avg(a) FILTER (state = 'both'), 4) AS mean_a, round(avg(b) FILTER (state = 'both'), 4) AS mean_b, round(median(a) FILTER (state = 'both'), 6) AS median_a, round(median(b) FILTER (state = 'both'), 6) AS median_b,
+      round(median(b - a) FILTER (state = 'both'), 6) AS median_diff, count(*) FILTER (state = 'both' AND b < a) AS better, count(*) FILTER (state = 'both' AND b > a) AS worse, count(*) FILTER (state = 'only_a') AS only_a, count(*) FILTER (state = 'only_b') AS only_b,
+      count(*) FILTER (state = 'null') AS "null", count(*) FILTER (state = 'nan') AS nan FROM p GROUP BY 1""")
+def paired_runs(spark, sf_dir):
+    """Two runs' metrics by item, held in maps of whatever names there are, paired and summed up."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").cast("double").alias("v"), F.sequence(F.lit(0), (F.col("c_nationkey") % 3).cast("int") + 1).alias("ks"))
+    nan = F.lit(float("nan"))
+    a = lambda k: F.when((F.col("i") + k) % 11 == 0, F.lit(None)).when((F.col("i") + k) % 13 == 0, nan).otherwise(F.col("v") + k)
+    b = lambda k: F.when((F.col("i") + k) % 7 == 0, nan).otherwise(F.col("v") + k + (F.col("i") * (k + 1)) % 9 - 4)
+    run = lambda value, holds: F.map_from_entries(F.transform(F.filter("ks", holds), lambda k: F.struct(F.concat(F.lit("m"), k.cast("string")).alias("k"), value(k).alias("v"))))
+    runs = [c.select(F.col("i").alias("item"), run(v, h).alias("metrics")) for v, h in ((a, lambda k: (F.col("i") + k) % 10 != 0), (b, lambda k: F.col("i") % 6 != 0))]
+    out = A.paired_summary(A.paired_metrics(*runs, "item", "metrics"))
+    return out.select("metric", "n", *[F.round(x, 4).alias(x) for x in ("mean_a", "mean_b")], *[F.round(x, 6).alias(x) for x in ("median_a", "median_b", "median_diff")], "better", "worse", "only_a", "only_b", "null", "nan")
