@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as N
+from ..functions.translit import romanised_words as romanised_column
+from ..operators import clean_index as X
 from ..operators import sections as S
 from .base import query, table
 
@@ -147,3 +149,43 @@ def sung_lines(spark, sf_dir):
     """What is sung of each line, by the rules for credits among timed lines."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return d.select("doc_id", "line", N.sung_text(F.col("t")).alias("sung"))
+
+
+@query("""WITH w AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '') AS w FROM documents))
+    SELECT doc_id, CAST(i AS INTEGER) AS i, regexp_replace(strip_accents(replace(lower(word), 'ß', 'ss')), '[^a-z'']', '', 'g') AS roman FROM w""")
+def romanised_words(spark, sf_dir):
+    """Every word of every document in the letters a-z, at its place among all words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(romanised_column(F.col("text"))).alias("w"))
+    return d.select("doc_id", F.col("w.at").alias("i"), "w.roman")
+
+
+@query("""WITH s AS (SELECT doc_id AS id, ['ne', 'kg', 'jm', 'yt'][1 + doc_id % 4] AS source, 'a/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.flac' ELSE '.mp3' END AS audio_path,
+      'Song ' || (doc_id % 7) || CASE WHEN doc_id % 23 = 0 THEN ' audiobook' WHEN doc_id % 29 = 0 THEN ' Karaoke' ELSE '' END AS title, lang AS artist, lower(source) AS album, n_chars / 8.0 AS duration,
+      CASE doc_id % 5 WHEN 0 THEN 48000 WHEN 1 THEN 0 ELSE 44100 END AS sr, CASE doc_id % 6 WHEN 0 THEN 'untimed' WHEN 1 THEN 'none' WHEN 2 THEN 'instrumental' ELSE 'timed' END AS kind, doc_id % 11 = 0 AS live, len(string_split(text, chr(10))) AS n_lines FROM documents),
+    t AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS nt, contains(title, 'audiobook') AS junk, contains(title, 'Karaoke') AS acc, kind = 'timed' AS timed FROM s),
+    e AS (SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN 'IOError' WHEN event_id % 19 = 0 THEN 'ValueError: short' END AS err, 12000 + event_id % 9000 AS cut, (event_id % 13) / 5000.0 AS clip, event_id % 8 = 0 AS mono, value / 20 AS silence FROM events WHERE event_id % 9 <> 0),
+    f AS (SELECT t.*, CASE WHEN e.err IS NULL THEN cut END AS cut_hz, list_filter([CASE WHEN timed AND n_lines < 4 THEN 'lyr_few' END, CASE WHEN junk THEN 'junk' END, CASE WHEN duration < 60 THEN 'short' END, CASE WHEN duration > 600 THEN 'long' END, CASE WHEN acc THEN 'acc' END,
+      CASE WHEN acc AND timed THEN 'acc_lyrics' END, CASE WHEN live THEN 'live' END, CASE WHEN e.id IS NULL THEN 'unscanned' END, CASE WHEN err = 'IOError' THEN 'bad_audio' END, CASE WHEN err IS NULL AND cut < 16000 THEN 'band_lt16k' WHEN err IS NULL AND cut < 19000 THEN 'band_lt19k' END,
+      CASE WHEN err IS NULL AND clip > 0.001 THEN 'clipped' END, CASE WHEN err IS NULL AND mono THEN 'mono' END, CASE WHEN err IS NULL AND silence > 0.5 THEN 'silent' END], lambda v: v IS NOT NULL) AS flags FROM t LEFT JOIN e USING (id)),
+    g AS (SELECT *, sum(CASE WHEN gap <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY nt, artist, live ORDER BY duration, id) AS k FROM (SELECT *, duration - lag(duration) OVER (PARTITION BY nt, artist, live ORDER BY duration, id) AS gap FROM f)),
+    b AS (SELECT *, first_value(id) OVER (PARTITION BY nt, artist, live, k ORDER BY CASE kind WHEN 'timed' THEN 3 WHEN 'untimed' THEN 2 WHEN 'instrumental' THEN 1 ELSE 0 END DESC, junk, audio_path LIKE '%.flac' DESC, sr >= 48000 DESC,
+      CASE source WHEN 'ne' THEN 5 WHEN 'kg' THEN 4 WHEN 'jm' THEN 3 ELSE 1 END DESC, n_lines DESC, duration, id) AS best FROM g),
+    d AS (SELECT *, CASE WHEN best <> id THEN best END AS dup_of, CASE WHEN best <> id THEN flags || ['dup'] ELSE flags END AS fl, nt IN (SELECT nt FROM t WHERE id % 41 = 0) AS forced, CAST('0x' || substr(md5(nt), 1, 8) AS BIGINT) % 1000 AS h FROM b),
+    n AS (SELECT *, count(*) FILTER (dup_of IS NULL) OVER (PARTITION BY artist) AS na, count(*) FILTER (dup_of IS NULL) OVER (PARTITION BY album) AS nb FROM d)
+    SELECT id, cut_hz, array_to_string(fl, ',') AS flags, dup_of, CASE WHEN forced OR h BETWEEN 5 AND 9 THEN 'dev' WHEN h < 5 THEN 'test' ELSE 'train' END AS split, id % 3 = 0 AS in_v5, round(least(1.0, coalesce(30.0 / nullif(na, 0), 1.0), coalesce(20.0 / nullif(nb, 0), 1.0)), 4) AS w,
+      timed AND NOT list_has_any(fl, ['bad_audio', 'silent', 'lyr_few', 'acc_lyrics', 'acc', 'junk', 'dup', 'short', 'long']) AS lyric_ok, NOT list_has_any(fl, ['junk', 'dup', 'bad_audio', 'silent']) AND duration BETWEEN 30 AND 900 AS audio_ok FROM n""")
+def clean_index(spark, sf_dir):
+    """Documents as songs, events as scans of their files: the whole clean index."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    path = lambda i: F.concat(F.lit("a/"), i.cast("string"), F.when(i % 3 == 0, ".flac").otherwise(".mp3"))
+    title = F.concat(F.lit("Song "), (i % 7).cast("string"), F.when(i % 23 == 0, " audiobook").when(i % 29 == 0, " Karaoke").otherwise(""))
+    sources = F.get(F.array(*map(F.lit, ("ne", "kg", "jm", "yt"))), (i % 4).cast("int"))
+    kinds = F.get(F.array(*map(F.lit, ("untimed", "none", "instrumental", "timed", "timed", "timed"))), (i % 6).cast("int"))
+    sr = F.when(i % 5 == 0, 48000).when(i % 5 != 1, 44100)
+    own = d.select(i.alias("id"), sources.alias("source"), path(i).alias("audio_path"), title.alias("title"), F.concat("lang", F.lit(", x")).alias("artists"), F.upper("source").alias("album"), (F.col("n_chars") / 8).alias("duration"), sr.alias("sr"), kinds.alias("lyric_kind"), (i % 11 == 0).alias("is_live"), F.size(F.split("text", "\n")).alias("n_lines"))
+    e = F.col("event_id")
+    err = F.when(e % 17 == 0, "IOError").when(e % 19 == 0, "ValueError: short")
+    scans = table(spark, sf_dir, "events").where("event_id % 9 <> 0").select(path(e).alias("audio_path"), e.alias("at"), err.alias("err"), (12000 + e % 9000).alias("cut_hz"), ((e % 13) / 5000).alias("clip"), F.when(e % 8 == 0, 1.0).otherwise(0.5).alias("lr_corr"), (F.col("value") / 20).alias("silence"))
+    x = X.with_splits(X.with_duplicates(X.with_scan(X.titled(own).withColumn("flags", X.text_flags()), scans)), d.where("doc_id % 41 = 0").select(path(i).alias("audio_path")), d.where("doc_id % 3 = 0").select(path(i).alias("audio_path")))
+    return X.with_uses(X.with_weights(x, 30, 20)).select("id", "cut_hz", F.array_join("flags", ",").alias("flags"), "dup_of", "split", "in_v5", "w", "lyric_ok", "audio_ok")
