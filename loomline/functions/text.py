@@ -203,3 +203,57 @@ def letters_encoded(x: Column, alphabet: str = " abcdefghijklmnopqrstuvwxyz") ->
     """Positions in the alphabet; other characters are left out."""
     at = F.create_map(*[F.lit(v) for k, c in enumerate(alphabet) for v in (c, k)])
     return F.filter(F.transform(F.split(F.lower(x), ""), lambda c: at[c]), lambda i: i.isNotNull())
+
+
+# How a song is asked for by language; the assistant's opening.
+REQUESTS = {"eng": "Make a song.", "cmn": "做一首歌。", "yue": "整一首歌。", "jpn": "曲を作って。", "kor": "노래를 만들어 줘.", "spa": "Haz una canción.", "fra": "Fais une chanson.", "deu": "Mach ein Lied.", "ita": "Fai una canzone.", "por": "Faça uma música.", "rus": "Сделай песню."}
+THINK = "Assistant: <think></think>"
+
+
+def request_text(lang: Column, known: dict[str, str] = REQUESTS) -> Column:
+    """The request in the song's language, in English where there is none."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), F.coalesce(lang, F.lit("eng"))), F.lit(known["eng"]))
+
+
+def one_line(x: Column, most: int | None = None) -> Column:
+    """Blanks collapsed; no more than so many characters."""
+    out = collapse(falsy(x))
+    return out if most is None else F.substring(out, 1, most)
+
+
+def fitting(rows: Column, before: Column, most: int) -> Column:
+    """How many of an array's rows fit: each takes its length and a line end behind `before` characters, and the first that passes `most` ends it."""
+    step = lambda s, r: F.when(s["open"] & (s["n"] + F.length(r) <= most), F.struct((s["n"] + F.length(r) + 1).alias("n"), (s["k"] + 1).alias("k"), F.lit(True).alias("open"))).otherwise(F.struct(s["n"].alias("n"), s["k"].alias("k"), F.lit(False).alias("open")))
+    kind = "struct<n:int,k:int,open:boolean>"
+    start = F.struct(before.cast("int").alias("n"), F.lit(0).alias("k"), F.lit(True).alias("open")).cast(kind)
+    return F.aggregate(rows, start, lambda s, r: step(s, r).cast(kind))["k"]
+
+
+def song_prompt(request: Column, fields: dict[str, Column], live: Column, seconds: Column, lines: Column, times: bool = True, most: int = 6000) -> Column:
+    """The prompt of a song: the request, the fields that are there, is_live and dur, then as many lines (structs of t0 and text) as fit."""
+    row = lambda s: F.concat(timestamp(s["t0"]), F.lit(" "), one_line(s["text"])) if times else one_line(s["text"])
+    named = [F.when(one_line(v) != "", F.concat(F.lit(f"{k}: "), one_line(v))) for k, v in fields.items()]
+    dur = F.when(F.coalesce(seconds, F.lit(0.0)) != 0, F.concat(F.lit("dur: "), F.format_string("%.1f", F.bround(seconds, 1))))
+    head = F.array_compact(F.array(F.concat(F.lit("User: "), one_line(request)), *named, F.when(live.isNotNull(), F.concat(F.lit("is_live: "), live.cast("string"))), dur))
+    rows = F.transform(F.coalesce(lines, F.array().cast("array<struct<t0:double,text:string>>")), row)
+    used = F.length(F.array_join(head, "\n")) + 1 + len("lines:") + 1
+    kept = F.when(F.size(rows) > 0, F.concat(F.array(F.lit("lines:")), F.slice(rows, 1, fitting(rows, used, most)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_join(F.concat(head, kept), "\n"), F.lit(f"\n\n{THINK}"))
+
+
+def lyric_targets(ids: Column, opening: int = 92, closing: int = 94, newline: int = 11) -> Column:
+    """The tokens of a line's words: without a leading marker, and without newlines."""
+    at = F.array_position(ids, closing).cast("int")
+    body = F.when((F.get(ids, F.lit(0)) == opening) & (at > 0), F.slice(ids, at + 1, F.size(ids))).otherwise(ids)
+    return F.filter(body, lambda t: t != newline)
+
+
+def directive_at(sections: Column, at: Column, shift: float = 0.5) -> Column:
+    """The directive of the first section (start, end, directive) that holds at + shift and has one; else the empty text."""
+    hit = F.filter(sections, lambda s: (s["start"] <= at + shift) & (at + shift < s["end"]) & (falsy(s["directive"]) != ""))
+    return F.coalesce(F.get(hit, F.lit(0))["directive"], F.lit(""))
+
+
+def directive_of(directives: Column, index: Column) -> Column:
+    """The entry of a map by section number; the empty text where it has none."""
+    return F.coalesce(F.try_element_at(directives, index), F.lit(""))

@@ -124,3 +124,11 @@ def romanised(x: pd.Series) -> pd.Series:
         return " ".join("".join(c if "a" <= c <= "z" else " " if c.isspace() else "" for c in flat).split())
 
     return x.map(one)
+
+
+def instance_normalised(values: Column, guard: float = 1e-4) -> Column:
+    """A channel over time less its mean, over its sample deviation and a guard; one value gives zero."""
+    n = F.size(values)
+    sums = F.aggregate(values, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, v: F.struct((s["a"] + v).alias("a"), (s["b"] + v * v).alias("b")))
+    deviation = lambda s: F.sqrt(F.greatest(F.lit(0.0), (s["b"] - s["a"] * s["a"] / n) / F.greatest(n - 1, F.lit(1))))
+    return F.get(F.transform(F.array(sums), lambda s: F.transform(values, lambda v: (v - s["a"] / n) / (deviation(s) + guard))), F.lit(0))

@@ -214,10 +214,12 @@ def bootstrap_draws(cells: DataFrame, draws: int, salt: str) -> DataFrame:
     steps = F.broadcast(spark.createDataFrame([(n, poisson_steps(n)) for n in range(1, EXACT_COUNTS + 1)], "few int, steps array<double>"))  # 30 rows
     x = cells.join(steps, F.col("few") == F.col("n"), "left").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     h = F.md5(F.concat_ws("|", F.lit(salt), F.col("cell").cast("string"), F.col("draw").cast("string")))
-    u = lambda k: (F.conv(F.substring(h, k, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
-    normal = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * math.pi * u(9))
-    many = F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * normal)).cast("long")
-    return x.select("draw", "cell", F.when(F.col("few").isNull(), many).otherwise(F.size(F.filter("steps", lambda c: u(1) >= c))).alias("w"))
+    u = lambda h, k: (F.conv(F.substring(h, k, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
+    normal = lambda h: F.sqrt(-2 * F.ln(u(h, 1))) * F.cos(2 * math.pi * u(h, 9))
+    many = lambda h: F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * normal(h))).cast("long")
+    exact = lambda v: F.size(F.filter("steps", lambda c: v >= c)).cast("long")
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  a value that is worked out once, not for each use
+    return x.select("draw", "cell", once(h, lambda d: F.when(F.col("few").isNull(), many(d)).otherwise(once(u(d, 1), exact))).alias("w"))
 
 
 def weighted_middles(rows: DataFrame, keys: list[str], cell: str, w: str) -> DataFrame:
@@ -243,3 +245,17 @@ def bootstrap_intervals(df: DataFrame, diff: str, mean_draws: int = 4000, median
     whole = weighted_middles(cells.withColumn("one", F.lit(1)), ["one"], "cell", "n").select(F.col("total").alias("n"), (F.col("sum") * step / F.col("total")).alias("mean"), (F.col("twice") * step / 2).alias("median"))
     signs = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("better"), F.coalesce(F.sum(F.when(F.col("cell") > 0, F.col("n"))), F.lit(0)).alias("worse"))
     return side_by_side([signs.join(whole, "n", "left"), ci])
+
+
+def level_usage(df: DataFrame, values: str, levels: list[int], edge: float = 0.98) -> DataFrame:
+    """(dim, level, n, share, saturated): how often each level of each quantised axis is taken, its share, and the axis's part beyond edge.
+
+    values: arrays with a number in (-1, 1) for each axis. Even numbers of levels lie half a step off.
+    """
+    v = df.select(F.posexplode(values).alias("dim", "v"))
+    size = F.element_at(F.array(*map(F.lit, levels)), F.col("dim") + 1)
+    half, off = (size - 1) / 2, F.when(size % 2 == 0, 0.5).otherwise(0.0)
+    level = F.greatest(F.lit(0), F.least(size - 1, (F.bround(F.col("v") * half - off) + off + half).cast("int")))
+    n = v.select("dim", level.alias("level"), (F.abs("v") > edge).cast("int").alias("s")).groupBy("dim", "level").agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+    w = Window.partitionBy("dim")
+    return n.select("dim", "level", "n", (F.col("n") / F.sum("n").over(w)).alias("share"), (F.sum("s").over(w) / F.sum("n").over(w)).alias("saturated"))

@@ -54,6 +54,28 @@ def top_accuracy(df: DataFrame, scores: str, target: str, ks: tuple[int, ...] =
     return ranked.agg(*[F.avg((F.col("r") < k).cast("double")).alias(f"top{k}") for k in ks])
 
 
+def masked_accuracy(df: DataFrame, scores: str, target: str, neighbours: DataFrame) -> DataFrame:
+    """One row: top1, top5 and near (the best one is the target or a neighbour of it) over the rows whose target isn't -100.
+
+    neighbours(target, near array): a row for each class; it is joined by the target.
+    """
+    x = df.where(F.col(target) != -100).join(neighbours.select(F.col("target").alias(target), "near"), target, "left")
+    best = F.array_position(scores, F.array_max(scores)).cast("int") - 1
+    rank = rank_of(scores, F.col(target))
+    hit = (best == F.col(target)) | F.coalesce(F.array_contains("near", best), F.lit(False))
+    return x.agg(*[F.avg(c.cast("double")).alias(n) for n, c in (("top1", best == F.col(target)), ("top5", rank < 5), ("near", hit))])
+
+
+def dims_for(variances: list[float], share: float = 0.9) -> int:
+    """How many leading components explain that share of the variance that all of them explain."""
+    total_, run = sum(variances), 0.0
+    for k, v in enumerate(variances, 1):
+        run += v
+        if run >= share * total_ - 1e-12:
+            return k
+    return len(variances)
+
+
 def correlation(a, b) -> Column:
     """Pearson's, of two arrays of one length; null where one doesn't vary."""
     n = F.size(a)

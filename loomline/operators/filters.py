@@ -66,3 +66,18 @@ def unique_or_raise(df: DataFrame, key: str) -> DataFrame:
 
     n = F.count("*").over(Window.partitionBy(key))
     return df.withColumn("__n", F.when(n > 1, F.raise_error(F.concat(F.lit(f"{key} occurs more than once: "), F.col(key).cast("string")))).otherwise(n)).where("__n = 1").drop("__n")
+
+
+def good_word_times(lines: Column, uniform: Column) -> Column:
+    """Whether a word-timed file is good: four lines or more, a fifth of them at most with words all as long."""
+    return (lines >= 4) & (uniform <= 0.2 * lines)
+
+
+def present(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of a list that df has, in the list's order."""
+    return df.select(*[F.col(f"`{n}`") for n in names if n in df.columns])
+
+
+def kind_of_lyrics(kind: Column, lines: Column) -> Column:
+    """A row's own kind; without one timed where there are lines, else none."""
+    return F.when(F.coalesce(kind, F.lit("")) != "", kind).when(F.size(lines) > 0, "timed").otherwise("none")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as N
+from ..functions import text as T
 from ..functions.translit import romanised_words as romanised_column
 from ..operators import clean_index as X
 from ..operators import sections as S
@@ -189,3 +190,19 @@ def clean_index(spark, sf_dir):
     scans = table(spark, sf_dir, "events").where("event_id % 9 <> 0").select(path(e).alias("audio_path"), e.alias("at"), err.alias("err"), (12000 + e % 9000).alias("cut_hz"), ((e % 13) / 5000).alias("clip"), F.when(e % 8 == 0, 1.0).otherwise(0.5).alias("lr_corr"), (F.col("value") / 20).alias("silence"))
     x = X.with_splits(X.with_duplicates(X.with_scan(X.titled(own).withColumn("flags", X.text_flags()), scans)), d.where("doc_id % 41 = 0").select(path(i).alias("audio_path")), d.where("doc_id % 3 = 0").select(path(i).alias("audio_path")))
     return X.with_uses(X.with_weights(x, 30, 20)).select("id", "cut_hz", F.array_join("flags", ",").alias("flags"), "dup_of", "split", "in_v5", "w", "lyric_ok", "audio_ok")
+
+
+@query("""WITH l AS (SELECT doc_id, lang, source, n_chars, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS t FROM documents),
+    r AS (SELECT doc_id, i, printf('[%02d:%02d.0] ', (i * 7) // 60, (i * 7) % 60) || trim(regexp_replace(t, '\\s+', ' ', 'g')) AS line FROM l),
+    h AS (SELECT doc_id, 'User: ' || CASE lang WHEN 'de' THEN 'Mach ein Lied.' WHEN 'fr' THEN 'Fais une chanson.' WHEN 'es' THEN 'Haz una canción.' ELSE 'Make a song.' END || chr(10) || 'title: ' || source || chr(10) || 'lang: ' || lang || chr(10) || 'is_live: ' || (doc_id % 2 = 0)
+      || chr(10) || 'dur: ' || printf('%.1f', n_chars / 4.0) || chr(10) || 'lines:' || chr(10) AS head FROM documents),
+    n AS (SELECT doc_id, i, line, length(head) + coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) > 900 AS over FROM r JOIN h USING (doc_id)),
+    k AS (SELECT doc_id, i, line, bool_or(over) OVER (PARTITION BY doc_id ORDER BY i) AS gone FROM n),
+    j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS lines FROM k GROUP BY 1)
+    SELECT doc_id, rtrim(head || coalesce(lines, ''), chr(10)) || chr(10) || chr(10) || 'Assistant: <think></think>' AS prompt FROM h JOIN j USING (doc_id)""")
+def song_prompts(spark, sf_dir):
+    """A prompt of 900 characters at most for each document as a song: request, fields, then the lines that fit."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i * 7).cast("double").alias("t0"), t.alias("text")))
+    request = T.request_text(F.element_at(F.create_map(*map(F.lit, ("de", "deu", "fr", "fra", "es", "spa", "en", "eng"))), F.col("lang")))
+    return d.select("doc_id", T.song_prompt(request, {"title": F.col("source"), "lang": F.col("lang")}, F.col("doc_id") % 2 == 0, F.col("n_chars") / 4, lines, most=900).alias("prompt"))

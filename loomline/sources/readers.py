@@ -145,3 +145,16 @@ def has_without(files: DataFrame, has: str, lacks: str) -> DataFrame:
 def songs_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The songs of multi-line JSON files with an array `songs`, flattened, by k."""
     return spark.read.schema(f"songs array<{schema}>").option("multiLine", True).json(path).select(F.inline("songs")).orderBy("k")
+
+
+def user_lyrics(text: Column) -> Column:
+    """Array of (t0, text) of a lyric file by hand: [m:s.ss] lines with their time, other lines that don't open a bracket without; empty ones go."""
+    tag = r"^\s*\[(\d+):(\d+(?:\.\d+)?)\]\s*(.*)$"
+
+    def of(raw: Column) -> Column:
+        timed = raw.rlike(tag)
+        t0 = F.when(timed, F.regexp_extract(raw, tag, 1).cast("double") * 60 + F.regexp_extract(raw, tag, 2).cast("double"))
+        body = F.when(timed, strip(F.regexp_extract(raw, tag, 3))).when(~strip(raw).startswith("["), strip(raw)).otherwise("")
+        return F.struct(t0.alias("t0"), body.alias("text"))
+
+    return F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), of), lambda s: s["text"] != "")

@@ -34,7 +34,7 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key is not at path yet."""
+    """Append the rows whose key is not at path yet. For one writer at a time: two that run together may both append a key."""
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
@@ -43,14 +43,22 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
 
 
 def published(df: DataFrame, staging: str, live: str) -> None:
-    """Write to staging, then put it in the place of live."""
+    """Write to staging, then put it in the place of live, which is moved aside and removed once the new one is there.
+
+    If the driver ends between the two renames, the old one is found at live + ".old" and nothing at live; publish() in
+    publish.py has no such moment.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(staging)
-    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, live))
+    a, b, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, live, f"{live.rstrip('/')}.old"))
     fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(b):
-        fs.delete(b, True)
-    fs.rename(a, b)
+        if fs.exists(old):
+            fs.delete(old, True)
+        fs.rename(b, old)
+    if not fs.rename(a, b):
+        raise OSError(f"{staging} was not renamed to {live}")
+    fs.delete(old, True)
 
 
 def markdown(rows: list[dict], columns: list[str]) -> str:

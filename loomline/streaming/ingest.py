@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def append_pass(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, condition: str = "true") -> None:
-    """One pass: new JSON files under source, torn lines left out, rows that meet the condition, each key once over all passes, appended to target."""
+def append_pass(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, condition: str = "true", keep: str = "30 days") -> None:
+    """One pass: new JSON files under source, torn lines left out, rows that meet the condition, each key once, appended to target.
+
+    A key is remembered for `keep` after it came, so the state is bounded by what comes in that time; a key that comes again
+    later than that is a new one.
+    """
     raw = spark.readStream.schema(f"{schema}, _corrupt_record string").json(source)
-    rows = raw.where("_corrupt_record is null").drop("_corrupt_record").where(condition).dropDuplicates([key])
-    rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = raw.where("_corrupt_record is null").drop("_corrupt_record").where(condition)
+    once = rows.withColumn("__came", F.current_timestamp()).withWatermark("__came", keep).dropDuplicatesWithinWatermark([key]).drop("__came")
+    once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def full_shards(df: DataFrame, index: str, size: int = 1000, flush: bool = False) -> DataFrame:
@@ -22,13 +27,39 @@ def full_shards(df: DataFrame, index: str, size: int = 1000, flush: bool = False
 
 
 def shard_pass(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, index: str, size: int = 1000, flush: bool = False) -> None:
-    """One pass of whole shards: rows seen so far are read again, and a shard is written when it is full and not there yet."""
+    """One pass of whole shards (index div size): what is new meets the rows of shards not full yet, and full ones are written.
+
+    Each batch writes target/rows/batch=N and target/rest/batch=N, the rest being what later batches need of this one; so a
+    batch reads its own files and the rest before it, not all that ever came. A batch that is done again overwrites what it
+    has written. Shards are read with read_shards. With flush, parts of shards are written too, and what comes of them later adds to them.
+    """
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        rows = full_shards(batch.sparkSession.read.schema(schema).json(source), index, size, flush)
-        where = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(target)
-        if where.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(where):
-            rows = rows.join(batch.sparkSession.read.parquet(target).select("shard").distinct(), "shard", "left_anti")
-        rows.write.mode("append").parquet(target)
+        spark = batch.sparkSession
+        before = [n for n in batches_at(spark, f"{target}/rest") if n < epoch]
+        rows = batch.select(*spark.createDataFrame([], schema).columns)
+        if before:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{target}/rest/batch={max(before)}"))
+        full = full_shards(rows, index, size, flush)
+        full.write.mode("overwrite").parquet(f"{target}/rows/batch={epoch}")
+        shard = F.floor(F.col(index) / size)
+        left = rows.withColumn("shard", shard).join(spark.read.parquet(f"{target}/rows/batch={epoch}").select("shard").distinct(), "shard", "left_anti").drop("shard")
+        left.write.mode("overwrite").parquet(f"{target}/rest/batch={epoch}")
+
+    query = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def batches_at(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that have written below a path, whole ones alone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    whole = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(where) if whole(s.getPath()))
+
 
-    spark.readStream.schema(schema).json(source).writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def read_shards(spark: SparkSession, target: str) -> DataFrame:
+    """All rows of the shards that passes have written, with shard."""
+    return spark.read.parquet(f"{target}/rows").drop("batch")
