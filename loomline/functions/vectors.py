@@ -7,11 +7,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 
 from .text import norm_wer
 
 
+def once(value: Column, then) -> Column:
+    """then(value) with value worked out one time, however often then uses it: a lambda's argument is bound."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -31,16 +36,15 @@ def cosine(a, b) -> Column:
 
 
 def normalised(a) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    return once(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
 
 
 def z_scores(a, epsilon: float = 1e-6, digits: int = 3) -> Column:
     """Less the mean, over the population deviation and epsilon; rounded to even."""
     n = F.size(a)
     mean = total(F.transform(a, lambda x: x.cast("double"))) / n
-    sd = F.sqrt(total(F.transform(a, lambda x: (x - mean) * (x - mean))) / n)
-    return F.transform(a, lambda x: F.bround((x - mean) / (sd + epsilon), digits))
+    sd = lambda m: F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / n)
+    return once(mean, lambda m: once(sd(m), lambda d: F.transform(a, lambda x: F.bround((x - m) / (d + epsilon), digits))))
 
 
 def mean_abs_diff(a, b) -> Column:
@@ -67,8 +71,8 @@ def beat_stability(beats: str) -> Column:
     """1 less the deviation of the gaps over their mean."""
     x = F.col(beats)
     gaps = F.zip_with(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: a - b)
-    mean = total(gaps) / F.size(gaps)
-    return F.when(F.size(gaps) > 0, 1 - F.sqrt(total(F.transform(gaps, lambda g: (g - mean) * (g - mean))) / F.size(gaps)) / mean)
+    spread = lambda mean: 1 - F.sqrt(total(F.transform(gaps, lambda g: (g - mean) * (g - mean))) / F.size(gaps)) / mean
+    return F.when(F.size(gaps) > 0, once(total(gaps) / F.size(gaps), spread))
 
 
 def letter_error(hyp: Column, ref: Column) -> Column:
@@ -78,25 +82,10 @@ def letter_error(hyp: Column, ref: Column) -> Column:
 
 
 def word_edits(hyp: Column, ref: Column) -> Column:
-    """Edit distance over words: each distinct word of the two becomes one character, then Spark's own distance."""
-    words = F.array_distinct(F.concat(hyp, ref))
-    coded = lambda x: F.array_join(F.transform(x, lambda w: F.chr(F.array_position(words, w) + 0)), "")
-    return F.when(F.size(words) < 256, F.levenshtein(coded(hyp), coded(ref)))
-
-
-@F.pandas_udf(LongType())
-def long_word_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    """Edit distance over words for any number of distinct words."""
-
-    def one(a, b) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
-
-    return pd.Series([None if a is None or b is None else one(list(a), list(b)) for a, b in zip(hyp, ref, strict=True)])
+    """Edit distance over words: each distinct word of the two becomes one character, then Spark's own distance. Null if either is null."""
+    code = lambda k: F.format_string("%c", F.when(k < 50_000, k + 255).otherwise(k + 65_536).cast("int"))  # noqa: E731  past the surrogates
+    coded = lambda x, words: F.array_join(F.transform(x, lambda w: code(F.array_position(words, w))), "")
+    return once(F.array_distinct(F.concat(hyp, ref)), lambda words: F.levenshtein(coded(hyp, words), coded(ref, words)))
 
 
 def words_of(x: Column) -> Column:
@@ -105,12 +94,12 @@ def words_of(x: Column) -> Column:
 
 def wer(hyp: Column, ref: Column) -> Column:
     """Word error rate; NaN if either side is empty (an empty hypothesis drops out of a mean)."""
-    return F.when((F.size(hyp) == 0) | (F.size(ref) == 0), F.lit(float("nan"))).otherwise(long_word_edits(hyp, ref) / F.size(ref))
+    return F.when((F.size(hyp) == 0) | (F.size(ref) == 0), F.lit(float("nan"))).otherwise(word_edits(hyp, ref) / F.size(ref))
 
 
 def wer_strict(hyp: Column, ref: Column) -> Column:
     """The same, but an empty hypothesis is all wrong."""
-    return F.when(F.size(ref) == 0, F.lit(float("nan"))).when(F.size(hyp) == 0, F.lit(1.0)).otherwise(long_word_edits(hyp, ref) / F.size(ref))
+    return F.when(F.size(ref) == 0, F.lit(float("nan"))).when(F.size(hyp) == 0, F.lit(1.0)).otherwise(word_edits(hyp, ref) / F.size(ref))
 
 
 @F.pandas_udf(StringType())
@@ -131,4 +120,5 @@ def instance_normalised(values: Column, guard: float = 1e-4) -> Column:
     n = F.size(values)
     sums = F.aggregate(values, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, v: F.struct((s["a"] + v).alias("a"), (s["b"] + v * v).alias("b")))
     deviation = lambda s: F.sqrt(F.greatest(F.lit(0.0), (s["b"] - s["a"] * s["a"] / n) / F.greatest(n - 1, F.lit(1))))
-    return F.get(F.transform(F.array(sums), lambda s: F.transform(values, lambda v: (v - s["a"] / n) / (deviation(s) + guard))), F.lit(0))
+    scaled = lambda s: once(deviation(s) + guard, lambda d: F.transform(values, lambda v: (v - s["a"] / n) / d))
+    return once(sums, scaled)

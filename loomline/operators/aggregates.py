@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.vectors import once
+
 
 def linear_percentile(col: str, p: float) -> Column:
     """Between neighbours, by position p (n - 1)."""
@@ -212,13 +214,14 @@ def bootstrap_draws(cells: DataFrame, draws: int, salt: str) -> DataFrame:
     """
     spark = cells.sparkSession
     steps = F.broadcast(spark.createDataFrame([(n, poisson_steps(n)) for n in range(1, EXACT_COUNTS + 1)], "few int, steps array<double>"))  # 30 rows
-    x = cells.join(steps, F.col("few") == F.col("n"), "left").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 64)))  # dealt out, as few cells would be one task's
+    x = cells.withColumn("block", blocks).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "block")
+    x = x.join(steps, F.col("few") == F.col("n"), "left").withColumn("draw", F.explode(F.sequence(F.col("block") * 64 + 1, F.least(F.lit(draws), F.col("block") * 64 + 64))))
     h = F.md5(F.concat_ws("|", F.lit(salt), F.col("cell").cast("string"), F.col("draw").cast("string")))
     u = lambda h, k: (F.conv(F.substring(h, k, 8), 16, 10).cast("long") + 0.5) / F.lit(4294967296.0)
     normal = lambda h: F.sqrt(-2 * F.ln(u(h, 1))) * F.cos(2 * math.pi * u(h, 9))
     many = lambda h: F.greatest(F.lit(0), F.round(F.col("n") + F.sqrt("n") * normal(h))).cast("long")
     exact = lambda v: F.size(F.filter("steps", lambda c: v >= c)).cast("long")
-    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  a value that is worked out once, not for each use
     return x.select("draw", "cell", once(h, lambda d: F.when(F.col("few").isNull(), many(d)).otherwise(once(u(d, 1), exact))).alias("w"))
 
 

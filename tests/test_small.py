@@ -82,3 +82,20 @@ def test_passes_of_whole_shards(spark, tmp_path, flush):
     assert held() == (list(range(23)) + [25] if flush else list(range(20)))
     rest = spark.read.parquet(f"{tmp_path}/out/rest/batch=2")
     assert sorted(r.i for r in rest.collect()) == ([] if flush else [20, 21, 22, 25])
+
+
+def test_word_edits_by_dynamic_programming(spark):
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    rows = [([f"w{rng.randrange(n)}" for _ in range(rng.randint(0, n))], [f"w{rng.randrange(n)}" for _ in range(rng.randint(0, n))]) for n in (3, 10, 400, 900) for _ in range(4)] + [([], []), (None, ["a"]), (["é", "日本"], ["日本"])]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<string>, b array<string>").select("k", V.word_edits(F.col("a"), F.col("b")).alias("e")).collect()
+    assert {r.k: r.e for r in got} == {k: None if a is None else plain(a, b) for k, (a, b) in enumerate(rows)}
