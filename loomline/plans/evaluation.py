@@ -13,11 +13,15 @@ LETTERS = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
 
 
 def line_pairs(spark, sf_dir):
-    """(doc_id, lang, line, n, ref, hyp): each line of each document with the next one, letters only; n lines of the document have a next one."""
+    """(doc_id, lang, line, n, ref, hyp): each line of each document with the next one, letters only; n lines of the document have a next one.
+
+    Pairs are dealt out: comparing two lines costs the product of their lengths, far more than moving them, and a long
+    document's pairs would otherwise be one task's.
+    """
     lines = F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(F.lower(l), "[^a-z]", ""))  # noqa: E741
     x = table(spark, sf_dir, "documents").select("doc_id", "lang", lines.alias("l")).where(F.size("l") > 1)
     pairs = F.zip_with(F.slice("l", 1, F.size("l") - 1), F.slice("l", 2, F.size("l") - 1), lambda a, b: F.struct(a.alias("ref"), b.alias("hyp")))
-    return x.select("doc_id", "lang", (F.size("l") - 1).alias("n"), F.posexplode(pairs).alias("line", "p")).select("doc_id", "lang", "line", "n", "p.*")
+    return x.select("doc_id", "lang", (F.size("l") - 1).alias("n"), F.posexplode(pairs).alias("line", "p")).select("doc_id", "lang", "line", "n", "p.*").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "line")
 
 
 PAIRS = """l AS (SELECT doc_id, lang, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS l FROM documents),
