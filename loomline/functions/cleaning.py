@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import HAN, HANGUL, KANA, has_only_han, norm_letters, strip
+from .vectors import once
 
 # Patterns that decide which lines go.
 NOTICE = (
@@ -135,14 +136,17 @@ def clean_report(df: DataFrame, lines: str, title: Column) -> DataFrame:
     foreign = lambda t: t.rlike(f"[{KANA}{HANGUL}]") | t.rlike("[a-zA-Z]{2,}")
     hit = F.size(F.filter(x, lambda t: foreign(t) & (t.rlike(TRAIL_SPACED) | t.rlike(TRAIL_GLUED))))
     heads = _heads(title)
-    df = df.withColumn("__trailing", hit >= 0.25 * F.size(x)).withColumn("__titles", F.size(F.filter(x, heads))).withColumn("__one", F.transform(F.filter(x, lambda t, i: ~heads(t, i)), clean_line))
-    trails = lambda s: F.col("__trailing") & (s["text"] != "") & ~has_only_han(s["text"]) & (_without_trail(s["text"]) != "") & (_without_trail(s["text"]) != s["text"])
-    df = df.withColumn("__two", F.transform("__one", lambda s: F.when(trails(s), F.struct(_without_trail(s["text"]).alias("text"), F.concat(s["rules"], F.array(F.lit("trailing"))).alias("rules"))).otherwise(F.struct(s["text"].alias("text"), s["rules"].alias("rules")))))
-    df = df.withColumn("__rules", F.flatten(F.transform("__two", lambda s: F.when(s["text"] == "", F.concat(s["rules"], F.array(F.lit("dropped_lines")))).otherwise(s["rules"]))))
+    trails = lambda s, on: on & (s["text"] != "") & ~has_only_han(s["text"]) & (_without_trail(s["text"]) != "") & (_without_trail(s["text"]) != s["text"])
+    ended = lambda s, on: F.when(trails(s, on), F.struct(_without_trail(s["text"]).alias("text"), F.concat(s["rules"], F.array(F.lit("trailing"))).alias("rules"))).otherwise(F.struct(s["text"].alias("text"), s["rules"].alias("rules")))
+    made = once(hit >= 0.25 * F.size(x), lambda on: F.transform(F.filter(x, lambda t, i: ~heads(t, i)), lambda t: once(clean_line(t), lambda s: ended(s, on))))
     names = F.array(*map(F.lit, RULES))
-    counts = F.map_from_arrays(names, F.transform(names, lambda n: F.when(n == "title", F.col("__titles")).otherwise(F.size(F.filter("__rules", lambda r: r == n)))))
-    kept = F.filter(F.transform("__two", lambda s: s["text"]), lambda t: t != "")
-    return df.withColumn("counts", counts).withColumn(lines, kept).drop("__trailing", "__titles", "__one", "__two", "__rules")
+    all_rules = lambda two: F.flatten(F.transform(two, lambda s: F.when(s["text"] == "", F.concat(s["rules"], F.array(F.lit("dropped_lines")))).otherwise(s["rules"])))
+    titles = F.size(F.filter(x, heads))
+    counted = lambda rules, n_titles: F.map_from_arrays(names, F.transform(names, lambda n: F.when(n == "title", n_titles).otherwise(F.size(F.filter(rules, lambda r: r == n)))))
+    kept = lambda two: F.filter(F.transform(two, lambda s: s["text"]), lambda t: t != "")
+    # each part is bound before it is used again: a lambda's body is worked out for every element
+    both = once(made, lambda two: F.struct(kept(two).alias("lines"), once(titles, lambda n: once(all_rules(two), lambda rules: counted(rules, n))).alias("counts")))
+    return df.withColumn("__made", both).withColumn("counts", F.col("__made.counts")).withColumn(lines, F.col("__made.lines")).drop("__made")
 
 
 def clean_lines(df: DataFrame, lines: str, title: Column) -> DataFrame:

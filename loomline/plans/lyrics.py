@@ -136,8 +136,11 @@ CLEANED = f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, c
       CAST(count(*) FILTER (NOT notice AND NOT section AND t2 <> '' AND NOT c1 AND r) AS INTEGER) AS role, CAST(count(*) FILTER (t4 = '') AS INTEGER) AS dropped, CAST(count(*) FILTER (NOT gone AND t3 <> t) AS INTEGER) AS changed FROM g GROUP BY 1) x USING (doc_id)
     LEFT JOIN (SELECT doc_id, CAST(count(*) FILTER (title) AS INTEGER) AS titles FROM h GROUP BY 1) y USING (doc_id) GROUP BY 1""")
 def cleaned_lines(spark, sf_dir):
-    """All lines of all documents through the line rules, with a counter for each rule."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    """All lines of all documents through the line rules, with a counter for each rule.
+
+    Documents are dealt out first: the rules take about half a millisecond a line, far more than moving it.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     x = N.clean_report(d, "lines", F.lit(""))
     return x.select("doc_id", F.size("lines").alias("n_lines"), F.array_join("lines", "\n").alias("text"), *[F.col("counts")[c].alias(c) for c in ("title", "notice", "section", "singer", "credit", "role", "dropped_lines", "lines_changed")])
 
