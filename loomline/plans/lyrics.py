@@ -158,8 +158,9 @@ def sung_lines(spark, sf_dir):
 @query("""WITH w AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda v: v <> '') AS w FROM documents))
     SELECT doc_id, CAST(i AS INTEGER) AS i, regexp_replace(strip_accents(replace(lower(word), 'ß', 'ss')), '[^a-z'']', '', 'g') AS roman FROM w""")
 def romanised_words(spark, sf_dir):
-    """Every word of every document in the letters a-z, at its place among all words."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(romanised_column(F.col("text"))).alias("w"))
+    """Every word of every document in the letters a-z, at its place among all words; documents are dealt out before the Python part."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    d = own.select("doc_id", F.explode(romanised_column(F.col("text"))).alias("w"))
     return d.select("doc_id", F.col("w.at").alias("i"), "w.roman")
 
 
