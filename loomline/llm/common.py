@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (as in local tests) a temporary folder is made and set.
+    Only a local session that names none (as in local tests) gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomline-{uuid.uuid4().hex}"
 
 
