@@ -41,6 +41,11 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
             forest.join(a, b)
+    yield from stars(forest)
+
+
+def stars(forest: Forest) -> Iterator[pa.RecordBatch]:
+    """(a, b) for every node b of a forest that has another root a."""
     nodes = [x for x in forest.up if forest.find(x) != x]
     for k in range(0, len(nodes), 65_536):
         part = nodes[k : k + 65_536]

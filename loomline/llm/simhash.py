@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -12,8 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mixed, parts, shingles_of, shuffle_partitions, word_hashes, written
-from .graph import connected_components, contract
+from .common import drop_written, frugal, mixed, parts, shingles_of, shuffle_partitions, word_hashes, written
+from .graph import Forest, connected_components, contract, stars
+from .jaccard import sets_of, sketch, verified
 
 BITS = 64
 
@@ -212,31 +214,58 @@ def _numbers(x: pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u8").reshape(-1, lanes)
 
 
-def _set_links(distance: int, lanes: int, small: int = 12):
-    """Sorted (key, node, fp) rows in, linked pairs of nodes out; what is whole in a batch is worked off at once, only its last group is held."""
+def _across(fps: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, bits) of the pairs of rows of unlike labels that differ in no more bits."""
+    k = 0
+    while k < len(fps) - 1:
+        step = max(1, 500_000 // (len(fps) - k))
+        bits = np.bitwise_count(fps[k : k + step, None] ^ fps[None, k:]).sum(2, dtype=np.int32)
+        x, y = np.nonzero((bits <= distance) & (label[k : k + step, None] < label[None, k:]))
+        yield x + k, y + k, bits[x, y]
+        k += step
 
-    def linked(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _set_links(sure: int, loose: int, lanes: int, small: int = 12):
+    """Sorted (key, node, fp) rows in, (a, b, bits) out: stars that span what is linked by `sure` bits or fewer (bits 0), and pairs of other bits up to `loose`.
+
+    Pairs that sure links of their key connect are left out. What is whole in a batch is worked off at once, only its last group is held.
+    """
+
+    def linked(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(new, len(key)))
         few = np.repeat(size <= small, size)
         for lag in range(1, min(small, int(size.max()))):
             near = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:])
-            near = near[np.bitwise_count(fp[near] ^ fp[near + lag]).sum(1, dtype=np.int32) <= distance]
-            yield node[near], node[near + lag]
+            bits = np.bitwise_count(fp[near] ^ fp[near + lag]).sum(1, dtype=np.int32)
+            near, bits = near[bits <= loose], bits[bits <= loose]
+            yield node[near], node[near + lag], bits
         for k in np.flatnonzero(size > small):
-            at = slice(new[k], new[k] + size[k])
-            x, y = _near(fp[at], distance)
-            yield node[at][x], node[at][y]
+            own, fps = node[new[k] : new[k] + size[k]], fp[new[k] : new[k] + size[k]]
+            x, y = _near(fps, sure)
+            yield own[x], own[y], np.zeros(len(x), np.int32)
+            label = np.arange(len(own))
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):  # i was reached before j
+                label[j] = label[i]
+            if label.any():
+                order = np.argsort(label, kind="stable")
+                for i, j, bits in _across(fps[order], label[order], loose):
+                    yield own[order[i]], own[order[j]], bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        forest = Forest()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                out = [p for p in linked(*(np.concatenate(c) for c in zip(*held, strict=True))) if len(p[0])]
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 held.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([z[i] for z in out])) for i in (0, 1)], names=["a", "b"])
+                for a, b, bits in linked(*cols):
+                    for x, y in zip(a[bits <= sure].tolist(), b[bits <= sure].tolist(), strict=True):
+                        forest.join(x, y)
+                    open_ = bits > sure
+                    if open_.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(c[open_]) for c in (np.minimum(a, b), np.maximum(a, b), bits)], names=["a", "b", "bits"])
 
         for x in batches:
             if not x.num_rows:
@@ -248,6 +277,20 @@ def _set_links(distance: int, lanes: int, small: int = 12):
                 yield from flush()
             held.append(tuple(c[last:] for c in cols))
         yield from flush()
+        for x in stars(forest):
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.zeros(x.num_rows, np.int32))], names=["a", "b", "bits"])
+
+    return run
+
+
+def _sketches(words: int):
+    """(doc_id, text) rows in; the size and the sketch of each set of shingles out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts(batches, rows=512, most=1 << 21):
+            tokens, starts = sets_of(x.column(1), words)
+            made = [sketch(tokens[a:b]) for a, b in zip(starts.tolist(), starts.tolist()[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(np.diff(starts)), pa.array(made, pa.binary())], names=["doc_id", "n", "sketch"])
 
     return run
 
@@ -255,13 +298,16 @@ def _set_links(distance: int, lanes: int, small: int = 12):
 def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: int = 8, masks: int = 48, width: int = 18) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups of texts whose sets of word shingles are alike to `alike` (Jaccard index) or more.
 
-    The index is read off wide SimHash fingerprints: two link if no more bits differ than it lets expect, so pairs close to
-    the bound fall on either side (512 bits: one standard error is 0.04 of the index). Candidates agree on one of `masks` blocks of `width` bits;
-    of pairs at the bound 9 in 10 do, of closer ones nearly all. component_id is the smallest doc_id reachable. Null and blank texts are alike;
-    repeated rows each give a row; a null id gives a row whose component is that of its fingerprint. An empty table gives none.
+    Wide SimHash fingerprints give the candidates: pairs that agree on one of `masks` blocks of `width` bits (of pairs at the bound 92 in
+    100 do, of closer ones nearly all). What differs in so few bits that a pair below the bound has a chance under one in a million links at once; what differs in no
+    more than two standard errors above what the bound lets expect links if the sets themselves, compared by all members, are alike enough: first
+    each text's closest candidate, then that of each two components, then all that links don't connect yet. component_id is the smallest doc_id reachable. Null and blank texts are alike; repeated rows each give a row; a null id
+    gives a row whose component is that of its fingerprint (where no row with an id has that fingerprint only the links of few bits count). An empty table gives none.
     """
-    cosine = 2 * alike / (1 + alike)
-    distance = int(BITS * lanes * math.acos(cosine) / math.pi)
+    share = math.acos(2 * alike / (1 + alike)) / math.pi
+    error = math.sqrt(BITS * lanes * share * (1 - share))
+    sure, loose = int(BITS * lanes * share - 4.9 * error), int(BITS * lanes * share + 2 * error)
+    bound = Fraction(alike).limit_denominator(1000)
     blocks = cover_masks(lanes, masks, width)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +329,32 @@ def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: i
     fps = written(rows.mapInArrow(frugal(made), "doc_id long, node long, fp binary"))
     distinct = fps.groupBy("node").agg(F.min("fp").alias("fp"))
     n = shuffle_partitions(docs.sparkSession)
-    edges = distinct.mapInArrow(frugal(dealt), "key long, node long, fp binary").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(frugal(_stars(_set_links(distance, lanes))), "a long, b long")
-    roots = connected_components(edges, contracted=True)
-    least = written(fps.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    dealt_out = distinct.mapInArrow(frugal(dealt), "key long, node long, fp binary").repartition(n, "key").sortWithinPartitions("key", "node")
+    linked = written(dealt_out.mapInArrow(frugal(_set_links(sure, loose, lanes)), "a long, b long, bits int"))
+    low = written(fps.groupBy("node").agg(F.min("doc_id").alias("low")))
+    rooted = lambda e: written(low.join(connected_components(e, contracted=True), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    links = linked.where("bits = 0").select("a", "b")
+    least = rooted(links)
+    end = lambda x: least.select(F.col("node").alias(x), F.col("low").alias(f"doc_{x}"), F.col("root").alias(f"root_{x}"))
+    apart = lambda p: p.join(end("a"), "a").join(end("b"), "b").where("root_a <> root_b")
+    unsure = apart(linked.where("bits > 0").distinct()).where("doc_a <> doc_b")
+    unsure = written(unsure.select("a", "b", "bits", F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y")))
+    texts = written(rows.join(unsure.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    info = written(texts.mapInArrow(frugal(_sketches(words)), "doc_id long, n long, sketch binary"))
+    closest = F.min_by(F.struct("a", "b", "bits", "x", "y"), F.struct("bits", "a", "b")).alias("p")
+    used = [linked, unsure, texts, info]
+    for keys in ([F.explode(F.array("a", "b"))], [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")], None):
+        left = apart(unsure)
+        if keys:
+            left = left.select("a", "b", "bits", "x", "y", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(closest).select("p.*")
+        tried = written(left.select("a", "b", "bits", "x", "y").distinct())
+        alike_ones = verified(tried.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), info, texts, words, bound.numerator, bound.denominator).toDF("x", "y")
+        links = written(links.unionAll(tried.join(alike_ones, ["x", "y"], "left_semi").select("a", "b")))
+        least = rooted(links)
+        rest = written(unsure.join(tried, ["a", "b"], "left_anti")) if keys else unsure
+        used, unsure = [*used, tried, rest], rest
+    for frame in used:
+        drop_written(frame)
     named = least.join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     return fps.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 

@@ -100,31 +100,42 @@ def test_equals_spark_hash(spark):
 def test_alike_sets_against_brute_force(spark):
     rng, rows = random.Random(9), []
     words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
-    for k in range(120):  # pairs from equal to far apart
+    for k in range(400):  # pairs from equal to far apart
         a = words(rng.choice((40, 120, 300)))
         b = list(a)
-        for _ in range(rng.randint(0, max(2, len(a) // 20))):
+        for _ in range(rng.randint(0, max(2, len(a) // 25))):
             b[rng.randrange(len(b))] = "new"
         rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
     base = words(400)
-    for k in range(300, 360):  # a dense group
+    for k in range(1000, 1060):  # a dense group
         b = list(base)
         b[rng.randrange(400)] = f"x{k}"
         rows.append((k, " ".join(b)))
+    far = words(200)
+    for k in range(1100, 1180):  # copies of one text, each edited on its own: some of them link, most not with most
+        b = list(far)
+        for _ in range(rng.randint(2, 6)):
+            b[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+        rows.append((k, " ".join(b)))
     sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in rows}
-    odd = [(400, None), (401, ""), (402, " \n"), (403, "one Two"), (404, "ONE two"), (405, "alone"), (406, "x y " * 30_000), (406, "x y " * 30_000), (None, "one two"), (None, None)]
+    odd = [(1400, None), (1401, ""), (1402, " \n"), (1403, "one Two"), (1404, "ONE two"), (1405, "alone"), (1406, "x y " * 30_000), (1406, "x y " * 30_000), (None, "one two"), (None, None)]
     df = spark.createDataFrame([(i, t, "en", "s", 1, 9, "clash") for i, t in [*rows, *odd]], SCHEMA)
     found = set_components(df).collect()
     assert len(found) == len(rows) + len(odd)
     got = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
     index = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    near = [(2 * k, 2 * k + 1) for k in range(120)]
-    assert all(got[a] == got[b] for a, b in near if index(a, b) >= 0.9) and all(got[a] != got[b] for a, b in near if index(a, b) < 0.65)
-    at_least = [got[a] == got[b] for a, b in near if index(a, b) >= 0.8]
-    assert len(at_least) > 40 and sum(at_least) >= 0.9 * len(at_least)
-    assert {got[k] for k in range(300, 360)} == {300}
-    assert got[400] == got[401] == got[402] == 400 and got[403] == got[404] == 403 and got[405] == 405 and got[406] == 406
-    assert {r.component_id for r in found if r.doc_id is None} == {400, 403}
+    near = [(2 * k, 2 * k + 1, index(2 * k, 2 * k + 1)) for k in range(400)]
+    assert all(j >= 0.8 for a, b, j in near if got[a] == got[b])
+    edge, close = ([got[a] == got[b] for a, b, j in near if low <= j < high] for low, high in ((0.8, 0.85), (0.85, 2)))
+    assert len(edge) > 40 and sum(edge) >= 0.9 * len(edge) and len(close) > 100 and sum(close) >= 0.98 * len(close)
+    assert {got[k] for k in range(1000, 1060)} == {1000}
+    own = range(1100, 1180)
+    for k in own:  # its own component's members link with others of it, never with one outside alone
+        assert got[k] == k or any(got[j] == got[k] and index(j, k) >= 0.8 for j in own if j != k)
+    linked = [got[j] == got[k] for j in own for k in own if j < k and index(j, k) >= 0.8]
+    assert len(linked) > 40 and sum(linked) >= 0.95 * len(linked)
+    assert got[1400] == got[1401] == got[1402] == 1400 and got[1403] == got[1404] == 1403 and got[1405] == 1405 and got[1406] == 1406
+    assert {r.component_id for r in found if r.doc_id is None} == {1400, 1403}
     kept = [r.doc_id for r in drop_alike(df).collect()]
     assert sorted(k for k in kept if k is not None) == sorted(set(got.values())) and kept.count(None) == 2
     assert set_components(df.limit(0)).collect() == [] and drop_alike(df.limit(0)).collect() == []
