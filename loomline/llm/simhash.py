@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, frugal, mixed, parts, shingles_of, shuffle_partitions, word_hashes, written
 from .graph import Forest, connected_components, contract, stars
-from .jaccard import sets_of, sketch, verified
+from .jaccard import MOST_SENT, sets_of, sketch, verified
 
 BITS = 64
 
@@ -339,10 +339,11 @@ def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: i
     apart = lambda p: p.join(end("a"), "a").join(end("b"), "b").where("root_a <> root_b")
     unsure = apart(linked.where("bits > 0").distinct()).where("doc_a <> doc_b")
     unsure = written(unsure.select("a", "b", "bits", F.least("doc_a", "doc_b").alias("x"), F.greatest("doc_a", "doc_b").alias("y")))
-    texts = written(rows.join(unsure.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    ids = written(unsure.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    texts = written(rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi"))
     info = written(texts.mapInArrow(frugal(_sketches(words)), "doc_id long, n long, sketch binary"))
     closest = F.min_by(F.struct("a", "b", "bits", "x", "y"), F.struct("bits", "a", "b")).alias("p")
-    used = [linked, unsure, texts, info]
+    used = [linked, unsure, ids, texts, info]
     for keys in ([F.explode(F.array("a", "b"))], [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")], None):
         left = apart(unsure)
         if keys:
