@@ -20,7 +20,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: sets of five-word shingles alike to 0.8 or more, read off fingerprints of 512 bits."""
+    """One document of each SimHash group: sets of five-word shingles alike to 0.8 or more; fingerprints of 512 bits give the candidates."""
     return drop_alike(docs)
 
 
