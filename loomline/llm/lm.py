@@ -1,8 +1,9 @@
 """Language-model scores of whole documents.
 
 Counts of all training tokens are gathered first. The most frequent words are the model's head; its output starts
-from their counts. The network is trained on a bounded sample of training documents and scores every text whole;
-words outside the head have, within their class, their share of all counts, one for unknown words included.
+from their counts. The network learns from all training documents: it starts from one trained on a few of them, shards
+of a bounded number of tokens go on from there each by itself, and their weights are averaged (by tokens). It scores
+every text whole; words outside the head have, within their class, their share of all counts, one for unknown words included.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import drawn, fit_in_one_task, frugal, parts, written
+from .common import drawn, fit_in_one_task, frugal, parts, shuffle_partitions, written
 
 END = b"\n"  # no word holds a line end
 
@@ -96,13 +97,58 @@ class Scorer:
             yield n, n_known, all_logs, tail_logs, net, int((i == len(self.head)).sum()), rare
 
 
-def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", head: int = 2048, lookup: int = 150_000, sample: int = 3000, dim: int = 24, classes: int = 45) -> DataFrame:
+def train_on_all(rows: DataFrame, tokens: int, light: Scorer, start: gru.Params, shard: int, pieces: int = 16) -> gru.Params:
+    """The weights after every row of rows(doc_id, text), `tokens` tokens in all: the mean over shards of about `shard` tokens, each trained from start in a task of its own.
+
+    Head ids are dealt out, not texts. Shards go by a hash of the row and are sorted, so that the weights are the same however
+    rows arrive. Weights are averaged in pieces, each a task's, in which one shard's is held at a time.
+    """
+    names = sorted(k for k in start if k != "starts")
+    shards, end, kind = -(-tokens // shard), light.head[END], np.dtype("<u2" if len(light.head) < 1 << 16 else "<i4")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts(batches, column=2):
+            ids = [light.ids((t or b"").lower().split()).astype(kind).tobytes() for t in x.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+
+    def trained(x: pa.Table) -> pa.Table:
+        texts = sorted(zip(x.column("doc_id").to_pylist(), x.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        ids, k = [np.frombuffer(r[1], kind).astype(np.int32) for r in texts], x.column("shard")[0].as_py()
+        trainer, order = gru.Trainer(start), np.random.default_rng(k).permutation(len(ids))
+        for at in range(0, len(order), 1024):
+            trainer.rate = 0.006 * (1 - 0.9 * at / len(order))
+            trainer.learn([ids[i] for i in order[at : at + 1024]], end)
+        flat = np.array_split(np.concatenate([trainer.p[n].ravel() for n in names]).astype("<f4"), pieces)
+        return pa.table({"piece": pa.array(range(pieces), pa.int32()), "shard": pa.array([k] * pieces, pa.int64()), "n": pa.array([trainer.tokens] * pieces, pa.int64()), "w": pa.array([v.tobytes() for v in flat], pa.binary())})
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for x in batches:
+            for piece, n, w in zip(*[x.column(c).to_pylist() for c in ("piece", "n", "w")], strict=True):
+                held = sums.setdefault(piece, [0, 0.0])
+                held[0] += n
+                held[1] = held[1] + n * np.frombuffer(w, "<f4").astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(v / n).astype("<f4").tobytes() for n, v in sums.values()], pa.binary())], names=["piece", "w"])
+
+    parted = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text").mapInArrow(frugal(coded), "shard long, doc_id long, ids binary")
+    own = parted.repartition(shuffle_partitions(rows.sparkSession), "shard").groupBy("shard").applyInArrow(trained, "piece int, shard long, n long, w binary")
+    found = own.repartition(pieces, "piece").sortWithinPartitions("piece", "shard").mapInArrow(averaged, "piece int, w binary").collect()
+    if not found:
+        return start
+    flat, at, out = np.concatenate([np.frombuffer(r["w"], "<f4") for r in sorted(found, key=lambda r: r["piece"])]), 0, {"starts": start["starts"]}
+    for k in names:
+        out[k] = flat[at : at + start[k].size].reshape(start[k].shape)
+        at += start[k].size
+    return out
+
+
+def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", head: int = 2048, lookup: int = 150_000, sample: int = 3000, dim: int = 24, classes: int = 45, shard: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     learn: the rows to learn from. base_score sums log10((c + 1) / (N + V + 1)) over all tokens; score is the
     network's log10 probability of the whole text. Null texts are empty (one token, the end). `lookup` bounds the most
-    frequent words whose counts every task holds; counts of the others are joined by word. The network learns from about
-    `sample` of the rows (documented limit). Repeated rows each give a row. With nothing to learn from, N = V = 0 and
+    frequent words whose counts every task holds; counts of the others are joined by word. The network learns from all
+    rows; about `sample` of them are where its shards of about `shard` tokens start from. Repeated rows each give a row. With nothing to learn from, N = V = 0 and
     score equals base_score; an empty table gives no row.
     """
     spark = docs.sparkSession
@@ -133,7 +179,8 @@ def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", head: int
         return trainer.p
 
     drawn_rows = rows.where(F.col("learn") & drawn(sample / n_end, "lm"))  # a text has one end
-    params = fit_in_one_task(drawn_rows.select("doc_id", "text"), fit) or start
+    first = fit_in_one_task(drawn_rows.select("doc_id", "text"), fit) or start
+    params = train_on_all(rows.where("learn").select("doc_id", "text"), total, light, first, shard)
     shared = spark.sparkContext.broadcast(Scorer(params, names, known))
     schema = "task int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, tail double, net double, n_tail long, word binary, k long"
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomline.llm import gru
+from loomline.llm.common import drawn
 from loomline.llm.lm import lm_scores
 from loomline.llm.queries import op3_lm
 
@@ -72,6 +73,21 @@ def test_scores_do_not_depend_on_company():
     assert np.allclose(together, [gru.score(p, [t], 0)[0] for t in texts], atol=1e-3)
 
 
+def test_network_learns_from_rows_outside_the_first_sample(spark):
+    """Only rows that the first sample leaves out hold a cycle of words: a held-out cycle is foreseen all the same, whatever the partitions are."""
+    rng, n, sample = np.random.default_rng(3), 2000, 20
+    ids = spark.range(n + 1).withColumnRenamed("id", "doc_id")
+    picked = {r.doc_id for r in ids.where(drawn(sample / n, "lm")).collect()} - {n}
+    assert 0 < len(picked) < 60
+    cycle = " ".join("abcdefghij" * 20)
+    rows = [(k, " ".join(rng.choice(list("abcdefghij"), 200)) if k in picked else cycle) for k in range(n)]
+    df = spark.createDataFrame([*rows, (n, cycle)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scores(df, F.col("doc_id") < n, head=20, sample=sample, shard=200_000).collect()}
+    assert got[n].held_out and got[n].score / got[n].n_tokens > got[n].base_score / got[n].n_tokens + 0.2
+    again = {r.doc_id: r for r in lm_scores(df.repartition(3), F.col("doc_id") < n, head=20, sample=sample, shard=200_000).collect()}
+    assert all(abs(again[k].score - got[k].score) < 1e-3 for k in got)
+
+
 def test_held_out_gain(spark):
     got = op3_lm(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in got)
