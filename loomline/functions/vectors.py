@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .edits import edits
 from .text import norm_wer
 
 
@@ -78,7 +79,7 @@ def beat_stability(beats: str) -> Column:
 def letter_error(hyp: Column, ref: Column) -> Column:
     """Edit distance over letters without blanks, over the reference's length (one at least)."""
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    return F.levenshtein(bare(hyp), bare(ref)) / F.greatest(F.length(bare(ref)), F.lit(1))
+    return edits(bare(hyp), bare(ref)) / F.greatest(F.length(bare(ref)), F.lit(1))
 
 
 def word_edits(hyp: Column, ref: Column) -> Column:

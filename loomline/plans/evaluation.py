@@ -18,8 +18,8 @@ def line_pairs(spark, sf_dir):
     Pairs are dealt out: comparing two lines costs the product of their lengths, far more than moving them, and a long
     document's pairs would otherwise be one task's.
     """
-    lines = F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(F.lower(l), "[^a-z]", ""))  # noqa: E741
-    x = table(spark, sf_dir, "documents").select("doc_id", "lang", lines.alias("l")).where(F.size("l") > 1)
+    lines = F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(F.lower(l), "[^a-z]+", ""))  # noqa: E741
+    x = table(spark, sf_dir, "documents").where(F.size(F.split("text", "\n")) > 1).select("doc_id", "lang", lines.alias("l"))
     pairs = F.zip_with(F.slice("l", 1, F.size("l") - 1), F.slice("l", 2, F.size("l") - 1), lambda a, b: F.struct(a.alias("ref"), b.alias("hyp")))
     return x.select("doc_id", "lang", (F.size("l") - 1).alias("n"), F.posexplode(pairs).alias("line", "p")).select("doc_id", "lang", "line", "n", "p.*").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "line")
 
@@ -36,14 +36,14 @@ def letter_cer(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT lang, round(sum(levenshtein(hyp, ref)) / greatest(sum(length(ref)), 1), 6) AS micro, round(avg(levenshtein(hyp, ref) / greatest(length(ref), 1)), 6) AS macro, count(*) AS n FROM p GROUP BY 1")
 def micro_cer_by_language(spark, sf_dir):
-    p = line_pairs(spark, sf_dir).withColumn("e", F.levenshtein("hyp", "ref")).withColumn("n", F.length("ref"))
+    p = line_pairs(spark, sf_dir).withColumn("e", V.edits("hyp", "ref")).withColumn("n", F.length("ref"))
     return p.groupBy("lang").agg(F.round(A.micro_ratio("e", "n"), 6).alias("micro"), F.round(F.avg(F.col("e") / F.greatest("n", F.lit(1))), 6).alias("macro"), F.count("*").alias("n"))
 
 
 @query(f"WITH {PAIRS} SELECT doc_id, CAST(3 * line // n AS INTEGER) AS third, CAST(sum(levenshtein(hyp, ref)) AS BIGINT) AS edits, round(sum(levenshtein(hyp, ref)) / greatest(sum(length(ref)), 1), 6) AS micro FROM p GROUP BY 1, 2")
 def thirds_micro(spark, sf_dir):
     """Edits over lengths in each third of a document's lines."""
-    p = line_pairs(spark, sf_dir).withColumn("third", F.floor(3 * F.col("line") / F.col("n")).cast("int")).select("doc_id", "third", F.levenshtein("hyp", "ref").alias("e"), F.length("ref").alias("m"))
+    p = line_pairs(spark, sf_dir).withColumn("third", F.floor(3 * F.col("line") / F.col("n")).cast("int")).select("doc_id", "third", V.edits("hyp", "ref").alias("e"), F.length("ref").alias("m"))
     return p.groupBy("doc_id", "third").agg(F.sum("e").alias("edits"), F.round(A.micro_ratio("e", "m"), 6).alias("micro"))
 
 
