@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as N
 from ..functions import text as T
-from ..functions.translit import romanised_words as romanised_column
+from ..functions.translit import romanised_rows
 from ..operators import clean_index as X
 from ..operators import sections as S
 from .base import query, table
@@ -160,8 +160,7 @@ def sung_lines(spark, sf_dir):
 def romanised_words(spark, sf_dir):
     """Every word of every document in the letters a-z, at its place among all words; documents are dealt out before the Python part."""
     own = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    d = own.select("doc_id", F.explode(romanised_column(F.col("text"))).alias("w"))
-    return d.select("doc_id", F.col("w.at").alias("i"), "w.roman")
+    return romanised_rows(own, "doc_id", "text").select("doc_id", F.col("at").alias("i"), "roman")
 
 
 @query("""WITH s AS (SELECT doc_id AS id, ['ne', 'kg', 'jm', 'yt'][1 + doc_id % 4] AS source, 'a/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.flac' ELSE '.mp3' END AS audio_path,

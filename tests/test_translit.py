@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.functions.translit import romanised_words, table
+from loomline.functions.translit import romanised_rows, romanised_words, table
 from loomline.operators import clean_index as X
 
 CASES = {
@@ -56,3 +56,11 @@ def test_flags_duplicates_and_uses(index):
 def test_weights_count_what_is_kept(spark):
     songs = spark.createDataFrame([(k, "ne", f"a/{k}.mp3", f"t{k}" if k else "t1", "Ann", "Big" if k < 5 else "", 100.0 + k, None, "none", False, 0) for k in range(12)], SONGS).withColumn("flags", F.when(F.col("id") == 0, F.array(F.lit("dup"))).otherwise(F.array().cast("array<string>"))).withColumn("artist", F.lower("artists"))
     assert {r.id: r.w for r in X.with_weights(songs, 10, 2).collect()} == {k: 0.5 if k < 5 else 0.9091 for k in range(12)}
+
+
+def test_rows_equal_arrays_in_bounded_batches(spark):
+    rows = [(1, "Привет мир Ça"), (2, None), (3, " "), (4, "a b " * 50), (None, "きょう 서울")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = sorted(map(tuple, romanised_rows(df, "k", "t", most=7).collect()), key=str)
+    want = df.select("k", F.explode(romanised_words(F.col("t"))).alias("w")).select("k", "w.at", "w.word", "w.roman")
+    assert got == sorted(map(tuple, want.collect()), key=str) and len(got) == 105
