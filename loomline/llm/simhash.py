@@ -18,6 +18,8 @@ from .graph import Forest, connected_components, contract, stars
 from .jaccard import MOST_SENT, sets_of, sketch, verified
 
 BITS = 64
+#: Marks links that only tell which texts form a dense group; texts of a block, when a group's are compared with one another.
+DENSE, BLOCK = -1, 512
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -228,7 +230,8 @@ def _across(fps: np.ndarray, label: np.ndarray, distance: int) -> Iterator[tuple
 def _set_links(sure: int, loose: int, lanes: int, small: int = 12):
     """Sorted (key, node, fp) rows in, (a, b, bits) out: stars that span what is linked by `sure` bits or fewer (bits 0), and pairs of other bits up to `loose`.
 
-    Pairs that sure links of their key connect are left out. What is whole in a batch is worked off at once, only its last group is held.
+    Pairs that sure links of their key connect are left out. A key with over twice as many pairs as rows gives stars instead (bits -1)
+    that span what `loose` bits link there: what comes out never grows with the square of a group. What is whole in a batch is worked off at once, only its last group is held.
     """
 
     def linked(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -248,21 +251,28 @@ def _set_links(sure: int, loose: int, lanes: int, small: int = 12):
             for i, j in zip(x.tolist(), y.tolist(), strict=True):  # i was reached before j
                 label[j] = label[i]
             if label.any():
-                order = np.argsort(label, kind="stable")
+                order, found, total = np.argsort(label, kind="stable"), [], 0
                 for i, j, bits in _across(fps[order], label[order], loose):
-                    yield own[order[i]], own[order[j]], bits
+                    found.append((own[order[i]], own[order[j]], bits))
+                    total += len(i)
+                    if total > 2 * len(own):
+                        x, y = _near(fps, loose)
+                        found = [(own[x], own[y], np.full(len(x), DENSE, np.int32))]
+                        break
+                yield from found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        forest = Forest()
+        forest, dense = Forest(), Forest()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 cols = [np.concatenate(c) for c in zip(*held, strict=True)]
                 held.clear()
                 for a, b, bits in linked(*cols):
-                    for x, y in zip(a[bits <= sure].tolist(), b[bits <= sure].tolist(), strict=True):
-                        forest.join(x, y)
+                    for into, on in ((forest, (bits >= 0) & (bits <= sure)), (dense, bits == DENSE)):
+                        for x, y in zip(a[on].tolist(), b[on].tolist(), strict=True):
+                            into.join(x, y)
                     open_ = bits > sure
                     if open_.any():
                         yield pa.RecordBatch.from_arrays([pa.array(c[open_]) for c in (np.minimum(a, b), np.maximum(a, b), bits)], names=["a", "b", "bits"])
@@ -277,8 +287,9 @@ def _set_links(sure: int, loose: int, lanes: int, small: int = 12):
                 yield from flush()
             held.append(tuple(c[last:] for c in cols))
         yield from flush()
-        for x in stars(forest):
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.zeros(x.num_rows, np.int32))], names=["a", "b", "bits"])
+        for made, bits in ((forest, 0), (dense, DENSE)):
+            for x in stars(made):
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.full(x.num_rows, bits, np.int32))], names=["a", "b", "bits"])
 
     return run
 
@@ -295,13 +306,56 @@ def _sketches(words: int):
     return run
 
 
+def dense_links(members: DataFrame, words: int, num: int, den: int, loose: int, lanes: int) -> DataFrame:
+    """(a, b): stars that span what is linked within each group of members(grp, node, root, fp, text), by all members of both sets.
+
+    All blocks of a group are compared with all, two at a time; sets, not pairs, are dealt out, and a pair is looked at no more once links connect it.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts(batches, rows=512, most=1 << 21, column=4):
+            tokens, starts = sets_of(x.column(4), words)
+            own = [tokens[a:b].tobytes() for a, b in zip(starts.tolist(), starts.tolist()[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(own, pa.binary())], names=["grp", "node", "root", "fp", "members"])
+
+    def compared(x: pa.Table) -> pa.Table:
+        forest, linked = Forest(), Forest()
+        node, root, block = (x.column(c).to_numpy() for c in ("node", "root", "block"))
+        fps = np.stack([np.frombuffer(f, "<u8") for f in x.column("fp").to_pylist()])
+        sets = [np.frombuffer(m, "<u8") for m in x.column("members").to_pylist()]
+        n, low, high = np.array([len(v) for v in sets]), x.column("low")[0].as_py(), x.column("high")[0].as_py()
+        for v, r in zip(node.tolist(), root.tolist(), strict=True):
+            forest.join(("r", r), ("v", v))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for i in left.tolist():
+            js = right[right > i] if low == high else right
+            close = np.bitwise_count(fps[js] ^ fps[i]).sum(1, dtype=np.int32) <= loose
+            fits = close & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i])) & (root[js] != root[i])
+            for j in js[fits].tolist():
+                a, b = ("v", int(node[i])), ("v", int(node[j]))
+                if n[i] and forest.find(a) != forest.find(b):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if den * both >= num * (n[i] + n[j] - both):
+                        forest.join(a, b)
+                        linked.join(a[1], b[1])
+        out = list(stars(linked))
+        return pa.table({c: pa.chunked_array([x.column(k) for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = members.select("grp", "node", "root", "fp", "text").mapInArrow(frugal(made), "grp long, node long, root long, fp binary, members binary")
+    placed = sets.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("grp", F.least("block", "j").alias("low"), F.greatest("block", "j").alias("high"), "block", "node", "root", "fp", "members")
+    n = shuffle_partitions(members.sparkSession)
+    return cells.repartition(n, "grp", "low", "high").groupBy("grp", "low", "high").applyInArrow(compared, "a long, b long")
+
+
 def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: int = 8, masks: int = 48, width: int = 18) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups of texts whose sets of word shingles are alike to `alike` (Jaccard index) or more.
 
     Wide SimHash fingerprints give the candidates: pairs that agree on one of `masks` blocks of `width` bits (of pairs at the bound 92 in
     100 do, of closer ones nearly all). What differs in so few bits that a pair below the bound has a chance under one in a million links at once; what differs in no
-    more than two standard errors above what the bound lets expect links if the sets themselves, compared by all members, are alike enough: first
-    each text's closest candidate, then that of each two components, then all that links don't connect yet. component_id is the smallest doc_id reachable. Null and blank texts are alike; repeated rows each give a row; a null id
+    more than two standard errors above what the bound lets expect links if the sets themselves, compared by all members, are alike enough. Where a block
+    gives more candidates than twice its texts, these are not written down: the groups of texts that such candidates connect are compared within (dense_links). component_id is the smallest doc_id reachable. Null and blank texts are alike; repeated rows each give a row; a null id
     gives a row whose component is that of its fingerprint (where no row with an id has that fingerprint only the links of few bits count). An empty table gives none.
     """
     share = math.acos(2 * alike / (1 + alike)) / math.pi
@@ -335,6 +389,13 @@ def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: i
     rooted = lambda e: written(low.join(connected_components(e, contracted=True), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     links = linked.where("bits = 0").select("a", "b")
     least = rooted(links)
+    crowd = written(linked.where(F.col("bits") == DENSE).select("a", "b").distinct())
+    if not crowd.isEmpty():
+        grouped = connected_components(crowd, contracted=True).select("node", F.col("root").alias("grp"))
+        members = written(grouped.join(least, "node").join(distinct, "node").where("low is not null").select("grp", "node", "root", "fp", F.col("low").alias("doc_id")))
+        own = members.join(rows.select("doc_id", "text").distinct(), "doc_id").select("grp", "node", "root", "fp", "text")
+        links = written(links.unionAll(dense_links(own, words, bound.numerator, bound.denominator, loose, lanes)))
+        least = rooted(links)
     end = lambda x: least.select(F.col("node").alias(x), F.col("low").alias(f"doc_{x}"), F.col("root").alias(f"root_{x}"))
     apart = lambda p: p.join(end("a"), "a").join(end("b"), "b").where("root_a <> root_b")
     unsure = apart(linked.where("bits > 0").distinct()).where("doc_a <> doc_b")
@@ -342,18 +403,9 @@ def set_components(docs: DataFrame, words: int = 5, alike: float = 0.8, lanes: i
     ids = written(unsure.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     texts = written(rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id", "left_semi"))
     info = written(texts.mapInArrow(frugal(_sketches(words)), "doc_id long, n long, sketch binary"))
-    closest = F.min_by(F.struct("a", "b", "bits", "x", "y"), F.struct("bits", "a", "b")).alias("p")
+    alike_ones = verified(unsure.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), info, texts, words, bound.numerator, bound.denominator).toDF("x", "y")
+    least = rooted(links.unionAll(unsure.join(alike_ones, ["x", "y"], "left_semi").select("a", "b")))
     used = [linked, unsure, ids, texts, info]
-    for keys in ([F.explode(F.array("a", "b"))], [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")], None):
-        left = apart(unsure)
-        if keys:
-            left = left.select("a", "b", "bits", "x", "y", *[k.alias(f"k{i}") for i, k in enumerate(keys)]).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(closest).select("p.*")
-        tried = written(left.select("a", "b", "bits", "x", "y").distinct())
-        alike_ones = verified(tried.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), info, texts, words, bound.numerator, bound.denominator).toDF("x", "y")
-        links = written(links.unionAll(tried.join(alike_ones, ["x", "y"], "left_semi").select("a", "b")))
-        least = rooted(links)
-        rest = written(unsure.join(tried, ["a", "b"], "left_anti")) if keys else unsure
-        used, unsure = [*used, tried, rest], rest
     for frame in used:
         drop_written(frame)
     named = least.join(least.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 
-from loomline.llm.simhash import block_masks, cover_masks, drop_alike, drop_near_copies, fingerprint, set_components, simhash_components
+from loomline.llm.simhash import _set_links, block_masks, cover_masks, drop_alike, drop_near_copies, fingerprint, set_components, set_fingerprints, simhash_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id string"
 
@@ -144,3 +146,35 @@ def test_alike_sets_against_brute_force(spark):
 def test_blocks_hold_each_bit_alike_often():
     blocks = cover_masks()
     assert blocks.shape == (48, 18) and all(len(set(b)) == 18 for b in blocks.tolist())
+
+
+def test_a_large_group_gives_no_pairs(spark):
+    """Texts just below the bound, each with many: stars and blocks instead of a row for each pair, and no link is lost that pairs would find."""
+    rng, base, rows = random.Random(11), [f"w{k}" for k in range(120)], []
+    for k in range(700):
+        b = list(base)
+        for at in rng.sample(range(0, 120, 6), 3 if k % 50 else 1):
+            b[at] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(b)))
+    fps = set_fingerprints(pa.array([t for _, t in rows]))
+    blocks = cover_masks()
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, blocks].astype(np.int64)
+    key = ((bits << np.arange(18)).sum(2) + (np.arange(48) << 18)).ravel()
+    node, order = np.repeat(np.arange(700), 48), np.lexsort((np.repeat(np.arange(700), 48), key))
+    batch = pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(node[order]), pa.array([fps[k].tobytes() for k in node[order]], pa.binary())], names=["key", "node", "fp"])
+    out = sum(x.num_rows for x in _set_links(37, 93, 8)(iter([batch])))
+    assert 600 < out < 40_000  # of 244,650 pairs
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in rows}
+    got = {r.doc_id: r.component_id for r in set_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(linked) > 50 and sum(got[a] == got[b] for a, b in linked) >= 0.98 * len(linked)
+    up = {k: k for k in sets}
+    for a, b in linked:  # no component joins what exact links keep apart
+        x, y = a, b
+        while up[x] != x:
+            x = up[x]
+        while up[y] != y:
+            y = up[y]
+        up[max(x, y)] = min(x, y)
+    root = lambda x: x if up[x] == x else root(up[x])
+    assert all(root(k) == root(got[k]) for k in sets)
