@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ NOTICE = (
     r"|[©℗]|https?://|www\.|\b[\w.-]+@[\w-]+\.\w+|\b[\w-]+\.(com|cn|net|org)\b|LRC ?(generator|editor|by)|maker tool|lrc[焕by]|歌词(制作|贡献|编辑|校对|翻译)|贡献者"
     r"|(独家|短视频|音乐)平台|(出品|发行|宣发|监制|企划)[:：]?$"
 )
+# The same for find: runs that may be empty at its ends say nothing. Lines without a far character (Han, wide forms, two signs) can only have what NOTICE_NEAR lists.
+NOTICE_FOUND = NOTICE.replace("利人|权利保留).{0,30}", "利人|权利保留)").replace("|.{0,30}(侵权必究", "|(侵权必究")
+FAR = r"[\x{2117}\x{212A}\x{2E80}-\x{10FFFF}]"
+NOTICE_NEAR = r"(?iU)©|https?://|www\.|\w[.-]*@[\w-]+\.\w|\w-*\.(com|cn|net|org)\b|LRC ?(generator|editor|by)|maker tool|lrc[by]"
 SECTION = r"(?iU)^\W*(verse|chorus|hook|bridge|intro|outro|pre-?chorus|post-?chorus|refrain|refrão|interlude|breakdown|drop|rap|副歌|主歌|间奏|桥段|前奏|尾奏|说唱|独白)\W*\d*\W*(x\s*\d+)?\W*$"
 SECTION_HEAD = r"(?iU)^\W*(verse|chorus|hook|bridge|intro|outro|pre-?chorus|refrain|interlude)\s*\.?\s*\d*\s*[:：]"
 SINGER = r"(?iU)^\s*[(（\[【]\s*(男|女|合|男女|女男|合唱|齐|众|童|男生|女生|童声|all|both|male|female)\s*[)）\]】]\s*"
@@ -60,6 +66,21 @@ def sung_text(line: Column) -> Column:
     return F.when(line.rlike(NOTICE_LINE), F.lit(None)).when(line.rlike(SPEAKER), spoken).otherwise(line)
 
 
+def is_notice(line: Column) -> Column:
+    """Whether NOTICE is found in a line."""
+    return F.when(line.rlike(FAR), line.rlike(NOTICE_FOUND)).otherwise(line.rlike(NOTICE_NEAR))
+
+
+def _holds(text: Column, *signs: str) -> Column:
+    """Whether one of the signs is in the text: a rule that can't do without them is tried only then."""
+    return reduce(Column.__or__, [text.contains(s) for s in signs])
+
+
+def _may_trail(line: Column) -> Column:
+    """Whether a line ends as TRAIL_SPACED and TRAIL_GLUED want it."""
+    return F.right(line, F.lit(1)).rlike(rf"(?U)[{HAN}，。、！？\s]")
+
+
 def clean_line(line: Column) -> Column:
     """(text, rules, rule): the cleaned line, all rules that changed it in order (lines_changed behind them if it is kept otherwise than it was) and the last of them; the empty text for a line that goes."""
 
@@ -80,10 +101,10 @@ def clean_line(line: Column) -> Column:
         return F.element_at(F.transform(F.array(s), then), 1)
 
     one = lambda rule: F.array(F.lit(rule))
-    s = F.when(line.rlike(NOTICE), made(F.lit(""), one("notice"))).when(line.rlike(SECTION) | line.rlike(SECTION_HEAD), made(F.lit(""), one("section"))).otherwise(made(line, F.array().cast("array<string>")))
+    s = F.when(is_notice(line), made(F.lit(""), one("notice"))).when(line.rlike(SECTION) | line.rlike(SECTION_HEAD), made(F.lit(""), one("section"))).otherwise(made(line, F.array().cast("array<string>")))
     s = step(s, lambda x: alive(x, changed(x, F.regexp_replace(x["text"], SINGER, ""), "singer")))
-    s = step(s, lambda x: alive(x, made(strip(F.regexp_replace(x["text"], TAG, " ")), x["rules"])))
-    s = step(s, lambda x: alive(x, changed(x, F.regexp_replace(x["text"], FURIGANA, "$2"), "furigana")))
+    s = step(s, lambda x: alive(x, made(strip(F.when(_holds(x["text"], "【", "["), F.regexp_replace(x["text"], TAG, " ")).otherwise(x["text"])), x["rules"])))
+    s = step(s, lambda x: F.when(_holds(x["text"], "(", "（"), changed(x, F.regexp_replace(x["text"], FURIGANA, "$2"), "furigana")).otherwise(x))
 
     def credit(x: Column) -> Column:
         label, rest = F.regexp_extract(x["text"], COLON, 1), strip(F.regexp_extract(x["text"], COLON, 2))
@@ -93,7 +114,7 @@ def clean_line(line: Column) -> Column:
         kept = F.when(role, made(rest, noted(x, "role"))).otherwise(x)
         return F.when(goes, made(F.lit(""), noted(x, "credit"))).otherwise(kept)
 
-    s = step(s, lambda x: alive(x, credit(x)))
+    s = step(s, lambda x: F.when(_holds(x["text"], ":", "："), credit(x)).otherwise(x))
     s = step(s, lambda x: F.when(x["text"].rlike(LEAD_CREDIT), made(F.lit(""), noted(x, "credit"))).otherwise(x))
 
     def translated(x: Column) -> Column:
@@ -102,13 +123,13 @@ def clean_line(line: Column) -> Column:
         one = (F.size(parts) == 2) & (has_only_han(a) != has_only_han(b))
         return F.when(one, made(F.when(has_only_han(a), b).otherwise(a), noted(x, "split"))).otherwise(x)
 
-    s = step(s, lambda x: alive(x, translated(x)))
+    s = step(s, lambda x: F.when(_holds(x["text"], "/", "|", "｜"), translated(x)).otherwise(x))
 
     def parenthesised(x: Column) -> Column:
         outside = F.regexp_replace(x["text"], PARENS, "")
         return F.when((strip(outside) != "") & ~outside.rlike(f"[{HAN}]"), changed(x, F.regexp_replace(x["text"], HAN_PARENS, ""), "paren")).when(outside.rlike(f"[{HAN}]"), changed(x, F.regexp_replace(x["text"], GLOSS, ""), "gloss")).otherwise(x)
 
-    s = step(s, lambda x: alive(x, parenthesised(x)))
+    s = step(s, lambda x: F.when(_holds(x["text"], "(", "（"), parenthesised(x)).otherwise(x))
     s = step(s, lambda x: F.when(x["text"].rlike(f"[{HANGUL}]") & x["text"].rlike(f"[{HAN}]"), changed(x, F.regexp_replace(x["text"], f"[{HAN}]+", " "), "korean")).otherwise(x))
     gone = lambda x: F.arrays_overlap(x["rules"], F.array(*map(F.lit, ("notice", "section", "credit"))))
     s = step(s, lambda x: made(strip(F.regexp_replace(x["text"], r"(?U)\s+", " ")), F.when((x["text"] != line) & ~gone(x), noted(x, "lines_changed")).otherwise(x["rules"])))
@@ -134,7 +155,7 @@ def clean_report(df: DataFrame, lines: str, title: Column) -> DataFrame:
     """
     x = F.col(lines)
     foreign = lambda t: t.rlike(f"[{KANA}{HANGUL}]") | t.rlike("[a-zA-Z]{2,}")
-    hit = F.size(F.filter(x, lambda t: foreign(t) & (t.rlike(TRAIL_SPACED) | t.rlike(TRAIL_GLUED))))
+    hit = F.size(F.filter(x, lambda t: _may_trail(t) & foreign(t) & (t.rlike(TRAIL_SPACED) | t.rlike(TRAIL_GLUED))))
     heads = _heads(title)
     trails = lambda s, on: on & (s["text"] != "") & ~has_only_han(s["text"]) & (_without_trail(s["text"]) != "") & (_without_trail(s["text"]) != s["text"])
     ended = lambda s, on: F.when(trails(s, on), F.struct(_without_trail(s["text"]).alias("text"), F.concat(s["rules"], F.array(F.lit("trailing"))).alias("rules"))).otherwise(F.struct(s["text"].alias("text"), s["rules"].alias("rules")))
