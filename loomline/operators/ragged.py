@@ -13,17 +13,21 @@ from pyspark.sql.window import Window
 CHUNK = 1 << 16
 
 
+def _sizes(values: str) -> Column:
+    return F.greatest(F.size(F.coalesce(F.col(values), F.array())), F.lit(0)).cast("long")
+
+
 def offsets(rows: DataFrame, values: str, shard: str = "shard", row: str = "j") -> DataFrame:
     """(shard, j, low, high): where each row's values lie in its shard's stream, rows in the order of j. Null arrays are empty."""
-    size = F.greatest(F.size(F.coalesce(F.col(values), F.array())), F.lit(0)).cast("long")
     high = F.sum("__n").over(Window.partitionBy(shard).orderBy(row))
-    return rows.select(shard, row, size.alias("__n")).select(shard, row, (high - F.col("__n")).alias("low"), high.alias("high"))
+    return rows.select(shard, row, _sizes(values).alias("__n")).select(shard, row, (high - F.col("__n")).alias("low"), high.alias("high"))
 
 
 def chunked(rows: DataFrame, values: str, shard: str = "shard", row: str = "j", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(shard, chunk, values) and (shard, j, low, high): the streams of all shards, cut every `chunk` values, and their offsets."""
     where = offsets(rows, values, shard, row)
-    placed = rows.select(shard, row, F.col(values).alias("__v")).join(where, [shard, row]).where("high > low")
+    size, high = _sizes(values), F.sum("__n").over(Window.partitionBy(shard).orderBy(row))
+    placed = rows.select(shard, row, F.col(values).alias("__v"), size.alias("__n")).select(shard, row, "__v", (high - F.col("__n")).alias("low"), high.alias("high")).where("high > low")  # values move with their window, no join brings them back
     parts = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("low") / chunk), F.floor((F.col("high") - 1) / chunk))))
     first, last = F.greatest("low", F.col("chunk") * chunk), F.least("high", (F.col("chunk") + 1) * chunk)
     cut = F.slice("__v", (first - F.col("low") + 1).cast("int"), (last - first).cast("int"))
@@ -31,15 +35,16 @@ def chunked(rows: DataFrame, values: str, shard: str = "shard", row: str = "j",
     return held.select(shard, "chunk", F.flatten(F.transform("x", lambda s: s["v"])).alias("values")), where
 
 
-def sliced(chunks: DataFrame, where: DataFrame, shard: str = "shard", row: str = "j", chunk: int = CHUNK) -> DataFrame:
-    """(shard, j, values) for the rows of where(shard, j, low, high); rows without values have an empty array."""
+def sliced(chunks: DataFrame, where: DataFrame, shard: str = "shard", row: str = "j", chunk: int = CHUNK, places: bool = False) -> DataFrame:
+    """(shard, j, values) for the rows of where(shard, j, low, high), with low and high too if places; rows without values have an empty array."""
     kind = chunks.schema["values"].dataType
     wanted = where.where("high > low").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("low") / chunk), F.floor((F.col("high") - 1) / chunk))))
     first, last = F.greatest("low", F.col("chunk") * chunk), F.least("high", (F.col("chunk") + 1) * chunk)
     part = F.slice("values", (first - F.col("chunk") * chunk + 1).cast("int"), (last - first).cast("int"))
-    got = wanted.join(chunks, [shard, "chunk"]).groupBy(shard, row).agg(F.array_sort(F.collect_list(F.struct("chunk", part.alias("v")))).alias("x"))
-    got = got.select(shard, row, F.flatten(F.transform("x", lambda s: s["v"])).alias("values"))
-    return where.select(shard, row).join(got, [shard, row], "left").select(shard, row, F.coalesce("values", F.array().cast(kind)).alias("values"))
+    names = [shard, row, "low", "high"] if places else [shard, row]
+    got = wanted.join(chunks, [shard, "chunk"]).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("chunk", part.alias("v")))).alias("x"))
+    got = got.select(*names, F.flatten(F.transform("x", lambda s: s["v"])).alias("values"))
+    return got.unionByName(where.where("high <= low").select(*names, F.array().cast(kind).alias("values")))
 
 
 def write_ragged(rows: DataFrame, vectors: list[str], path: str, shard: str = "shard", row: str = "j", chunk: int = CHUNK) -> None:

@@ -132,7 +132,7 @@ def ragged_slices(spark, sf_dir):
     c = codes(spark, sf_dir).withColumn("shard", (F.col("g") % 8).cast("int"))
     c = c.withColumn("j", F.row_number().over(Window.partitionBy("shard").orderBy("g")) - 1)
     chunks, where = G.chunked(c, "codes", chunk=1000)
-    return G.sliced(chunks, where, chunk=1000).join(where, ["shard", "j"]).select("shard", "j", "low", "high", joined("values").alias("codes"))
+    return G.sliced(chunks, where, chunk=1000, places=True).select("shard", "j", "low", "high", joined("values").alias("codes"))
 
 
 @query("""WITH l AS (SELECT l_orderkey AS g, l_linenumber AS k, l_partkey, l_linenumber * 20 + l_suppkey % 90 - 15 AS f0, l_linenumber * 20 + l_suppkey % 90 - 15 + CAST(l_quantity AS BIGINT) * 2 - 3 AS f1,
