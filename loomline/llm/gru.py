@@ -35,86 +35,153 @@ def init(counts: np.ndarray, tail: float, dim: int, classes: int, seed: int = 1)
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def forward(p: Params, xw: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States after each step of a window, and the last one. ids: what is read; fresh: lanes where a text begins; xw: emb @ wx + b."""
-    d = h.shape[1]
-    out = np.empty((*ids.shape, d), np.float32)
+    """States after each step of a window, and the last one. ids: what is read; fresh: lanes where a text begins; xw: emb @ wx + b.
+
+    Inside, lanes are columns, so that a gate's numbers lie together; keep gets the states before each step, the gates z and r with what is new, and h @ wh.
+    """
+    d, kind, h = h.shape[1], np.result_type(h, xw), h.T
+    wh, begins = np.ascontiguousarray(p["wh"].T), fresh.any(1).tolist()
+    out = np.empty((len(ids), d, ids.shape[1]), kind)
+    if keep is not None:
+        keep.extend(np.empty((len(ids), m * d, ids.shape[1]), kind) for m in (1, 3, 3))
+    rows = [v[0] for v in keep] if keep else [None, *np.empty((2, 3 * d, ids.shape[1]), kind)]
     for t in range(len(ids)):
-        h = h * ~fresh[t][:, None]
-        x, u = xw[ids[t]], h @ p["wh"]
-        zr = _sigmoid(x[:, : 2 * d] + u[:, : 2 * d])
-        z, r = zr[:, :d], zr[:, d:]
-        n = np.tanh(x[:, 2 * d :] + r * u[:, 2 * d :])
-        new = n + z * (h - n)
+        if begins[t]:
+            h = np.where(fresh[t], kind.type(0), h)
         if keep is not None:
-            keep.append((h, z, r, n, u[:, 2 * d :]))
-        h = out[t] = new
-    return out, h
+            rows = [v[t] for v in keep]
+            rows[0][:] = h
+        _, x, u = rows
+        np.matmul(wh, h, out=u)
+        x[:] = xw[ids[t]].T
+        zr, n = x[: 2 * d], x[2 * d :]
+        zr += u[: 2 * d]
+        zr *= 0.5  # the logistic function by tanh, in place
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        n += zr[d:] * u[2 * d :]
+        np.tanh(n, out=n)
+        new = out[t]
+        np.subtract(h, n, out=new)
+        new *= zr[:d]
+        new += n
+        h = new
+    return out.transpose(0, 2, 1), h.T
+
 
+def _softmax(x: np.ndarray, sizes: list[tuple[int, int]], own: np.ndarray, shares: bool) -> np.ndarray:
+    """Log shares at the places `own` (one a column) of blocks of logits that lie in x one behind the other; x is overwritten, with shares if asked. sizes: (rows, columns) of each block."""
+    blocks, at = [], 0
+    for m, n in sizes:
+        blocks.append(x[at : at + m * n].reshape(m, n))
+        at += m * n
+    if x.size and max(x.max(), -x.min()) > 60:  # exponentials might leave the range of single precision
+        for v in blocks:
+            v -= v.max(0)
+    logs = x[own]
+    np.exp(x, out=x)
+    for v, s in zip(blocks, np.split(total := np.empty(len(own), x.dtype), np.cumsum([n for _, n in sizes])[:-1]), strict=True):
+        v.sum(0, out=s)
+        if shares:
+            v /= s
+    return logs - np.log(total)
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+def order(values: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of whole numbers from 0 to most; small ones are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if most < 1 << 16 else values, kind="stable")
 
 
 def output(p: Params, h: np.ndarray, y: np.ndarray, grad: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probabilities of y (the tail: of its class alone), and the loss's slope by h if grad is given (it gets the sums)."""
-    starts = p["starts"]
-    cls = np.searchsorted(starts[1:], y, side="right")  # the tail's id is the last start, so its class is the last
-    row = np.arange(len(y))
-    lc = _log_softmax(h @ p["wc"] + p["bc"])
-    logp = lc[row, cls].astype(np.float64)
+    """Natural log probabilities of y (the tail: of its class alone), and the loss's slope by h if grad is given (it gets the sums).
+
+    Tokens are ordered by class and lie in columns, so that each class is a run of them.
+    """
+    starts, d, h = p["starts"], h.shape[1], h.T
+    cls = np.searchsorted(starts[1:], np.arange(starts[-1] + 1), side="right")[y]  # the tail's id is the last start, so its class is the last
+    by = order(cls, len(starts))
+    cls, y, n = cls[by], y[by], len(y)
+    ht = np.ones((d + 1, n), h.dtype)  # the last row carries the biases
+    np.take(h, by, axis=1, out=ht[:d], mode="clip")
+    wc, wo = np.vstack((p["wc"], p["bc"])), np.vstack((p["wo"], p["bo"]))
+    x, row = wc.T @ ht, np.arange(n)
+    own = cls * n + row
+    logs = _softmax(x.reshape(-1), [x.shape], own, grad is not None).astype(np.float64)
     back = None
     if grad is not None:
-        g = np.exp(lc)
-        g[row, cls] -= 1
-        grad["wc"] += h.T @ g
-        grad["bc"] += g.sum(0)
-        back = g @ p["wc"].T
-    by = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[by], np.arange(len(starts)))
-    for k in range(len(starts) - 1):
-        at = by[cuts[k] : cuts[k + 1]]
-        a, b = starts[k], starts[k + 1]
-        if not len(at) or b - a == 1:
-            continue
-        hk = h[at]
-        lw = _log_softmax(hk @ p["wo"][:, a:b] + p["bo"][a:b])
-        logp[at] += lw[np.arange(len(at)), y[at] - a]
+        x.reshape(-1)[own] -= 1
+        slope = ht @ x.T
+        grad["wc"] += slope[:d]
+        grad["bc"] += slope[d]
+        back = p["wc"] @ x
+    cuts, bounds = np.searchsorted(cls, np.arange(len(starts))).tolist(), starts.tolist()
+    runs = [(i, j, a, b) for i, j, a, b in zip(cuts, cuts[1:], bounds, bounds[1:], strict=False) if i < j]
+    if runs:
+        first = np.cumsum([0] + [(j - i) * (b - a) for i, j, a, b in runs])  # where each class's block of logits lies
+        flat, size = np.empty(first[-1], h.dtype), [j - i for i, j, _, _ in runs]
+        blocks = [flat[at : at + (j - i) * (b - a)].reshape(b - a, j - i) for at, (i, j, a, b) in zip(first.tolist(), runs, strict=False)]
+        for v, (i, j, a, b) in zip(blocks, runs, strict=True):
+            np.matmul(wo[:, a:b].T, ht[:, i:j], out=v)
+        heads = runs[-1][1]  # tail words come behind
+        at, i, a, width = (np.repeat(v, size) for v in (first[:-1], [r[0] for r in runs], [r[2] for r in runs], size))
+        own = at + (y[:heads] - a) * width + row[:heads] - i
+        logs[:heads] += _softmax(flat, [v.shape for v in blocks], own, grad is not None)
         if grad is not None:
-            g = np.exp(lw)
-            g[np.arange(len(at)), y[at] - a] -= 1
-            grad["wo"][:, a:b] += hk.T @ g
-            grad["bo"][a:b] += g.sum(0)
-            back[at] += g @ p["wo"][:, a:b].T
-    return logp, back
+            flat[own] -= 1
+            for v, (i, j, a, b) in zip(blocks, runs, strict=True):
+                slope = ht[:, i:j] @ v.T
+                grad["wo"][:, a:b] += slope[:d]
+                grad["bo"][a:b] += slope[d]
+                back[:, i:j] += p["wo"][:, a:b] @ v
+    logp = np.empty(n)
+    logp[by] = logs
+    if back is None:
+        return logp, None
+    place = np.empty(n, np.int64)
+    place[by] = row
+    return logp, np.take(back, place, axis=1).T
+
+
+def keep_freed() -> None:
+    """Once a block of this size was freed (it is never touched), malloc no longer hands a window's arrays back to the system each time."""
+    np.empty(30 << 20, np.uint8)
+
+
+def columns(out: np.ndarray) -> np.ndarray:
+    """The states that forward() gives as columns, step by step."""
+    return out.transpose(2, 0, 1).reshape(out.shape[2], -1)
 
 
 def backward(p: Params, ids: np.ndarray, fresh: np.ndarray, kept: list, dh_out: np.ndarray, grad: Params) -> None:
     """Through the steps of one window; what came before it is left out."""
-    d = dh_out.shape[2]
-    carry, dx = np.zeros_like(dh_out[0]), np.empty((*ids.shape, 3 * d), np.float32)
+    d, begins = dh_out.shape[2], fresh.any(1).tolist()
+    h, zrn, u = kept
+    z, r, n, dh = zrn[:, :d], zrn[:, d : 2 * d], zrn[:, 2 * d :], dh_out.transpose(0, 2, 1).copy()
+    by_n, by_z, by_r = (1 - z) * (1 - n * n), (h - n) * z * (1 - z), u[:, 2 * d :] * r * (1 - r)  # slopes of all steps at once
+    carry, du, sums = np.zeros_like(dh[0]), np.empty((len(ids), 3 * d, ids.shape[1]), h.dtype), np.zeros_like(grad["wh"])
     for t in range(len(ids) - 1, -1, -1):
-        h, z, r, n, un = kept[t]
-        g = dh_out[t] + carry
-        dn = g * (1 - z) * (1 - n * n)
-        dz = g * (h - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        du = np.concatenate((dz, dr, dn * r), 1)
-        dx[t] = np.concatenate((dz, dr, dn), 1)
-        grad["wh"] += h.T @ du
-        carry = (g * z + du @ p["wh"].T) * ~fresh[t][:, None]
-    flat = dx.reshape(-1, 3 * d)
-    grad["b"] += flat.sum(0)
-    read = ids.ravel()
-    grad["wx"] += p["emb"][read].T @ flat
-    order = np.argsort(read, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], np.diff(read[order]) > 0)))
-    grad["emb"][read[order][edges]] += np.add.reduceat(flat[order], edges, 0) @ p["wx"].T
+        g, at, dn = dh[t], du[t], by_n[t]
+        g += carry
+        dn *= g
+        np.multiply(g, by_z[t], out=at[:d])
+        np.multiply(dn, by_r[t], out=at[d : 2 * d])
+        np.multiply(dn, r[t], out=at[2 * d :])
+        sums += h[t] @ at.T
+        carry = p["wh"] @ at
+        g *= z[t]
+        carry += g
+        if begins[t]:
+            carry *= ~fresh[t]
+    grad["wh"] += sums
+    du[:, 2 * d :] = by_n  # what reaches the gates' inputs
+    flat, read = du.transpose(1, 0, 2).reshape(3 * d, -1), ids.ravel()
+    grad["b"] += flat.sum(1)
+    grad["wx"] += np.take(np.ascontiguousarray(p["emb"].T), read, axis=1) @ flat.T
+    by = order(read, len(p["emb"]))
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(read[by]) > 0)))
+    grad["emb"][read[by[edges]]] += np.add.reduceat(np.take(p["wx"] @ flat, by, axis=1), edges, 1).T
 
 
 class Lanes:
@@ -152,54 +219,93 @@ def score(p: Params, texts: list[np.ndarray], end: int) -> np.ndarray:
     total = np.zeros(len(texts))
     if not texts:
         return total
+    keep_freed()
     lanes = Lanes(texts, LANES, end)
     xw = p["emb"] @ p["wx"] + p["b"]
     h = np.zeros((lanes.width, p["emb"].shape[1]), np.float32)
-    for t in range(0, lanes.steps, WINDOW):
-        x, y, fresh, whose = lanes.window(t, WINDOW)
+    t = 0
+    while t < lanes.steps:  # where few lanes go on, windows are longer, so that each has about as many tokens
+        steps = max(WINDOW, WINDOW * LANES // max(1, int((lanes.sizes > t).sum())))
+        x, y, fresh, whose = lanes.window(t, steps)
+        t += steps
         out, h = forward(p, xw, x, fresh, h[: x.shape[1]])
-        on = whose.ravel() >= 0
-        logp, _ = output(p, out.reshape(-1, h.shape[1])[on], y.ravel()[on])
+        on, flat = whose.ravel() >= 0, columns(out)
+        logp, _ = output(p, (flat if on.all() else flat[:, on]).T, y.ravel()[on])
         total += np.bincount(whose.ravel()[on], weights=logp, minlength=len(texts))
     return total
 
 
+def stream(texts: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one behind the other, cut into `width` lanes of like length wherever that is: what is read, what is to come, where texts begin, what is there.
+
+    So all windows but the last are full, however long one text is. A lane that begins within a text starts without a state.
+    """
+    y = np.concatenate(texts).astype(np.int32, copy=False)
+    width = max(1, min(width, len(y) // (32 * WINDOW)))  # few texts still give some windows
+    steps = -(-len(y) // width)
+    first = np.zeros(steps * width, bool)
+    first[np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]] = True
+    there = np.arange(steps * width) < len(y)
+    y = np.concatenate((y, np.full(steps * width - len(y), end, np.int32)))
+    x = np.concatenate(([end], y[:-1])).astype(np.int32)
+    x[first] = end  # a text's first word is read after an end
+    return tuple(np.ascontiguousarray(v.reshape(width, steps).T) for v in (x, y, first, there))
+
+
 class Trainer:
-    """Adam over windows; the state goes on from one window to the next."""
+    """Adam over windows; the state goes on from one window to the next. Weights, their slopes and moments lie in one vector each, p and grad are views."""
 
     def __init__(self, params: Params, rate: float = 0.004) -> None:
-        self.p = {k: v.copy() for k, v in params.items()}
+        names = [k for k in params if k != "starts"]
+        self.flat = np.concatenate([params[k].ravel() for k in names])
+        self.slope, self.m, self.v, self.held = (np.zeros_like(self.flat) for _ in range(4))
+        self.p, self.grad, at = {"starts": params["starts"].copy()}, {}, 0
+        for k in names:
+            for views, base in ((self.p, self.flat), (self.grad, self.slope)):
+                views[k] = base[at : at + params[k].size].reshape(params[k].shape)
+            at += params[k].size
         self.rate, self.steps, self.tokens = rate, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in self.p.items() if k != "starts"}
-        self.v = {k: np.zeros_like(v) for k, v in self.p.items() if k != "starts"}
 
     def learn(self, texts: list[np.ndarray], end: int) -> float:
         """One pass; the mean loss."""
         if not texts:
             return 0.0
-        lanes = Lanes(texts, LANES // 2, end)
-        h, loss = np.zeros((lanes.width, self.p["emb"].shape[1]), np.float32), 0.0
-        for t in range(0, lanes.steps, WINDOW):
-            p, kept = self.p, []
-            x, y, fresh, whose = lanes.window(t, WINDOW)
-            on = whose.ravel() >= 0
-            out, h = forward(p, p["emb"] @ p["wx"] + p["b"], x, fresh, h[: x.shape[1]], kept)
-            grad = {k: np.zeros_like(v) for k, v in self.m.items()}
-            flat = out.reshape(-1, h.shape[1])
-            logp, back = output(p, flat[on], y.ravel()[on], grad)
-            dh = np.zeros_like(flat)
-            dh[on] = back
-            backward(p, x, fresh, kept, dh.reshape(out.shape), grad)
-            self._step(grad, WINDOW * lanes.width)  # windows with few texts left weigh little
+        keep_freed()
+        xs, ys, firsts, there = stream(texts, LANES, end)
+        p, d, loss = self.p, self.p["emb"].shape[1], 0.0
+        h = np.zeros((xs.shape[1], d), np.float32)
+        for t in range(0, len(xs), WINDOW):
+            x, y, fresh, on = (v[t : t + WINDOW] for v in (xs, ys, firsts, there))
+            kept: list = []
+            out, h = forward(p, p["emb"] @ p["wx"] + p["b"], x, fresh, h, kept)
+            self.slope[:] = 0
+            flat, on = columns(out), on.ravel()
+            if on.all():
+                logp, dh = output(p, flat.T, y.ravel(), self.grad)
+            else:
+                logp, back = output(p, flat[:, on].T, y.ravel()[on], self.grad)
+                dh = np.zeros_like(flat).T
+                dh[on] = back
+            backward(p, x, fresh, kept, dh.T.reshape(d, *x.shape).transpose(1, 2, 0), self.grad)
+            self._step(WINDOW * xs.shape[1])  # a short last window weighs little
             loss -= logp.sum()
             self.tokens += int(on.sum())
-        return loss / max(1, len(lanes.y))
+        return loss / max(1, int(there.sum()))
 
-    def _step(self, grad: Params, n: int) -> None:
+    def _step(self, n: int) -> None:
         self.steps += 1
-        a, b = 1 - 0.9**self.steps, 1 - 0.99**self.steps
-        for k, g in grad.items():
-            g = g / np.float32(n)
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            self.p[k] -= np.float32(self.rate / a) * self.m[k] / (np.sqrt(self.v[k] / np.float32(b)) + np.float32(1e-6))
+        a, b, g, held = 1 - 0.9**self.steps, 1 - 0.99**self.steps, self.slope, self.held
+        g *= np.float32(1 / n)
+        self.m *= np.float32(0.9)
+        np.multiply(g, np.float32(0.1), out=held)
+        self.m += held
+        self.v *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        self.v += g
+        np.multiply(self.v, np.float32(1 / b), out=held)
+        np.sqrt(held, out=held)
+        held += np.float32(1e-6)
+        np.divide(self.m, held, out=held)
+        held *= np.float32(self.rate / a)
+        self.flat -= held

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,34 +67,40 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Scorer:
-    """What a task needs: the network, head ids and counts of the frequent words."""
+    """What a task needs: the network, head ids and counts of the frequent words. Words have ranks: the head's ids first, then the other frequent words."""
 
     def __init__(self, params: gru.Params, head: list[bytes], known: dict[bytes, int]) -> None:
-        self.params, self.head, self.known = params, {w: k for k, w in enumerate(head)}, known
+        self.params, self.head = params, {w: k for k, w in enumerate(head)}
+        self.rank = self.head | {w: k for k, w in enumerate((w for w in known if w not in self.head), len(head))}
+        self.logs = np.log10([known.get(w, 0) + 1.0 for w in self.rank])
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """The rank of each word (-1: none) and of the end."""
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
+        out[-1] = self.head[END]
+        return out
 
     def ids(self, words: list[bytes]) -> np.ndarray:
+        return self.heads(self.ranks(words))
+
+    def heads(self, ranks: np.ndarray) -> np.ndarray:
         tail = len(self.head)
-        return np.array([*map(self.head.get, words, [tail] * len(words)), self.head[END]], np.int32) if words else np.array([self.head[END]], np.int32)
+        return np.where(ranks < 0, tail, np.minimum(ranks, tail)).astype(np.int32, copy=False)
 
     def rows(self, texts: list[bytes | None]) -> Iterator[tuple]:
         """For each text: tokens, known ones, their sum of log10(c + 1), that of tail words alone, the network's log10, tail tokens, and the words to look up."""
-        ids, found = [], []
+        ids, found, tail = [], [], len(self.head)
         for t in texts:  # words are held of one text at a time
             words = (t or b"").lower().split()
-            ids.append(self.ids(words))
-            n_known, all_logs, tail_logs, rare = 1, math.log10(self.known[END] + 1), 0.0, {}
-            for w, k in Counter(words).items():
-                if (c := self.known.get(w)) is None:
-                    rare[w] = k
-                else:
-                    n_known += k
-                    all_logs += k * math.log10(c + 1)
-                    if w not in self.head:
-                        tail_logs += k * math.log10(c + 1)
-            found.append((len(words) + 1, n_known, all_logs, tail_logs, rare))
+            ranks = self.ranks(words)
+            ids.append(self.heads(ranks))
+            rare = Counter([words[k] for k in np.flatnonzero(ranks < 0).tolist()])
+            logs = self.logs[ranks[ranks >= 0]]
+            found.append((len(ranks), len(logs), float(logs.sum()), float(self.logs[ranks[ranks >= tail]].sum()), rare))
         logs = gru.score(self.params, ids, self.head[END]) / math.log(10)
         for (n, n_known, all_logs, tail_logs, rare), i, net in zip(found, ids, logs.tolist(), strict=True):
-            yield n, n_known, all_logs, tail_logs, net, int((i == len(self.head)).sum()), rare
+            yield n, n_known, all_logs, tail_logs, net, int((i == tail).sum()), rare
 
 
 def train_on_all(rows: DataFrame, tokens: int, light: Scorer, start: gru.Params, shard: int, pieces: int = 16) -> gru.Params:
@@ -116,7 +122,7 @@ def train_on_all(rows: DataFrame, tokens: int, light: Scorer, start: gru.Params,
         ids, k = [np.frombuffer(r[1], kind).astype(np.int32) for r in texts], x.column("shard")[0].as_py()
         trainer, order = gru.Trainer(start), np.random.default_rng(k).permutation(len(ids))
         for at in range(0, len(order), 1024):
-            trainer.rate = 0.006 * (1 - 0.9 * at / len(order))
+            trainer.rate = 0.018 * (1 - 0.9 * at / len(order))
             trainer.learn([ids[i] for i in order[at : at + 1024]], end)
         flat = np.array_split(np.concatenate([trainer.p[n].ravel() for n in names]).astype("<f4"), pieces)
         return pa.table({"piece": pa.array(range(pieces), pa.int32()), "shard": pa.array([k] * pieces, pa.int64()), "n": pa.array([trainer.tokens] * pieces, pa.int64()), "w": pa.array([v.tobytes() for v in flat], pa.binary())})
@@ -172,7 +178,7 @@ def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", head: int
     def fit(got: list[tuple]) -> gru.Params:
         trainer, texts = gru.Trainer(start), [light.ids((r[1] or "").encode().lower().split()) for r in got]
         rng = np.random.default_rng(1)
-        for trainer.rate in (0.01, 0.006, 0.002):
+        for trainer.rate in (0.03, 0.018, 0.006):
             order = rng.permutation(len(texts))
             for k in range(0, len(order), 1024):
                 trainer.learn([texts[i] for i in order[k : k + 1024]], light.head[END])

@@ -73,6 +73,23 @@ def test_scores_do_not_depend_on_company():
     assert np.allclose(together, [gru.score(p, [t], 0)[0] for t in texts], atol=1e-3)
 
 
+def test_one_long_text_does_not_thin_out_the_windows(monkeypatch):
+    """Work follows the tokens: windows are full in training, and in scoring those with few lanes are longer."""
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(0, 61, n), 0) for n in [20_000, *[100] * 3000]]
+    p, tokens = gru.init(np.arange(60, 0, -1.0), 9.0, 8, 6), sum(map(len, texts))
+    trainer = gru.Trainer(p)
+    trainer.learn(texts, 0)
+    assert trainer.tokens == tokens and trainer.steps <= 2 * (tokens // (gru.WINDOW * gru.LANES) + 32)
+    calls, output = [], gru.output
+    monkeypatch.setattr(gru, "output", lambda *a: calls.append(len(a[2])) or output(*a))
+    gru.score(p, texts, 0)
+    assert sum(calls) == tokens and len(calls) <= 3 * (tokens // (gru.WINDOW * gru.LANES) + 1)
+    x, y, first, there = gru.stream(texts, 7, 0)
+    assert there.sum() == tokens and first.sum() == len(texts) and (x[first] == 0).all()
+    assert (y.T.ravel()[:tokens] == np.concatenate(texts)).all()
+
+
 def test_network_learns_from_rows_outside_the_first_sample(spark):
     """Only rows that the first sample leaves out hold a cycle of words: a held-out cycle is foreseen all the same, whatever the partitions are."""
     rng, n, sample = np.random.default_rng(3), 2000, 20
