@@ -129,11 +129,45 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words, lower-cased (A-Z) and split at blanks, of all texts, and where each text's begin (and the last's end)."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     words, ends = pc.list_flatten(split), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))
-    coded = words.dictionary_encode()
-    digest = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
     full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at the ends give empty words
     starts = np.concatenate(([0], np.cumsum(full)))[ends.astype(np.int64)]
-    return digest[coded.indices.to_numpy(zero_copy_only=False)[full]] if len(digest) else digest, starts
+    return xxh64(words)[full], starts
+
+
+def xxh64(words: pa.Array) -> np.ndarray:
+    """XXH64 (seed 0) of each string of a string array without nulls; those under 32 bytes by columns, all of one length at once."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, sizes, out = np.frombuffer(data or b"", np.uint8), np.diff(at), np.zeros(len(words), np.uint64)
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    by = np.argsort(np.minimum(sizes, 32).astype(np.uint8), kind="stable")
+    for size, rows in enumerate(np.split(by, np.searchsorted(sizes[by], np.arange(1, 33)))):
+        if not len(rows):
+            continue
+        if size == 32:
+            out[rows] = [xxhash.xxh64_intdigest(data[at[k] : at[k + 1]].tobytes()) for k in rows.tolist()]
+            continue
+        read, h, k = data[at[rows][:, None] + np.arange(size)], np.full(len(rows), p5 + np.uint64(size)), 0
+        while k + 8 <= size:
+            h ^= turned(np.ascontiguousarray(read[:, k : k + 8]).view("<u8")[:, 0] * p2, 31) * p1
+            h = turned(h, 27) * p1 + p4
+            k += 8
+        if k + 4 <= size:
+            h ^= np.ascontiguousarray(read[:, k : k + 4]).view("<u4")[:, 0].astype(np.uint64) * p1
+            h = turned(h, 23) * p2 + p3
+            k += 4
+        for j in range(k, size):
+            h ^= read[:, j].astype(np.uint64) * p5
+            h = turned(h, 11) * p1
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        out[rows] = h ^ (h >> np.uint64(32))
+    return out
 
 
 def shingles_of(words: np.ndarray, starts: np.ndarray, width: int = 5) -> np.ndarray:

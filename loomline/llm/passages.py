@@ -14,6 +14,7 @@ group is ever paired with itself.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,12 +64,12 @@ def compact_windows(h: np.ndarray, least: int, longest: int | None = None) -> tu
     l, r, v = c.copy(), c.copy(), h[c]
     for k in range(len(levels) - 1, -1, -1):
         size, x = 1 << k, levels[k]
-        right = r + size < n
-        right[right] = x[(r[right] + 1)] >= v[right] if right.any() else False
-        r[right] += size
-        left = l - size >= 0
-        left[left] = x[l[left] - size] > v[left] if left.any() else False
-        l[left] -= size
+        right = x.take(r + 1, mode="clip") >= v
+        right &= r + size < n
+        r += right * size
+        left = x.take(l - size, mode="clip") > v
+        left &= l >= size
+        l -= left * size
     whole = r - l + 1 >= least
     return l[whole], c[whole], r[whole]
 
@@ -106,19 +107,33 @@ def _edge(mine: np.ndarray, theirs: np.ndarray) -> int:
     return best
 
 
-def shared_spans(h: np.ndarray, other: np.ndarray, passage: int, gap: int = 10, words: np.ndarray | None = None, others: np.ndarray | None = None) -> list[tuple[int, int]]:
+def ordered(other: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shingles in order, where each is, and whether any repeats; made once of a text that is compared with many."""
+    order = np.argsort(other, kind="stable")
+    values = other[order]
+    return values, order, bool((values[1:] == values[:-1]).any())
+
+
+def places(h: np.ndarray, index: tuple[np.ndarray, np.ndarray, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the other text has each shingle of h, and where first."""
+    values, order, _ = index
+    if not len(values):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    return values[at] == h, order[at]
+
+
+def shared_spans(h: np.ndarray, other: np.ndarray, passage: int, gap: int = 10, words: np.ndarray | None = None, others: np.ndarray | None = None, index: tuple | None = None, known: tuple | None = None) -> list[tuple[int, int]]:
     """(first, last) runs of at least `passage` shingles of h of which at least ALIKE are found in one place of other.
 
     Runs of shared shingles join over gaps of at most `gap` (an edited word spoils five). If what is joined shares
     too little, its parts count for themselves. With the words of both, a run also holds equal words beyond an edited
-    one near its ends, too few for a shingle.
+    one near its ends, too few for a shingle. index: ordered(other), known: places(h, index), if they are there already.
     """
-    order = np.argsort(other, kind="stable")
-    at = np.searchsorted(other, h, sorter=order)
-    there = order[np.minimum(at, len(other) - 1)] if len(other) else at
-    found = other[there] == h if len(other) else np.zeros(len(h), bool)
+    index = index or ordered(other)
+    found, there = known or places(h, index)
     hit = np.flatnonzero(found)
-    if len(hit) and (other[order[1:]] == other[order[:-1]]).any():  # shingles that repeat there: go on where the one before was found
+    if len(hit) and index[2]:  # shingles that repeat there: go on where the one before was found
         place, end, before = there.tolist(), len(other), -2
         values, theirs = h.tolist(), other.tolist()
         for k, ok in enumerate(found.tolist()):
@@ -189,19 +204,18 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(passage: int):
     """For each pair the passages shared (key null), and where the runs around the signatures end: shingles of doc_id that `of` lacks, each a key to be matched by (first: the signature's centre)."""
 
-    def ends(h: np.ndarray, other: np.ndarray, at: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool, int]]:
-        lacks = np.flatnonzero(~np.isin(h, other))
-        done = set()
+    def ends(found: np.ndarray, at: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool, int]]:
+        lacks, n, done = np.flatnonzero(~found).tolist(), len(found), set()
         for c in at:
-            k = int(np.searchsorted(lacks, c))
-            if c >= len(h) or (k < len(lacks) and lacks[k] == c) or k in done:
+            k = bisect_left(lacks, c)
+            if c >= n or (k < len(lacks) and lacks[k] == c) or k in done:
                 continue
             done.add(k)
             fail = not any(s <= c <= e for s, e in spans)
-            for side, edge, step in ((0, lacks[k - 1] if k else -1, -WORDS), (1, lacks[k] if k < len(lacks) else len(h), WORDS)):
+            for side, edge, step in ((0, lacks[k - 1] if k else -1, -WORDS), (1, lacks[k] if k < len(lacks) else n, WORDS)):
                 for p in (edge, edge + step):
-                    if 0 <= p < len(h) and (p == edge or lacks[min(np.searchsorted(lacks, p), len(lacks) - 1)] == p):
-                        yield int(p), side, fail, c
+                    if 0 <= p < n and (p == edge or not found[p]):
+                        yield p, side, fail, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts(batches, most=1 << 22, column=3):
@@ -212,13 +226,14 @@ def _verified(passage: int):
             rows[which[::-1]] = np.arange(len(which))[::-1]
             mine, b = word_hashes(x.column(3))
             theirs, a = word_hashes(x.column(4).take(pa.array(rows)))
-            split = lambda w, s: [(w[p:q], shingles_of(w[p:q], np.array([0, q - p]))[: max(0, q - p - WORDS + 1)]) for p, q in zip(s, s[1:], strict=False)]
-            others, found, more = split(theirs, a), [], []
+            split = lambda w, s: [(w[p:q], v[p : max(p, q - WORDS + 1)]) for v in [shingles_of(w, s)] for p, q in zip(s.tolist(), s[1:].tolist(), strict=False)]
+            others, found, more = [(w, h, ordered(h)) for w, h in split(theirs, a)], [], []
             for n, (i, d, (w, h), cs, k) in enumerate(zip(ids, of.to_pylist(), split(mine, b), at, which.tolist(), strict=True)):
-                wo, other = others[k]
-                spans = shared_spans(h, other, passage, words=w, others=wo)
+                wo, other, index = others[k]
+                known = places(h, index)
+                spans = shared_spans(h, other, passage, words=w, others=wo, index=index, known=known)
                 found += [(i, d, s, e + WORDS - 1, n) for s, e in spans]
-                more += [(i, d, p, fail, h[p], side, c) for p, side, fail, c in ends(h, other, sorted(cs), spans)]
+                more += [(i, d, p, fail, h[p], side, c) for p, side, fail, c in ends(known[0], sorted(cs), spans)]
             f, m = (list(zip(*z, strict=True)) or [()] * 7 for z in (found, more))
             if found:
                 digest = pa.array(digests(x.column(3).take(pa.array(f[4]))), pa.int64())

@@ -3,7 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
+from loomline.llm import passages
+from loomline.llm.common import word_hashes
 from loomline.llm.passages import compact_windows, cut, drop_shared_passages, keys, passage_classes, shared_passages, shared_spans, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, root string"
@@ -156,3 +160,24 @@ def test_edited_short_passages(spark):
     df = spark.createDataFrame([(k, t, "en", "s", 1, "clash", "clash") for k, t in texts.items()], SCHEMA)
     got = {(r.doc_id, r.of) for r in shared_passages(df).collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_words_are_hashed_by_columns(monkeypatch):
+    words = ["a", "é", "Ab", "x" * 7, "y" * 8, "z" * 13, "long" * 8, "w" * 31, "v" * 90]
+    want = [xxhash.xxh64_intdigest(w.lower().encode()) for w in words]
+    calls, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *a, **k: calls.append(a) or digest(*a, **k))
+    got, starts = word_hashes(pa.array(["skipped", " " + " \n".join(words) + " ", None, "", "a"])[1:])
+    assert got.tolist() == [*want, want[0]] and starts.tolist() == [0, 9, 9, 9, 10] and len(calls) == 2  # the two of 32 bytes or more
+
+
+def test_a_first_text_is_put_in_order_once(monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shared = words(60)
+    first, others = " ".join(words(30) + shared), [" ".join(words(k) + shared + words(9)) for k in range(50)]
+    calls, ordered = [], passages.ordered
+    monkeypatch.setattr(passages, "ordered", lambda h: calls.append(len(h)) or ordered(h))
+    rows = pa.record_batch([pa.array(range(1, 51)), pa.array([0] * 50), pa.array([[k + 20] for k in range(50)], pa.list_(pa.int32())), pa.array(others), pa.array([first] * 50)], names=["doc_id", "of", "at", "text_b", "text_a"])
+    got = [r for x in passages._verified(46)(iter([rows])) for r in x.to_pylist() if r["key"] is None]
+    assert [(r["doc_id"], r["first"], r["last"]) for r in got] == [(k + 1, k, k + 59) for k in range(50)] and len(calls) == 1
