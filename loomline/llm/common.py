@@ -94,9 +94,15 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """run; a Python worker gives the memory it has freed back to the system at the end of its task, as it may stay and do nothing while others work."""
+    """run; a Python worker gives the memory it has freed back to the system at the end of its task, as it may stay and do nothing while others work.
+
+    What a worker has loaded before its first task stays as long as the worker: it is frozen, else this collection and
+    the worker's own go through all of it after every task, for longer than a small task itself takes.
+    """
 
     def wrapped(batches: Batches) -> Batches:
+        if not gc.get_freeze_count():
+            gc.freeze()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MUL, drop_written, frugal, mixed, parts, shingles_of, shuffle_partitions, without, word_hashes, written
@@ -30,6 +30,7 @@ WORDS = 5
 SIGNATURES = 3
 SLACK = 6  # an inserted or deleted word must leave room for a window
 ALIKE = 0.8
+FEW = 1 << 12  # so many pairs, of few bytes each, are sent to the texts instead of the texts to them
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -259,7 +260,7 @@ def shared_passages(docs: DataFrame, words: int = 50) -> DataFrame:
     Exact passages, and those that share at least four fifths of their five-word shingles in one place. Each document is matched under each
     signature with the first document; where that fails for one that has found no other there, all that go on alike beyond what the first one has are matched with the first of them,
     and so on until none is left. Rows without an id or a text take no part; of rows that share an id the one with the
-    least text counts. Texts are whole. Joins are merge joins at every size: neither pairs nor texts have a bound for a broadcast.
+    least text counts. Texts are whole. Joins are merge joins, as neither pairs nor texts have a bound for a broadcast; only a later step of FEW pairs or less broadcasts them.
     """
     return _shared(docs, words).drop("digest")
 
@@ -269,29 +270,36 @@ def _shared(docs: DataFrame, words: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     passage, n = words - WORDS + 1, shuffle_partitions(spark)
-    open_ends = rows.mapInArrow(frugal(_keyed(passage)), "key long, doc_id long, at int")
-    found, texts = None, rows
+    keyed = rows.mapInArrow(frugal(_keyed(passage)), "key long, doc_id long, at int")
+    matched = keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(frugal(_matched), "doc_id long, of long, at int")
+    found, texts, small = None, rows, False
     while True:
-        matched = open_ends.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(frugal(_matched), "doc_id long, of long, at int")
         pairs = written(matched.groupBy("doc_id", "of").agg(F.collect_set("at").alias("at")))
-        if found is not None and pairs.isEmpty():
+        size = pairs.agg(F.count("*"), F.sum(F.size("at"))).first()
+        if found is not None and not size[0]:
             drop_written(texts)
             drop_written(pairs)
             return found
-        ids = pairs.select("doc_id").unionAll(pairs.select("of")).distinct()
-        before, texts = texts, written(texts.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-        if found is not None:  # in the first step they are the input
-            drop_written(before)
-        sides = pairs.join(texts.withColumnRenamed("text", "text_b").hint("merge"), "doc_id").join(texts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")).hint("merge"), "of")
+        few = found is not None and sum(size) <= 2 * FEW
+        if not (few and small):  # a later step has no documents that the one before had not
+            ids = pairs.select("doc_id").unionAll(pairs.select("of"))
+            picked = texts.join(F.broadcast(ids) if few else ids.distinct().hint("merge"), "doc_id", "left_semi")
+            before, texts, small = texts, written(picked if found is not None else picked.groupBy("doc_id").agg(F.min("text").alias("text"))), few
+            if found is not None:  # in the first step they are the input
+                drop_written(before)
+        mine = texts.withColumnRenamed("text", "text_b")
+        sides = mine.join(F.broadcast(pairs), "doc_id") if few else pairs.join(mine.hint("merge"), "doc_id")
+        firsts = texts.join(F.broadcast(pairs.select(F.col("of").alias("doc_id"))), "doc_id", "left_semi") if few else texts
+        sides = sides.join(firsts.select(F.col("doc_id").alias("of"), F.col("text").alias("text_a")).hint("merge"), "of")
         made = written(sides.select("doc_id", "of", "at", "text_b", "text_a").mapInArrow(frugal(_verified(passage)), "doc_id long, of long, first long, last long, key long, at int, fail boolean, digest long"))
         drop_written(pairs)
         new = made.where("key is null").select("doc_id", "of", "first", "last", "digest")
         found = new if found is None else found.unionAll(new)
-        ends = made.where("key is not null")
         spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
         alone = F.col("spans").isNull() | ~F.exists("spans", lambda p: (p["first"] <= F.col("first")) & (F.col("first") <= p["last"]))
-        failed = ends.where("fail").join(spans.hint("merge"), "doc_id", "left").where(alone).select("key").distinct()
-        open_ends = ends.join(failed.hint("merge"), "key", "left_semi").select("key", "doc_id", "at")
+        ends = made.where("key is not null").join(spans.hint("merge"), "doc_id", "left").select("key", "doc_id", "at", (F.col("fail") & alone).alias("fail"))
+        alike = Window.partitionBy("key")
+        matched = ends.select("doc_id", F.min("doc_id").over(alike).alias("of"), "at", F.max("fail").over(alike).alias("fail")).where("fail and doc_id <> of")
 
 
 def passage_classes(docs: DataFrame, words: int = 50) -> DataFrame:

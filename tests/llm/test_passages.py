@@ -1,5 +1,6 @@
 """Compact windows and shared passages against brute force."""
 
+import gc
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import xxhash
 
 from loomline.llm import passages
-from loomline.llm.common import word_hashes
+from loomline.llm.common import frugal, word_hashes
 from loomline.llm.passages import compact_windows, cut, drop_shared_passages, keys, passage_classes, shared_passages, shared_spans, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, root string"
@@ -181,3 +182,29 @@ def test_a_first_text_is_put_in_order_once(monkeypatch):
     rows = pa.record_batch([pa.array(range(1, 51)), pa.array([0] * 50), pa.array([[k + 20] for k in range(50)], pa.list_(pa.int32())), pa.array(others), pa.array([first] * 50)], names=["doc_id", "of", "at", "text_b", "text_a"])
     got = [r for x in passages._verified(46)(iter([rows])) for r in x.to_pylist() if r["key"] is None]
     assert [(r["doc_id"], r["first"], r["last"]) for r in got] == [(k + 1, k, k + 59) for k in range(50)] and len(calls) == 1
+
+
+def test_later_steps_leave_the_texts_where_they_are(spark, monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    hot, shared = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("h", 45), ("s", 70)))  # the first is too short for a passage: all that share it fail, step by step
+    bits = lambda k: " ".join(f"b{i}{k >> i & 1}" for i in range(4))
+    texts = {k: f"{words(60)} {hot} {bits(k)} {words(60)}" for k in range(30)} | {30 + k: f"{words(30)} {hot} {shared if k % 2 else words(60)}" for k in range(10)}
+    df = spark.createDataFrame([(k, t, "en", "s", 1, "clash", "clash") for k, t in texts.items()], SCHEMA)
+    made, written = [], passages.written
+    monkeypatch.setattr(passages, "written", lambda x: made.append(x.columns) or written(x))
+    got, writes = sorted(map(tuple, shared_passages(df).collect())), list(made)
+    assert {r[0] for r in got} == {33, 35, 37, 39} and len([x for x in writes if "key" in x]) > 2
+    assert len([x for x in writes if x == ["doc_id", "text"]]) <= 2  # of all pairs, and once of the few that are left
+    made.clear()
+    monkeypatch.setattr(passages, "FEW", 0)
+    assert sorted(map(tuple, shared_passages(df).collect())) == got and len(made) > len(writes)
+
+
+def test_workers_do_not_go_through_what_they_loaded_after_each_task(spark):
+    def run(batches):
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([gc.get_freeze_count()])], names=["n"])
+
+    assert spark.range(8, numPartitions=4).mapInArrow(frugal(run), "n long").where("n = 0").count() == 0
