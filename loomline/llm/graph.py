@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, frugal, written
@@ -52,12 +52,19 @@ def stars(forest: Forest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([forest.find(x) for x in part], pa.int64()), pa.array(part, pa.int64())], names=["a", "b"])
 
 
+def _least(pairs: DataFrame, key: str, other: str) -> DataFrame:
+    """pairs once each, with m, the least `other` of their key; rows are dealt by key and sorted once, a key's are never held together."""
+    rows = Window.partitionBy(key).orderBy(other)
+    found = pairs.select(key, other, F.first(other).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("m"), F.lag(other).over(rows).alias("before"))
+    return found.where(F.col("before").isNull() | (F.col("before") < F.col(other))).drop("before")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the component's smallest node.
 
     Each round is a large-star and a small-star step (linear in the edges, no pairs within a
-    neighbourhood); it ends when every edge leads from a node to its root. Each round's edges are
-    written to the shared folder, so that lineage doesn't grow and a lost executor costs one round.
+    neighbourhood), each of which deals its edges out once; an edge that a round makes twice is one in the next, and rows never grow in number.
+    It ends when every edge leads from a node to its root. Each round's edges are written to the shared folder, so that lineage doesn't grow and a lost executor costs one round.
     contracted: the tasks that made the edges have passed them through contract(). Null ends and loops are left out. An empty table gives an empty result.
     """
     e = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a is not null and b is not null and a < b")
@@ -69,10 +76,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, contracted: bo
             break
         before = now
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        large = _least(both, "u", "v").where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b"))
+        small = _least(large, "b", "a").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
         old, e = e, written(small)
         drop_written(old)
     else:
