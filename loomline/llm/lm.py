@@ -66,11 +66,12 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(eighth >= low) if low is not None else counts.limit(0)
 
 
-class Scorer:
-    """What a task needs: the network, head ids and counts of the frequent words. Words have ranks: the head's ids first, then the other frequent words."""
+class Coder:
+    """What a task needs to split texts: head ids and counts of the frequent words. Words have ranks: the head's ids first, then the other frequent words."""
 
-    def __init__(self, params: gru.Params, head: list[bytes], known: dict[bytes, int]) -> None:
-        self.params, self.head = params, {w: k for k, w in enumerate(head)}
+    def __init__(self, head: list[bytes], known: dict[bytes, int]) -> None:
+        self.head = {w: k for k, w in enumerate(head)}
+        self.kind = np.dtype("<u2" if len(head) < 1 << 16 else "<i4")
         self.rank = self.head | {w: k for k, w in enumerate((w for w in known if w not in self.head), len(head))}
         self.logs = np.log10([known.get(w, 0) + 1.0 for w in self.rank])
 
@@ -88,38 +89,31 @@ class Scorer:
         tail = len(self.head)
         return np.where(ranks < 0, tail, np.minimum(ranks, tail)).astype(np.int32, copy=False)
 
-    def rows(self, texts: list[bytes | None]) -> Iterator[tuple]:
-        """For each text: tokens, known ones, their sum of log10(c + 1), that of tail words alone, the network's log10, tail tokens, and the words to look up."""
-        ids, found, tail = [], [], len(self.head)
-        for t in texts:  # words are held of one text at a time
-            words = (t or b"").lower().split()
-            ranks = self.ranks(words)
-            ids.append(self.heads(ranks))
-            rare = Counter([words[k] for k in np.flatnonzero(ranks < 0).tolist()])
-            logs = self.logs[ranks[ranks >= 0]]
-            found.append((len(ranks), len(logs), float(logs.sum()), float(self.logs[ranks[ranks >= tail]].sum()), rare))
-        logs = gru.score(self.params, ids, self.head[END]) / math.log(10)
-        for (n, n_known, all_logs, tail_logs, rare), i, net in zip(found, ids, logs.tolist(), strict=True):
-            yield n, n_known, all_logs, tail_logs, net, int((i == tail).sum()), rare
-
-
-def train_on_all(rows: DataFrame, tokens: int, light: Scorer, start: gru.Params, shard: int, pieces: int = 16) -> gru.Params:
-    """The weights after every row of rows(doc_id, text), `tokens` tokens in all: the mean over shards of about `shard` tokens, each trained from start in a task of its own.
-
-    Head ids are dealt out, not texts. Shards go by a hash of the row and are sorted, so that the weights are the same however
+    def row(self, text: bytes | None) -> tuple:
+        """A text's head ids, tokens, known ones, their sum of log10(c + 1), that of tail words alone, tail tokens, and the words to look up with their numbers."""
+        words, tail = (text or b"").lower().split(), len(self.head)
+        ranks = self.ranks(words)
+        ids, known = self.heads(ranks), ranks[ranks >= 0]
+        rare = Counter([words[k] for k in np.flatnonzero(ranks < 0).tolist()])
+        logs = self.logs[known]
+        return ids.astype(self.kind).tobytes(), len(ranks), len(logs), float(logs.sum()), float(logs[known >= tail].sum()), int((ids == tail).sum()), list(rare), list(rare.values())
+
+    def back(self, ids: bytes) -> np.ndarray:
+        return np.frombuffer(ids, self.kind).astype(np.int32)
+
+
+def train_on_all(rows: DataFrame, tokens: int, coder: Coder, start: gru.Params, shard: int, pieces: int = 16) -> gru.Params:
+    """The weights after every row of rows(doc_id, h, ids), `tokens` tokens in all: the mean over shards of about `shard` tokens, each trained from start in a task of its own.
+
+    Head ids are dealt out, not texts. Shards go by h, a hash of the row, and are sorted, so that the weights are the same however
     rows arrive. Weights are averaged in pieces, each a task's, in which one shard's is held at a time.
     """
     names = sorted(k for k in start if k != "starts")
-    shards, end, kind = -(-tokens // shard), light.head[END], np.dtype("<u2" if len(light.head) < 1 << 16 else "<i4")
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in parts(batches, column=2):
-            ids = [light.ids((t or b"").lower().split()).astype(kind).tobytes() for t in x.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+    shards, end, back = -(-tokens // shard), coder.head[END], coder.back
 
     def trained(x: pa.Table) -> pa.Table:
         texts = sorted(zip(x.column("doc_id").to_pylist(), x.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        ids, k = [np.frombuffer(r[1], kind).astype(np.int32) for r in texts], x.column("shard")[0].as_py()
+        ids, k = [back(r[1]) for r in texts], x.column("shard")[0].as_py()
         trainer, order = gru.Trainer(start), np.random.default_rng(k).permutation(len(ids))
         for at in range(0, len(order), 1024):
             trainer.rate = 0.018 * (1 - 0.9 * at / len(order))
@@ -136,7 +130,7 @@ def train_on_all(rows: DataFrame, tokens: int, light: Scorer, start: gru.Params,
                 held[1] = held[1] + n * np.frombuffer(w, "<f4").astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(v / n).astype("<f4").tobytes() for n, v in sums.values()], pa.binary())], names=["piece", "w"])
 
-    parted = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text").mapInArrow(frugal(coded), "shard long, doc_id long, ids binary")
+    parted = rows.select(F.pmod("h", F.lit(shards)).cast("long").alias("shard"), "doc_id", "ids")
     own = parted.repartition(shuffle_partitions(rows.sparkSession), "shard").groupBy("shard").applyInArrow(trained, "piece int, shard long, n long, w binary")
     found = own.repartition(pieces, "piece").sortWithinPartitions("piece", "shard").mapInArrow(averaged, "piece int, w binary").collect()
     if not found:
@@ -173,7 +167,7 @@ def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", head: int
     mass = np.array([known[w] for w in names], float)
     tail_tokens, tail_words = total - int(mass.sum()), distinct - len(names)
     start = gru.init(mass, tail_tokens, dim, classes)
-    light = Scorer(start, names, {})
+    light = Coder(names, {})
 
     def fit(got: list[tuple]) -> gru.Params:
         trainer, texts = gru.Trainer(start), [light.ids((r[1] or "").encode().lower().split()) for r in got]
@@ -186,39 +180,40 @@ def lm_scores(docs: DataFrame, learn: Column, text_col: str = "text", head: int
 
     drawn_rows = rows.where(F.col("learn") & drawn(sample / n_end, "lm"))  # a text has one end
     first = fit_in_one_task(drawn_rows.select("doc_id", "text"), fit) or start
-    params = train_on_all(rows.where("learn").select("doc_id", "text"), total, light, first, shard)
-    shared = spark.sparkContext.broadcast(Scorer(params, names, known))
-    schema = "task int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, tail double, net double, n_tail long, word binary, k long"
+    shared = spark.sparkContext.broadcast(Coder(names, known))
+    coded_schema = "task int, row long, doc_id long, learn boolean, h long, ids binary, n_tokens long, n_known long, logs double, tail double, n_tail long, words array<binary>, k array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, and one for each of its words whose count must be looked up."""
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text: its head ids, what its frequent words add up to, and the words whose counts must be looked up."""
         from pyspark import TaskContext
 
-        s, task, row = shared.value, TaskContext.get().partitionId(), 0
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64()]
-        fields = [f.split()[0] for f in schema.split(", ")]
-        for x in parts(batches):
-            texts = x.column(1).cast(pa.binary()).to_pylist()
-            cols: list[list] = [[] for _ in types]
-            for doc, learned, (*numbers, rare) in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), s.rows(texts), strict=True):
-                for c, v in zip(cols, (task, row, doc, not learned, *numbers, b"\n%d %d" % (task, row), 0), strict=True):
-                    c.append(v)
-                m = len(rare)
-                for c, v in zip(cols, (task, row, doc, None, None, None, None, None, None, None), strict=False):
-                    c.extend([v] * m)
-                cols[10].extend(rare.keys())
-                cols[11].extend(rare.values())
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=fields)
-
-    flat = rows.select("doc_id", "text", "learn").mapInArrow(frugal(run), schema)
-    joined = flat.join(counts.where(~F.col("word").isin(END)), "word", "left")
-    log_c = F.col("k") * F.log10(F.col("n") + 1)
-    each = joined.groupBy("task", "row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_tail").alias("n_tail"),
-        (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("k"))), F.lit(0))).alias("n_known"),
-        (F.max("logs") + F.coalesce(F.sum(log_c), F.lit(0.0))).alias("logs"), (F.max("tail") + F.coalesce(F.sum(log_c), F.lit(0.0))).alias("tail"), F.max("net").alias("net"),
-    )
+        coder, task, row = shared.value, TaskContext.get().partitionId(), 0
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        fields = [f.split()[0] for f in coded_schema.split(", ")]
+        for x in parts(batches, most=1 << 22, column=3):
+            made = zip(*map(coder.row, x.column(3).cast(pa.binary()).to_pylist()), strict=True)  # words are held of some texts at a time
+            at = [pa.array(np.full(x.num_rows, task, np.int32)), pa.array(np.arange(row, row + x.num_rows))]
+            yield pa.RecordBatch.from_arrays([*at, *x.columns[:3], *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=fields)
+            row += x.num_rows
+
+    texts = rows.select("doc_id", "learn", F.xxhash64("doc_id", "text").alias("h"), "text")
+    each = written(texts.mapInArrow(frugal(coded), coded_schema))  # texts are split once, for training and for scores
+    params = train_on_all(each.where("learn").select("doc_id", "h", "ids"), total, light, first, shard)
+    network, back, end = spark.sparkContext.broadcast(params), light.back, light.head[END]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in parts(batches, most=1 << 22, column=7):
+            net = gru.score(network.value, [back(i) for i in x.column(7).to_pylist()], end) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*x.columns[:7], *x.columns[8:], pa.array(net)], names=[*plain, "net"])
+
+    plain = ["task", "row", "doc_id", "learn", "n_tokens", "n_known", "logs", "tail", "n_tail"]
+    nets = each.select(*plain[:7], "ids", *plain[7:]).mapInArrow(frugal(scored), each.select(*plain).schema.add("net", "double"))
+    rare = each.select("task", "row", F.explode(F.arrays_zip("words", "k")).alias("x")).select("task", "row", F.col("x.words").alias("word"), F.col("x.k").alias("k"))
+    found = rare.join(counts.where(~F.col("word").isin(END)), "word").groupBy("task", "row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("log_c"))
+    log_c = F.coalesce("log_c", F.lit(0.0))
+    each = nets.join(found, ["task", "row"], "left").select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_tail", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("logs") + log_c).alias("logs"), (F.col("tail") + log_c).alias("tail"), "net"
+    )
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
     net = F.col("net") + F.col("tail") - F.col("n_tail") * F.lit(math.log10(tail_tokens + tail_words + 1))
     return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), net.alias("score"))

@@ -111,3 +111,17 @@ def test_held_out_gain(spark):
     held = [r for r in got if r.held_out]
     n = sum(r.n_tokens for r in held)
     assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.05
+
+
+def test_texts_are_split_once_for_training_and_scores(spark):
+    """Three passes read the texts: counts, the first sample, and one that gives head ids to shards and scores alike."""
+    n, read = 300, spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 41}" for j in range(1, 2 + k % 60))) for k in range(n)], "doc_id long, text string")
+    df = df.withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    assert lm_scores(df, F.col("doc_id") % 7 != 2, head=20, lookup=25, sample=50).count() == n
+    assert read.value <= 3 * n
